@@ -50,15 +50,12 @@ def prefix_sum(df: DataFrame, size: str, out: str, group: list[str], bucket: Col
     Sums per (group, bucket) are prefix-summed first, then rows are summed within their bucket; so a hot group
     costs one task no more than its number of buckets plus the rows of one bucket. df is evaluated twice.
     """
-    cut = df.withColumn("__bucket", bucket)
-    sums = cut.groupBy(*group, "__bucket").agg(F.sum(size).alias("__sum"))
-    before = F.coalesce(F.sum("__sum").over(Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = sums.select(*(F.col(c).alias(f"__g{i}") for i, c in enumerate(group)), F.col("__bucket").alias("__b"), before.alias("__base"))
-    same = F.col("__bucket") == F.col("__b")
-    for i, c in enumerate(group):
-        same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
-    inner = F.coalesce(F.sum(size).over(Window.partitionBy(*group, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return cut.withColumn("__inner", inner).join(base, same).withColumn(out, F.col("__base") + F.col("__inner")).drop("__bucket", "__b", "__base", "__inner", *(f"__g{i}" for i in range(len(group))))
+    cut = df.withColumns({"__group": F.struct(*group), "__bucket": bucket})  # a struct is equal to itself even with nulls inside
+    start, own = Window.unboundedPreceding, ["__group", "__bucket"]
+    sums = cut.groupBy(*own).agg(F.sum(size).alias("__sum"))
+    base = sums.select(*own, F.coalesce(F.sum("__sum").over(Window.partitionBy("__group").orderBy("__bucket").rowsBetween(start, -1)), F.lit(0)).alias("__base"))
+    inner = F.coalesce(F.sum(size).over(Window.partitionBy(*own).orderBy(*order).rowsBetween(start, -1)), F.lit(0))
+    return cut.withColumn("__inner", inner).join(base, own).withColumn(out, F.col("__base") + F.col("__inner")).drop(*own, "__base", "__inner")
 
 
 #: An ASCII letter before ASCII punctuation other than the apostrophe: always a border between two pre-tokens.

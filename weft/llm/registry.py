@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.llm import packing
+from weft.llm import mixing, packing, sharding
 
-QUERIES = {f.__name__: f for f in (packing.op1_best_fit_packing,)}
+QUERIES = {f.__name__: f for f in (packing.op1_best_fit_packing, sharding.op3_rendezvous_sharding, mixing.op6_source_mixing)}
 ORACLES: dict[str, str] = {}
