@@ -24,9 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and rereads it: cuts lineage, survives lost executors, runs df once."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -58,6 +62,20 @@ def prefix_sum(df: DataFrame, size: str, out: str, group: list[str], bucket: Col
     return cut.withColumn("__inner", inner).join(base, own).withColumn(out, F.col("__base") + F.col("__inner")).drop(*own, "__base", "__inner")
 
 
+#: Salts of salted_join: a key with a third of all rows is spread over as many tasks.
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, one: DataFrame, key: str, spread: str, how: str = "left") -> DataFrame:
+    """rows joined with `one`, which has at most a row for each key, so that no key of rows is in one task.
+
+    rows get a salt from `spread`, and `one` is repeated for each salt: pass slim rows, for keys that do repeat only.
+    """
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    every = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(every, [key, "__salt"], how).drop("__salt")
+
+
 #: An ASCII letter before ASCII punctuation other than the apostrophe: always a border between two pre-tokens.
 _BORDER = re.compile(r"([A-Za-z])([!-&(-/:-@\[-`{-~])")
 #: Words whose ids one Python worker keeps.

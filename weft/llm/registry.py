@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from weft.llm import mixing, packing, sharding
+from weft.llm import bitpack, mixing, packing, sharding, warc
 
-QUERIES = {f.__name__: f for f in (packing.op1_best_fit_packing, sharding.op3_rendezvous_sharding, mixing.op6_source_mixing)}
+QUERIES = {f.__name__: f for f in (
+    packing.op1_best_fit_packing,
+    warc.op2_content_addressed_warc,
+    sharding.op3_rendezvous_sharding,
+    mixing.op6_source_mixing,
+    bitpack.op9_bit_packed_ids,
+)}
 ORACLES: dict[str, str] = {}
