@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from weft.llm import bitpack, mixing, packing, sharding, warc
+from weft.llm import bitpack, mixing, packing, sharding, simhash, warc
 
 QUERIES = {f.__name__: f for f in (
     packing.op1_best_fit_packing,
     warc.op2_content_addressed_warc,
     sharding.op3_rendezvous_sharding,
     mixing.op6_source_mixing,
+    simhash.op8_simhash_near_duplicates,
     bitpack.op9_bit_packed_ids,
 )}
 ORACLES: dict[str, str] = {}
