@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from weft.llm import bitpack, mixing, packing, quality, sharding, simhash, warc
+from weft.llm import bitpack, mixing, packing, quality, sharding, simhash, tiff, warc
 
 QUERIES = {f.__name__: f for f in (
     packing.op1_best_fit_packing,
     warc.op2_content_addressed_warc,
     sharding.op3_rendezvous_sharding,
     quality.op4_isolation_forest_rules,
+    tiff.op5_tiff_media,
     mixing.op6_source_mixing,
     simhash.op8_simhash_near_duplicates,
     bitpack.op9_bit_packed_ids,
