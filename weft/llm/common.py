@@ -91,13 +91,14 @@ class WordEncoder:
     token's name, which can span a border, and are cut at blanks and line ends only.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer.encode_special_tokens = special_as_text
 
     def __call__(self, texts: Iterable[str | None]) -> list[bytes]:
         split = [self._cut(x or "") for x in texts]
@@ -115,14 +116,15 @@ class WordEncoder:
         return (text if "<|" in text else _BORDER.sub(r"\1 \2", text)).replace("\n", " ").split(" ")
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, special_as_text: bool = False) -> WordEncoder:
     """One per Python worker, so that a word's ids are kept from task to task."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    key = path, special_as_text
+    if key not in _encoders:
+        _encoders[key] = WordEncoder(*key)
+    return _encoders[key]
 
 
 def sliced(frames: Iterator, rows: int = 2000) -> Iterator:

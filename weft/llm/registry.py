@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.llm import bitpack, mixing, packing, quality, sharding, simhash, tiff, warc
+from weft.llm import bitpack, mixing, packing, quality, sharding, simhash, tiff, tokencount, warc
 
 QUERIES = {f.__name__: f for f in (
     packing.op1_best_fit_packing,
@@ -11,6 +11,7 @@ QUERIES = {f.__name__: f for f in (
     quality.op4_isolation_forest_rules,
     tiff.op5_tiff_media,
     mixing.op6_source_mixing,
+    tokencount.op7_separator_scan,
     simhash.op8_simhash_near_duplicates,
     bitpack.op9_bit_packed_ids,
 )}
