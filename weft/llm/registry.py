@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.llm import bitpack, mixing, packing, quality, sharding, simhash, tiff, tokencount, warc
+from weft.llm import bitpack, html, mixing, packing, quality, sharding, simhash, tiff, tokencount, warc
 
 QUERIES = {f.__name__: f for f in (
     packing.op1_best_fit_packing,
@@ -14,5 +14,6 @@ QUERIES = {f.__name__: f for f in (
     tokencount.op7_separator_scan,
     simhash.op8_simhash_near_duplicates,
     bitpack.op9_bit_packed_ids,
+    html.op10_site_template_removal,
 )}
 ORACLES: dict[str, str] = {}
