@@ -113,14 +113,34 @@ def sized(docs: DataFrame) -> DataFrame:
     return common.stored(docs.drop("uid", "size").withColumns({"uid": F.monotonically_increasing_id(), "size": n_words(F.col("text"))}), "mix-docs")
 
 
+def taken_by_row(rows: DataFrame, weights: list[int], total: float, cap: float) -> DataFrame:
+    """uid, doc_id, size, source_size, target, taken of each of the sized rows."""
+    known, taken, _ = mix(rows.select("uid", "doc_id", "source", "size"), weights, total, cap)
+    by_row = taken.groupBy("uid").agg(F.sum("words").alias("taken"))
+    return known.join(by_row, "uid", "left").select("uid", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+
+
 def taken_words(docs: DataFrame, weights: list[int] = [3, 1, 2], total: float = 1.5, cap: float = 2.0) -> DataFrame:  # noqa: B006
     """doc_id, size, source_size, target, taken of every document (see mix); only doc_id, source and text are read.
 
     A null text has size 0; documents without words have taken 0. Equal rows are separate documents.
     """
-    docs, taken, _ = mix(sized(docs.select("doc_id", "source", "text")).drop("text"), weights, total, cap)
-    by_doc = taken.groupBy("uid").agg(F.sum("words").alias("taken"))
-    return docs.join(by_doc, "uid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    return taken_by_row(sized(docs.select("doc_id", "source", "text")), weights, total, cap).drop("uid")
+
+
+def mixed_documents(docs: DataFrame, weights: list[int] = [3, 1, 2], total: float = 1.5, cap: float = 2.0) -> DataFrame:  # noqa: B006
+    """The rows of docs as often as the mix takes them, with all their columns.
+
+    A document that the mix takes in part at a source's end is there if that is at least half of it. Documents
+    without words, of which a mix can take none, stay once.
+    """
+    rows = sized(docs)
+    taken = taken_by_row(rows, weights, total, cap).select("uid", "taken")
+    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
+    back = [c for c in docs.columns if c in ("uid", "size")]  # gave way
+    if back:
+        raise ValueError(f"docs have columns {back}")
+    return rows.join(taken, "uid").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 Fingerprints. Each word shingle's XXH64 votes on 64 bits; a bit is 1 if more than half of the shingles set it.
 
-Trees. If two fingerprints differ in at most 2 bits, then one half (32 bits) of them differs in at most 1. Each half
-has a tree. A level of the tree looks at the fingerprint through a mask of 2 of the half's bits and splits by the
-Hamming distance, under that mask, from the level's vantage point: 0, 1 or 2. A distance under a mask obeys the
+Trees. If two fingerprints differ in at most 2 bits, then one half (32 bits) of them differs in at most 1; in at most
+7 bits, then one quarter does. Each such part has a tree. A level of the tree looks at the fingerprint through a mask
+of a few of the part's bits and splits by the Hamming distance, under that mask, from the level's vantage point. A distance under a mask obeys the
 triangle inequality, and the masks of a tree are disjoint, so along a path the differences of distances add up to no
 more than the distance of the halves. Hence a query within 1 visits the leaf of its own path, and the leaves whose
 path differs by 1 in one level only; all other branches are pruned. The pair's fingerprint with the smaller distance
@@ -33,7 +33,6 @@ from weft.llm import common
 SEED = 42
 #: The bits of all levels' vantage points; any will do.
 VANTAGE = 0x5DEECE66D1CE4E5B
-LEVELS = 16
 #: Shingles whose bits are unpacked at once.
 CHUNK = 1 << 15
 
@@ -70,29 +69,37 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, fingerprint long")
 
 
-def _leaves(fp: Column, half: int) -> Column:
-    """The leaf that `fp` lives in and those it visits, as base-3 numbers, with the own one first."""
-    seen = fp.bitwiseXOR(F.lit(VANTAGE))
+def walk(prints: DataFrame, parts: int, mask: int) -> DataFrame:
+    """The rows of prints (fingerprint and others), once for each leaf of each tree that they live in or visit.
+
+    Adds leaf (long; the tree's number is part of it) and visit (0: lives there). A level's mask has `mask` bits.
+    """
+    seen, wide = F.col("fingerprint").bitwiseXOR(F.lit(VANTAGE)), 64 // parts
     bit = lambda i: F.shiftrightunsigned(seen, i).bitwiseAND(F.lit(1))
-    distance = [bit(32 * half + 2 * i) + bit(32 * half + 2 * i + 1) for i in range(LEVELS)]
-    own = sum((d * 3**i for i, d in enumerate(distance)), F.lit(0).cast("long"))
-    visits = [F.when(d < 2, own + 3**i) for i, d in enumerate(distance)]
-    return F.array_compact(F.array(own, *visits))
-
-
-def links(prints: DataFrame, radius: int = 2) -> DataFrame:
-    """a, b: all pairs of the different values of prints.fingerprint at most `radius` (up to 2) bits apart, once or more."""
-    if not 0 <= radius <= 2:
-        raise ValueError("the trees' pruning is for 0 to 2 differing bits")
-    both = None
-    for half in (0, 1):
-        walked = prints.select("fingerprint", F.posexplode(_leaves(F.col("fingerprint"), half)).alias("visit", "leaf"))
-        homes = walked.where("visit = 0").select("leaf", F.col("fingerprint").alias("b"))
-        near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-        once = (F.col("visit") > 0) | (F.col("a") < F.col("b"))
-        found = walked.select("leaf", "visit", F.col("fingerprint").alias("a")).join(homes, "leaf").where(near & once).select("a", "b")
-        both = found if both is None else both.unionByName(found)
-    return both
+
+    def tree(part: int) -> Column:
+        levels = [sum((bit(i + j) for j in range(1, mask)), bit(i)) for i in range(part * wide, (part + 1) * wide, mask)]
+        own = sum((d * (mask + 1) ** i for i, d in enumerate(levels)), F.lit(0).cast("long"))
+        visits = [F.when(d < mask, own + (mask + 1) ** i) for i, d in enumerate(levels)]
+        return F.transform(F.array_compact(F.array(own, *visits)), lambda leaf, i: F.struct((leaf * parts + part).alias("leaf"), i.alias("visit")))
+
+    return prints.withColumn("__at", F.explode(F.concat(*(tree(part) for part in range(parts))))).select(*prints.columns, "__at.*")
+
+
+def links(prints: DataFrame, radius: int = 2, parts: int = 2, mask: int = 2) -> DataFrame:
+    """a, b: all pairs of the different values of prints.fingerprint at most `radius` bits apart, once or more.
+
+    With `parts` trees, one part of a pair's bits differs in at most radius / parts bits; that must be 0 or 1. If
+    prints have a column `label`, pairs of equal labels are left out.
+    """
+    if not 0 <= radius < 2 * parts or 64 % (parts * mask):
+        raise ValueError("a part's share of the radius must be below 2, and masks must divide the parts")
+    walked = walk(prints, parts, mask)
+    as_ = lambda df, name: df.select("leaf", *(["visit"] if name == "a" else []), F.col("fingerprint").alias(name), *([F.col("label").alias(f"label_{name}")] if "label" in prints.columns else []))
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
+    once = (F.col("visit") > 0) | (F.col("a") < F.col("b"))
+    apart = F.col("label_a") != F.col("label_b") if "label" in prints.columns else F.lit(True)
+    return as_(walked, "a").join(as_(walked.where("visit = 0"), "b"), "leaf").where(near & once & apart).select("a", "b")
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -142,5 +149,125 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     return out.select("doc_id", hexed.alias("fingerprint"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+#: Shorter words are in most texts of a language and tell little; they count where there are no longer ones.
+LEAST_BYTES = 5
+#: Rows of row numbers up to which they are broadcast: about 20 MB.
+MOST_BROADCAST = 500_000
+
+
+def word_fingerprints(docs: DataFrame) -> DataFrame:
+    """uid, digest (of the words, A-Z as a-z), fingerprint of the set of a text's longer words.
+
+    A text that differs in a few words from another has most of these words, so its fingerprint is a few bits away,
+    where those of its shingles would be many.
+    """
+
+    def one(text: str | None) -> tuple[bytes, int]:
+        words = (text or "").encode().lower().split()
+        chosen = {x for x in words if len(x) >= LEAST_BYTES} or set(words)
+        if not chosen:
+            return xxhash.xxh3_128_digest(b""), 0
+        hashes = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in chosen), np.uint64, len(chosen))
+        votes = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        return xxhash.xxh3_128_digest(b" ".join(words)), int(np.packbits(votes * 2 > len(chosen), bitorder="little").view("<i8")[0])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in common.sliced(frames):
+            found = [one(x) for x in frame.text]
+            yield pd.DataFrame({"uid": frame.uid, "digest": [x for x, _ in found], "fingerprint": np.array([x for _, x in found], np.int64)})
+
+    return docs.select("uid", "text").mapInPandas(run, "uid long, digest binary, fingerprint long")
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """uid, shingles (sorted distinct 32-bit hashes of all word shingles; of fewer words, of the whole)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in common.sliced(frames, 500):
+            sets = []
+            for text in frame.text:
+                parts = (text or "").encode().lower().split()
+                spans = map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False)) if len(parts) > words else [b" ".join(parts)]
+                sets.append(np.unique(np.fromiter((xxhash.xxh32_intdigest(x) for x in spans), np.uint32)).view(np.int32))
+            yield pd.DataFrame({"uid": frame.uid, "shingles": sets})
+
+    return docs.select("uid", "text").mapInPandas(run, "uid long, shingles array<int>")
+
+
+def few_or_joined(rows: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
+    """A semi or anti join of rows with stored keys, which are broadcast if they are few; else both are shuffled."""
+    return rows.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, on, how)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b: uids) whose texts' shingle sets have a Jaccard similarity of at least `similarity`."""
+    pairs = common.stored(pairs.distinct(), "near-pairs")
+    ends = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "near-ends")
+    sets = common.stored(shingle_sets(few_or_joined(docs, ends, "uid", "left_semi"), words), "near-sets")
+    both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return common.stored(both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b"), "near-links")
+
+
+def _centres(prints: DataFrame, radius: int, parts: int, mask: int) -> DataFrame:
+    """a, b: each fingerprint with its leaves' centres, the fingerprints nearest to the majority of the leaf's bits.
+
+    In a large group of near copies the centre is next to the original, and links most of the group with a row each.
+    """
+    homes = walk(prints, parts, mask).where("visit = 0").select("leaf", "fingerprint")
+    bit = lambda i: F.shiftrightunsigned("fingerprint", i).bitwiseAND(F.lit(1))
+    leaves = homes.groupBy("leaf").agg(F.count("*").alias("n"), *(F.sum(bit(i)).alias(f"b{i}") for i in range(64))).where("n > 2")
+    one = lambda i: F.when(2 * F.col(f"b{i}") > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
+    majority = one(0)
+    for i in range(1, 64):
+        majority = majority.bitwiseOR(one(i))
+    leaves = common.stored(leaves.select("leaf", majority.alias("majority")), "near-leaves")
+    apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+    members = homes.join(leaves, "leaf")
+    centres = members.groupBy("leaf").agg(F.min(F.struct(apart("fingerprint", "majority").alias("d"), F.col("fingerprint"))).alias("least")).select("leaf", F.col("least.fingerprint").alias("b"))
+    return homes.select("leaf", F.col("fingerprint").alias("a")).join(centres, "leaf").where((F.col("a") != F.col("b")) & (apart("a", "b") <= radius)).select("a", "b").distinct()
+
+
+def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 7) -> DataFrame:
+    """uid, group (the smallest uid of its near-duplicate group) of every row of docs (uid long, unique; text; stored).
+
+    Rows are linked if their word shingles' Jaccard similarity is at least `similarity`, and their word sets'
+    fingerprints are at most `radius` (up to 7) bits apart; groups are what links connect. Candidates come from the
+    trees and all are verified on whole texts. Copies are one text, texts with one fingerprint are candidates with
+    the first of them, and centres of leaves link large groups first, so that only pairs between groups that are
+    still apart are left to test. Texts without words are copies of each other.
+    """
+    parts, mask = 4, 1
+    prints = common.stored(word_fingerprints(docs), "near-prints")
+    texts = common.stored(prints.groupBy("digest").agg(F.min("uid").alias("uid"), F.first("fingerprint").alias("fingerprint")), "near-texts")
+    nodes = common.stored(texts.groupBy("fingerprint").agg(F.min("uid").alias("node")), "near-nodes")
+    named = lambda pairs: pairs.join(nodes.select(F.col("fingerprint").alias("a"), F.col("node").alias("x")), "a").join(nodes.select(F.col("fingerprint").alias("b"), F.col("node").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    same_print = texts.join(nodes, "fingerprint").where("uid <> node").select(F.col("node").alias("a"), F.col("uid").alias("b"))
+    first = verified(same_print.unionByName(named(_centres(nodes.select("fingerprint"), radius, parts, mask))), docs, words, similarity)
+    joined = components(first)
+    label = nodes.join(joined, nodes.node == joined.node, "left").select("fingerprint", F.coalesce("root", nodes.node).alias("label"))
+    label = common.stored(label, "near-labels")
+    rest = verified(named(links(label, radius, parts, mask).distinct()), docs, words, similarity)
+    joined = components(first.unionByName(rest))
+    roots = texts.join(joined, texts.uid == joined.node, "left").select("digest", "uid", F.coalesce("root", "uid").alias("group"))
+    # rows whose text is only theirs, and first rows of a text, need none of the text's rows here
+    copies = prints.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    own = roots.where("group <> uid").select("uid", "group")
+    others = common.salted_join(prints.select("uid", "digest"), roots.join(copies, "digest").select("digest", F.col("group").alias("of")), "digest", "uid")
+    return others.join(own, "uid", "left").select("uid", F.coalesce("of", "group", "uid").alias("group"))
+
+
+def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each near-duplicate group: that of the smallest doc_id (nulls last). All columns stay."""
+    rows = common.stored(docs.drop("uid").withColumn("uid", F.monotonically_increasing_id()), "near-docs")
+    groups = near_duplicate_groups(rows.select("uid", "text"), words, similarity)
+    ranked = groups.join(rows.select("uid", "doc_id"), "uid")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("uid").alias("uid"))
+    ranked = common.stored(ranked.select("uid", "group", order.alias("order")), "near-ranked")
+    several = ranked.groupBy("group").agg(F.min("order").alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = common.salted_join(ranked, several.select("group", F.col("first.uid").alias("stays")), "group", "uid", "inner").where("uid <> stays").select("uid")
+    return few_or_joined(rows, common.stored(gone, "near-gone"), "uid", "left_anti").drop("uid")
+
+
 def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir))
