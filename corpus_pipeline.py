@@ -1,18 +1,37 @@
-"""Corpus pipeline over documents; stages are added as their operators are."""
+"""Corpus pipeline: quality rules, near-duplicate removal, mixing of sources and packing, over all documents.
+
+Each stage works on every row that its predecessor kept. The result has a row for each packed piece.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import common, packing
+from weft.llm import common, mixing, packing, quality, simhash
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the isolation forest accept."""
+    return quality.kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates (five words, a similarity of 0.8)."""
+    return simhash.deduplicated(docs, words=5, similarity=0.8)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources takes them."""
+    return mixing.mixed_documents(docs)
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing of all documents left."""
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of all documents' pieces; repeats are packed as often as they are there."""
     return packing.packed_documents(docs)
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [("quality rules", quality_rules), ("near-duplicate removal", near_dedup), ("source mixing", source_mix), ("best-fit packing", best_fit_packing)]
+#: SQL cannot express these stages; tests compare them with brute force.
 ORACLE_SQL: str | None = None
 
 
