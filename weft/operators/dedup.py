@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from weft.functions import text as T
 
@@ -36,7 +37,7 @@ def adjacent_overlap(lines: DataFrame, group: str, at: str, lines_column: str, l
     return both.withColumn("ratio", ratio).where(F.col("ratio") >= least).select(group, at, "next", "ratio")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def matched(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the matching characters over all characters of a pair of short texts; 1 for two empty ones."""
     return pd.Series([SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)])

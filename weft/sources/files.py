@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def encoding_of(raw: bytes) -> str:
@@ -28,7 +29,7 @@ def decoded(raw: bytes) -> str:
         return raw.decode("gb18030", "ignore")
 
 
-@F.pandas_udf("struct<encoding: string, text: string>")
+@F.pandas_udf(StructType().add("encoding", "string").add("text", "string"))
 def _text(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"encoding": [encoding_of(x) for x in raw], "text": [decoded(x) for x in raw]})
 
