@@ -31,8 +31,10 @@ def tokens_by_chars(chars: Column, share: float = 0.7) -> Column:
 
 
 def grams(text: Column, n: int) -> Column:
-    """All character n-grams of text, repeats included; none for a shorter text. One pass: a look-ahead at each place."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
+    """All character n-grams of text, repeats included; none for a shorter text. Linear in its length."""
+    places = lambda cs: F.when(F.size(cs) >= n, F.sequence(F.lit(0), F.size(cs) - n)).otherwise(F.array().cast("array<int>"))
+    one = lambda cs: F.transform(places(cs), lambda i: F.concat(*(F.get(cs, i + k) for k in range(n))))
+    return F.element_at(F.transform(F.array(F.filter(F.split(text, ""), lambda c: c != "")), one), 1)  # binds the characters once
 
 
 def gram_relevance(text: Column, query: Column, n: int = 2) -> Column:

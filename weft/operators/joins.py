@@ -58,7 +58,7 @@ def both_known(edges: DataFrame, members: DataFrame, group: str, ends: tuple[str
     out = edges.where(F.col(ends[0]) != F.col(ends[1]))
     for end in ends:
         out = out.join(members.select(group, F.col(name).alias(end)).distinct(), [group, end], "left_semi")
-    return out.dropDuplicates([group, *ends])
+    return out.dropDuplicates([group, *ends]).select(*edges.columns)
 
 
 def stacked(tables: dict[str, DataFrame], kind: str = "kind") -> DataFrame:

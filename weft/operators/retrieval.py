@@ -25,7 +25,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine",
     held = queries.select("query_id", "vector", *([tenant] if tenant else [])).toPandas() if queries.count() else pd.DataFrame(columns=["query_id", "vector"])
     if held.vector.map(len).sum() * 8 > MOST_QUERY_BYTES:
         raise ValueError("too many queries at once: pass them in blocks")
-    matrix = np.array(held.vector.tolist(), float).reshape(len(held), -1)
+    matrix = np.array(held.vector.tolist(), float).reshape(len(held), -1 if len(held) else 0)
     sent = spark.sparkContext.broadcast((held.query_id.to_numpy(), matrix, held[tenant].to_numpy() if tenant else None))
 
     def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
