@@ -193,7 +193,7 @@ def sequence_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     seqs = _symbols(read(spark, sf_dir, "events"), "user_id")
-    pairs = seqs.withColumn("b", F.lead("a").over(Window.partitionBy(F.col("user_id") % 16).orderBy("user_id"))).where("b is not null")
+    pairs = seqs.withColumn("b", F.lead("a").over(Window.partitionBy(F.element_at("a", 1)).orderBy("user_id"))).where("b is not null")
     return sequences.aligned(pairs, "a", "b").select("user_id", "common", "merged", "mergeable")
 
 

@@ -11,7 +11,7 @@ from weft.operators import graph, retrieval
 from weft.registry import query
 
 _PAIRS = "SELECT q.vec_id AS query_id, r.vec_id AS row_id, {score} AS score FROM embeddings q JOIN embeddings r ON q.label = r.label WHERE q.vec_id % 50 = 0"
-_RANKED = "SELECT query_id, row_id, round(round(score, 6), 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, row_id) AS r FROM ({pairs})) WHERE r <= {k}"
+_RANKED = "SELECT query_id, row_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, row_id) AS r FROM ({pairs})) WHERE r <= {k}"
 _COSINE = _PAIRS.format(score="list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[])")
 _L2 = _PAIRS.format(score="1 / (1 + list_distance(q.embedding::DOUBLE[], r.embedding::DOUBLE[]))")
 
@@ -24,12 +24,12 @@ def _knn(spark: SparkSession, sf_dir: str, k: int, metric: str) -> DataFrame:
 
 @query("knn_cosine", _RANKED.format(pairs=_COSINE, k=5))
 def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _knn(spark, sf_dir, 5, "cosine").select("query_id", "row_id", F.round("score", 5).alias("score"))
+    return _knn(spark, sf_dir, 5, "cosine").select("query_id", "row_id", "score")
 
 
 @query("knn_l2", _RANKED.format(pairs=_L2, k=5))
 def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _knn(spark, sf_dir, 5, "l2").select("query_id", "row_id", F.round("score", 5).alias("score"))
+    return _knn(spark, sf_dir, 5, "l2").select("query_id", "row_id", "score")
 
 
 @query("gap_filter", f"SELECT query_id, row_id FROM (SELECT *, max(s) OVER (PARTITION BY query_id) AS t FROM (SELECT query_id, row_id, round(score, 6) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, row_id) AS r FROM ({_COSINE}) WHERE query_id <> row_id) WHERE r <= 10) WHERE s >= t - 0.04")
