@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.catalog.tables import read
 from weft.functions import text as T
-from weft.operators import cleaning, dedup, intervals, joins, sequences, windows
+from weft.operators import cleaning, dedup, intervals, joins, sequences, style, windows
 from weft.registry import query
 
 
@@ -212,3 +212,16 @@ def repeated_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 def notice_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _documents(spark, sf_dir).select("doc_id", "text")
     return cleaning.without_tail_block(rows, "text", r"(?i)licen[sc]ed under", r"(?i)copyright|rights reserved|https?://").select("doc_id", "n_tail", F.length("text").alias("chars"))
+
+
+@query("style_scores")
+def style_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return style.score(style.scan(docs, "doc_id", "text"), docs, "doc_id", "text")
+
+
+@query("json_props", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.functions import parsing
+
+    return read(spark, sf_dir, "events").select("event_id", F.get_json_object(parsing.parsed("props"), "$.k").try_cast("long").alias("k"))
