@@ -93,11 +93,14 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, vocabulary_size: int,
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """The blocks of a file, with `base`, the ids of all blocks of all parts before."""
+    """The blocks of a file, with `base`, the ids of all blocks of all parts before.
+
+    Parts are the writer's partitions, a row for each, and are broadcast: the blocks' bytes are not shuffled.
+    """
     blocks = spark.read.parquet(path)
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return blocks.join(parts.select("part", before.alias("__before")), "part").withColumn("base", F.col("__before") + F.col("start")).drop("__before")
+    return blocks.join(F.broadcast(parts.select("part", before.alias("__before"))), "part").withColumn("base", F.col("__before") + F.col("start")).drop("__before")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
