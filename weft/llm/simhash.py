@@ -87,17 +87,21 @@ def walk(prints: DataFrame, parts: int, mask: int) -> DataFrame:
 
 
 def links(prints: DataFrame, radius: int = 2, parts: int = 2, mask: int = 2) -> DataFrame:
-    """a, b: all pairs of the different values of prints.fingerprint at most `radius` bits apart, once or more.
+    """a, b: all pairs of the different values of prints.fingerprint at most `radius` bits apart, each once.
 
-    With `parts` trees, one part of a pair's bits differs in at most radius / parts bits; that must be 0 or 1. If
+    A pair that meets in several trees is taken from the first of them. With `parts` trees, one part of a pair's bits differs in at most radius / parts bits; that must be 0 or 1. If
     prints have a column `label`, pairs of equal labels are left out.
     """
     if not 0 <= radius < 2 * parts or 64 % (parts * mask):
         raise ValueError("a part's share of the radius must be below 2, and masks must divide the parts")
     walked = walk(prints, parts, mask)
     as_ = lambda df, name: df.select("leaf", *(["visit"] if name == "a" else []), F.col("fingerprint").alias(name), *([F.col("label").alias(f"label_{name}")] if "label" in prints.columns else []))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
+    differ, wide = F.col("a").bitwiseXOR(F.col("b")), 64 // parts
+    near = F.bit_count(differ) <= radius
     once = (F.col("visit") > 0) | (F.col("a") < F.col("b"))
+    for part in range(parts - 1):  # an earlier tree has pairs that differ in at most one of its bits
+        bits = F.shiftrightunsigned(differ, part * wide).bitwiseAND(F.lit((1 << wide) - 1))
+        once = once & ((F.pmod("leaf", F.lit(parts)) <= part) | (F.bit_count(bits) > 1))
     apart = F.col("label_a") != F.col("label_b") if "label" in prints.columns else F.lit(True)
     return as_(walked, "a").join(as_(walked.where("visit = 0"), "b"), "leaf").where(near & once & apart).select("a", "b")
 
@@ -209,23 +213,30 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -
     return common.stored(both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b"), "near-links")
 
 
+#: Members of a leaf, besides the one nearest to the majority, that all others are tested against first.
+CENTRES = 8
+
+
 def _centres(prints: DataFrame, radius: int, parts: int, mask: int) -> DataFrame:
-    """a, b: each fingerprint with its leaves' centres, the fingerprints nearest to the majority of the leaf's bits.
+    """a, b: each fingerprint with its leaves' centres: the one nearest to the majority of the leaf's bits, and a few
+    members by hash.
 
-    In a large group of near copies the centre is next to the original, and links most of the group with a row each.
+    In a large group of near copies most are linked to one of these, with a few rows each.
     """
     homes = walk(prints, parts, mask).where("visit = 0").select("leaf", "fingerprint")
     bit = lambda i: F.shiftrightunsigned("fingerprint", i).bitwiseAND(F.lit(1))
-    leaves = homes.groupBy("leaf").agg(F.count("*").alias("n"), *(F.sum(bit(i)).alias(f"b{i}") for i in range(64))).where("n > 2")
+    drawn = [F.min(F.struct(F.xxhash64("fingerprint", F.lit(i)).alias("h"), F.col("fingerprint"))).getField("fingerprint") for i in range(CENTRES)]
+    leaves = homes.groupBy("leaf").agg(F.count("*").alias("n"), F.array(*drawn).alias("drawn"), *(F.sum(bit(i)).alias(f"b{i}") for i in range(64))).where("n > 2")
     one = lambda i: F.when(2 * F.col(f"b{i}") > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
     majority = one(0)
     for i in range(1, 64):
         majority = majority.bitwiseOR(one(i))
-    leaves = common.stored(leaves.select("leaf", majority.alias("majority")), "near-leaves")
+    leaves = common.stored(leaves.select("leaf", "drawn", majority.alias("majority")), "near-leaves")
     apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
-    members = homes.join(leaves, "leaf")
-    centres = members.groupBy("leaf").agg(F.min(F.struct(apart("fingerprint", "majority").alias("d"), F.col("fingerprint"))).alias("least")).select("leaf", F.col("least.fingerprint").alias("b"))
-    return homes.select("leaf", F.col("fingerprint").alias("a")).join(centres, "leaf").where((F.col("a") != F.col("b")) & (apart("a", "b") <= radius)).select("a", "b").distinct()
+    middle = F.min(F.struct(apart("fingerprint", "majority").alias("d"), F.col("fingerprint"))).getField("fingerprint")
+    centres = homes.join(leaves, "leaf").groupBy("leaf").agg(middle.alias("middle"), F.first("drawn").alias("drawn"))
+    centres = centres.select("leaf", F.explode(F.array_union(F.array("middle"), F.col("drawn"))).alias("b"))
+    return homes.select("leaf", F.col("fingerprint").alias("a")).join(centres, "leaf").where((F.col("a") != F.col("b")) & (apart("a", "b") <= radius)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 7) -> DataFrame:
@@ -234,7 +245,7 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     Rows are linked if their word shingles' Jaccard similarity is at least `similarity`, and their word sets'
     fingerprints are at most `radius` (up to 7) bits apart; groups are what links connect. Candidates come from the
     trees and all are verified on whole texts. Copies are one text, texts with one fingerprint are candidates with
-    the first of them, and centres of leaves link large groups first, so that only pairs between groups that are
+    the first of them, and a few centres of each leaf link large groups first, so that only pairs between groups that are
     still apart are left to test. Texts without words are copies of each other.
     """
     parts, mask = 4, 1
