@@ -357,6 +357,40 @@ def test_near_duplicate_stage(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want)) and kept.columns == ["doc_id", "text"]
 
 
+def test_near_duplicates_beyond_the_fingerprints(spark):
+    """Copies with an added passage are far apart in fingerprints; large ones, and many of a kind, are found all the same."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(7))
+    passage, texts = [word() for _ in range(40)], []
+    for i in range(60):
+        base = [word() for _ in range(rng.choice((12, 30, 150, 400)))]
+        more = [word() for _ in range(len(base) // 5)]
+        texts += [" ".join(x) for x in (base, base + more, more + base, base[: len(base) * 9 // 10] + more[: len(base) // 12], base + passage if i % 2 else passage)]
+    texts += [" ".join([*passage, word()]) for _ in range(40)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    table = common.stored(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "uid long, text string"), "test-docs")
+    prints = {r.uid: r.fingerprint for r in simhash.word_fingerprints(table).collect()}
+    similar = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    far = [(i, j) for i, j in similar if ((prints[i] ^ prints[j]) & ((1 << 64) - 1)).bit_count() > 7]
+    assert len(far) >= 50
+    got = {r.uid: r.group for r in simhash.near_duplicate_groups(table, radius=None).collect()}
+    assert [got[i] for i in range(len(texts))] == roots(len(texts), similar)
+
+
+@pytest.mark.parametrize("most", [3, 512])
+def test_sharing_loses_no_pair(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "MOST_SHARERS", most)
+    rng = random.Random(most)
+    base = [str(rng.random()) for _ in range(60)]
+    texts = [" ".join(base[: rng.randrange(45, 61)] + [str(rng.random()) for _ in range(rng.randrange(8))]) for _ in range(60)]
+    table = common.stored(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "uid long, text string"), "test-docs")
+    labels = spark.createDataFrame([(i, i % 7 if i % 3 else 0) for i in range(60)], "uid long, label long")
+    sets = [set(simhash.shingles(t, 5).tolist()) for t in texts]
+    want = {(j, i) for i in range(60) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and (i % 7 if i % 3 else 0) != (j % 7 if j % 3 else 0)}
+    got = {(min(r), max(r)) for r in simhash.sharing(simhash.prefixes(table, 5, 0.8), labels, 0.8).collect()}
+    assert len(want) > 100 and got >= want
+
+
 @pytest.mark.parametrize("width", [1, 3, 8, 11, 16, 17, 31, 32])
 def test_bit_packing(width):
     ids = np.random.default_rng(width).integers(0, 1 << width, 1001, dtype=np.uint64).astype(np.uint32)

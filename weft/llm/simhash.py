@@ -20,6 +20,7 @@ minimum and a join, stored in the shared folder, until nothing changes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -183,17 +184,19 @@ def word_fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("uid", "text").mapInPandas(run, "uid long, digest binary, fingerprint long")
 
 
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct 32-bit hashes of all word shingles; of fewer words, of the whole."""
+    parts = (text or "").encode().lower().split()
+    spans = map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False)) if len(parts) > words else [b" ".join(parts)]
+    return np.unique(np.fromiter((xxhash.xxh32_intdigest(x) for x in spans), np.uint32))
+
+
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """uid, shingles (sorted distinct 32-bit hashes of all word shingles; of fewer words, of the whole)."""
+    """uid, shingles (sorted, distinct)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in common.sliced(frames, 500):
-            sets = []
-            for text in frame.text:
-                parts = (text or "").encode().lower().split()
-                spans = map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False)) if len(parts) > words else [b" ".join(parts)]
-                sets.append(np.unique(np.fromiter((xxhash.xxh32_intdigest(x) for x in spans), np.uint32)).view(np.int32))
-            yield pd.DataFrame({"uid": frame.uid, "shingles": sets})
+            yield pd.DataFrame({"uid": frame.uid, "shingles": [shingles(text, words).view(np.int32) for text in frame.text]})
 
     return docs.select("uid", "text").mapInPandas(run, "uid long, shingles array<int>")
 
@@ -239,14 +242,100 @@ def _centres(prints: DataFrame, radius: int, parts: int, mask: int) -> DataFrame
     return homes.select("leaf", F.col("fingerprint").alias("a")).join(centres, "leaf").where((F.col("a") != F.col("b")) & (apart("a", "b") <= radius)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 7) -> DataFrame:
+#: Buckets of hashes in which shingles are counted, and buckets in one row of counts.
+BUCKETS, ROW = 1 << 20, 1 << 12
+#: Rows of a shingle on either side of the pairs' join that one key holds.
+MOST_SHARERS = 512
+
+
+def rareness(docs: DataFrame, words: int) -> bytes:
+    """A byte for each bucket of shingle hashes: eight times the binary logarithm of the shingles in it, over all rows."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(BUCKETS, np.int64)
+        for frame in common.sliced(frames, 2000):
+            if len(frame):
+                n += np.bincount(np.concatenate([shingles(text, words) for text in frame.text]) & np.uint32(BUCKETS - 1), minlength=BUCKETS)
+        yield pd.DataFrame({"block": range(BUCKETS // ROW), "counts": [x.astype("<u4").tobytes() for x in n.reshape(-1, ROW)]})
+
+    def levels(frame: pd.DataFrame) -> pd.DataFrame:
+        n = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in frame.counts)
+        return pd.DataFrame({"block": frame.block[:1], "levels": [(8 * np.log2(np.maximum(n, 1))).astype(np.uint8).tobytes()]})
+
+    found = docs.select("text").mapInPandas(count, "block int, counts binary").groupBy("block").applyInPandas(levels, "block int, levels binary").collect()
+    of = {r.block: bytes(r.levels) for r in found}
+    return b"".join(of.get(i, bytes(ROW)) for i in range(BUCKETS // ROW))
+
+
+def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """uid, n (distinct shingles), m0, m1 (parities of the shingles in 128 places), prefix (hashes, the rarest first).
+
+    Two sets with a Jaccard similarity of at least `similarity` share one of the first n - ceil(similarity * n) + 1
+    shingles of each, in any order that is the same for all texts. Rare ones first: counts only make it short work.
+    """
+    ranks = docs.sparkSession.sparkContext.broadcast(rareness(docs, words))
+
+    def one(text: str | None) -> tuple[int, int, int, np.ndarray]:
+        found = shingles(text, words)
+        n = len(found)
+        level = np.frombuffer(ranks.value, np.uint8)[found & np.uint32(BUCKETS - 1)].astype(np.uint64)
+        first = np.sort(level << np.uint64(32) | found)[: n - math.ceil(similarity * n - 1e-9) + 1]
+        odd = np.bincount(found * np.uint32(2654435761) >> np.uint32(25), minlength=128) & 1
+        m0, m1 = np.packbits(odd.astype(np.uint8)).view("<i8")
+        return n, int(m0), int(m1), first.astype(np.uint32).view(np.int32)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in common.sliced(frames, 500):
+            n, m0, m1, prefix = zip(*map(one, frame.text), strict=True) if len(frame) else ((),) * 4
+            yield pd.DataFrame({"uid": frame.uid, "n": n, "m0": m0, "m1": m1, "prefix": prefix})
+
+    return docs.select("uid", "text").mapInPandas(run, "uid long, n int, m0 long, m1 long, prefix array<int>")
+
+
+def sharing(prefixed: DataFrame, labels: DataFrame, similarity: float, radius: int | None = None) -> DataFrame:
+    """a, b (uids, in no order; each pair once): pairs of different labels (uid, label), with all of at least `similarity`.
+
+    With a radius, only pairs whose fingerprints (a column of labels) are at most so many bits apart.
+
+    Of a shingle's rows, those of its commonest label need no pairs among themselves: the others meet all. Both sides
+    of a shingle with many rows are dealt out over several keys. A pair is taken at its first common shingle only.
+    Conditions are bounds that no similar pair breaks: the ratio of sizes, what can be shared from that shingle on, and
+    what parities of the sets rule out.
+    """
+    own_columns = ("uid", "label", "n", "m0", "m1", *(() if radius is None else ("fingerprint",)))
+    rows = prefixed.join(labels, "uid").select(*own_columns, "prefix", F.posexplode("prefix").alias("at", "token"))
+    each = rows.groupBy("token", "label").agg(F.count("*").alias("c"))
+    shared = each.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("total"), F.max("c").alias("most")).where("total > most")
+    chunks = lambda n: F.ceil(n / MOST_SHARERS).cast("int")
+    shared = common.stored(shared.select("token", "main", chunks(F.col("total")).alias("all_chunks"), chunks(F.col("total") - F.col("most")).alias("other_chunks")), "near-shared")
+    found = rows.join(F.broadcast(shared), "token") if shared.count() <= MOST_BROADCAST else common.salted_join(rows, shared, "token", "uid", "inner")
+    found = found.withColumns({"is_main": F.col("label") == F.col("main"), "before": F.slice("prefix", F.lit(1), F.col("at"))})
+    found = common.stored(found.drop("main", "prefix"), "near-sharers")
+    own = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sides = (*own_columns, "at", "before")
+    a = found.where("not is_main").select("token", own("other_chunks").alias("ca"), every("all_chunks").alias("cb"), *(F.col(x).alias(f"{x}_a") for x in sides))
+    b = found.select("token", every("other_chunks").alias("ca"), own("all_chunks").alias("cb"), "is_main", *(F.col(x).alias(f"{x}_b") for x in sides))
+    c, sizes = F.col, F.col("n_a") + F.col("n_b")
+    least = sizes * (similarity / (1 + similarity)) - 1e-6
+    unlike = F.bit_count(c("m0_a").bitwiseXOR(c("m0_b"))) + F.bit_count(c("m1_a").bitwiseXOR(c("m1_b")))
+    may = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity - 1e-6) & (F.least(c("n_a") - c("at_a"), c("n_b") - c("at_b")) >= least) & (sizes - unlike >= 2 * least)
+    first = ~F.arrays_overlap("before_a", "before_b")
+    once = c("is_main") | (c("uid_a") < c("uid_b"))
+    if radius is not None:
+        may = may & (F.bit_count(c("fingerprint_a").bitwiseXOR(c("fingerprint_b"))) <= radius)
+    return a.join(b, ["token", "ca", "cb"]).where((c("label_a") != c("label_b")) & once & may & first).select(c("uid_a").alias("a"), c("uid_b").alias("b"))
+
+
+def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int | None = 7) -> DataFrame:
     """uid, group (the smallest uid of its near-duplicate group) of every row of docs (uid long, unique; text; stored).
 
-    Rows are linked if their word shingles' Jaccard similarity is at least `similarity`, and their word sets'
-    fingerprints are at most `radius` (up to 7) bits apart; groups are what links connect. Candidates come from the
-    trees and all are verified on whole texts. Copies are one text, texts with one fingerprint are candidates with
-    the first of them, and a few centres of each leaf link large groups first, so that only pairs between groups that are
-    still apart are left to test. Texts without words are copies of each other.
+    Rows are linked if their word shingles' Jaccard similarity is at least `similarity` and, unless radius is None,
+    their word sets' fingerprints are at most `radius` (up to 7) bits apart; groups are what links connect. Copies are
+    one text. The fingerprints' trees come first: texts of one fingerprint are tested with the first of them, and
+    fingerprints with a few centres of each leaf, which links most of a large group. Then all pairs of texts still
+    apart that share a rare shingle, which similar texts do, are candidates. All are verified on whole texts. Texts
+    without words are copies of each other.
     """
     parts, mask = 4, 1
     prints = common.stored(word_fingerprints(docs), "near-prints")
@@ -254,11 +343,11 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     nodes = common.stored(texts.groupBy("fingerprint").agg(F.min("uid").alias("node")), "near-nodes")
     named = lambda pairs: pairs.join(nodes.select(F.col("fingerprint").alias("a"), F.col("node").alias("x")), "a").join(nodes.select(F.col("fingerprint").alias("b"), F.col("node").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     same_print = texts.join(nodes, "fingerprint").where("uid <> node").select(F.col("node").alias("a"), F.col("uid").alias("b"))
-    first = verified(same_print.unionByName(named(_centres(nodes.select("fingerprint"), radius, parts, mask))), docs, words, similarity)
+    first = verified(same_print.unionByName(named(_centres(nodes.select("fingerprint"), 7 if radius is None else radius, parts, mask))), docs, words, similarity)
     joined = components(first)
-    label = nodes.join(joined, nodes.node == joined.node, "left").select("fingerprint", F.coalesce("root", nodes.node).alias("label"))
-    label = common.stored(label, "near-labels")
-    rest = verified(named(links(label, radius, parts, mask).distinct()), docs, words, similarity)
+    label = common.stored(texts.join(joined, texts.uid == joined.node, "left").select("uid", "fingerprint", F.coalesce("root", "uid").alias("label")), "near-labels")
+    prefixed = common.stored(prefixes(docs, words, similarity), "near-prefixes")
+    rest = verified(sharing(prefixed, label, similarity, radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), docs, words, similarity)
     joined = components(first.unionByName(rest))
     roots = texts.join(joined, texts.uid == joined.node, "left").select("digest", "uid", F.coalesce("root", "uid").alias("group"))
     # rows whose text is only theirs, and first rows of a text, need none of the text's rows here
@@ -268,10 +357,13 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     return others.join(own, "uid", "left").select("uid", F.coalesce("of", "group", "uid").alias("group"))
 
 
-def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each near-duplicate group: that of the smallest doc_id (nulls last). All columns stay."""
+def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int | None = 7) -> DataFrame:
+    """docs with one row of each near-duplicate group: that of the smallest doc_id (nulls last). All columns stay.
+
+    With a radius of None, similarity alone decides.
+    """
     rows = common.stored(docs.drop("uid").withColumn("uid", F.monotonically_increasing_id()), "near-docs")
-    groups = near_duplicate_groups(rows.select("uid", "text"), words, similarity)
+    groups = near_duplicate_groups(rows.select("uid", "text"), words, similarity, radius)
     ranked = groups.join(rows.select("uid", "doc_id"), "uid")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("uid").alias("uid"))
     ranked = common.stored(ranked.select("uid", "group", order.alias("order")), "near-ranked")
