@@ -159,6 +159,23 @@ def test_as_of_and_lifecycle(spark):
     assert got == {"The Ring": ("done", 1, 1, 3, 0), "sword": ("none", None, 0, None, 1)}
 
 
+def test_lifecycle_of_paraphrases(spark):
+    acts = [
+        (1, "bury", "The old bronze key under the altar"), (2, "bury", "A stranger watches the northern gate"),
+        (3, "hint", "the old bronze key"), (4, "hint", "The old bronze keys under an altar"), (5, "bury", "the old bronze key under that altar"),
+        (6, "resolve", "A stranger watches the northern gates."), (7, "hint", "Stranger watches the northern gate"), (8, "bury", "a stranger watched the northern gate"),
+        (9, "bury", "key"), (10, "hint", "keys"), (11, "bury", "the silver bell tolls"), (12, "bury", "silver bell of the tower"), (13, "resolve", "the silver bell tolls, silver bell of the tower"),
+    ]
+    acts = spark.createDataFrame([("p", *a) for a in acts], "k string, no int, action string, what string")
+    got = {r.what: (r.status, r.opened, r.hints, r.closed, r.orphans) for r in upsert.lifecycle(acts, "k", ["no"]).collect()}
+    assert got == {
+        "The old bronze key under the altar": ("pending", 1, 2, None, 0),
+        "A stranger watches the northern gate": ("done", 2, 0, 6, 1),
+        "key": ("pending", 9, 0, None, 0), "keys": ("none", None, 0, None, 1),
+        "the silver bell tolls": ("pending", 11, 0, None, 0), "silver bell of the tower": ("done", 12, 0, 13, 0),
+    }
+
+
 def test_budget(spark):
     blocks = spark.createDataFrame([("q", "a", 500, True, 0), ("q", "b", 400, False, 9), ("q", "c", 300, False, 5), ("q", "d", 50, False, 1)], "k string, name string, size long, required boolean, priority int")
     assert [(r.name, r.decision, r.taken) for r in budget.plan(blocks, "k", 1000, 200).orderBy("name").collect()] == [("a", "kept", 500), ("b", "kept", 400), ("c", "dropped", 0), ("d", "kept", 50)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -51,6 +51,20 @@ def same_meaning(a: Column, b: Column, least: float = 0.85, contain: int = 6, lo
     return (x == y) | inside | F.when(shorter >= long, matched(x, y) >= least).otherwise(False)
 
 
+def latest_alike(name: str, others: Iterable[str], least: float = 0.85, contain: int = 6, long: int = 12) -> str | None:
+    """The first of others that means the same as name by the levels of same_meaning; both of letters and digits only."""
+    m = SequenceMatcher(None, "", name, autojunk=False)
+    for other in others:
+        shorter = min(len(other), len(name))
+        if other == name or (shorter >= contain and (other in name or name in other)):
+            return other
+        if shorter >= long:
+            m.set_seq1(other)
+            if m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least:
+                return other
+    return None
+
+
 def without_repeated_tail(rows: DataFrame, text: str, least_chars: int = 20, run: int = 3, similarity: float = 0.8, least_paragraphs: int = 6) -> DataFrame:
     """Cuts the end of texts at a run of `run` or more long paragraphs that are each like an earlier one. Adds n_cut."""
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators import aggregates
+from weft.operators import aggregates, dedup
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -57,22 +57,30 @@ def applied(current: Column, proposed: Column, approved: Column) -> Column:
 def lifecycle(actions: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Threads of bury, hint and resolve actions (action, what): key, what, status, opened, hints, closed, orphans.
 
-    In order, the same words (letters and digits, in any case) are one thread: bury opens it once, hint counts while
-    it is open, resolve closes it; hints and resolves without an open thread are orphans. Keys must fit a task.
+    In order: bury opens a thread unless one of the same meaning is or was open, hint counts while it is open,
+    resolve closes it; hints and resolves without an open thread are orphans, with those of their meaning. Meanings
+    are compared with the first words of a thread, the latest opened first: equal letters and digits in any case, one
+    inside the other, or alike (dedup.latest_alike). Keys must fit a task.
     """
 
     def step(frame: pd.DataFrame) -> pd.DataFrame:
         threads: dict[str, dict] = {}
+        known, pending = {}, {}  # names in the order of opening
         for row in frame.sort_values(order).itertuples():
             name = "".join(c for c in str(row.what).lower() if c.isalnum())
-            t = threads.setdefault(name, {key: getattr(row, key), "what": row.what, "status": "none", "opened": None, "hints": 0, "closed": None, "orphans": 0})
+            of = dedup.latest_alike(name, reversed(known if row.action == "bury" else pending))
+            if of is None:  # a closed thread or an orphan
+                of = name if name in threads else dedup.latest_alike(name, reversed(threads)) or name
+            t = threads.setdefault(of, {key: getattr(row, key), "what": row.what, "status": "none", "opened": None, "hints": 0, "closed": None, "orphans": 0})
             at = getattr(row, order[0])
             if row.action == "bury" and t["status"] == "none":
                 t |= {"status": "pending", "opened": at}
+                known[of] = pending[of] = True
             elif row.action == "hint" and t["status"] == "pending":
                 t["hints"] += 1
             elif row.action == "resolve" and t["status"] == "pending":
                 t |= {"status": "done", "closed": at}
+                del pending[of]
             elif row.action in ("hint", "resolve"):
                 t["orphans"] += 1
         return pd.DataFrame(list(threads.values())).astype({"opened": "Int64", "closed": "Int64"})
