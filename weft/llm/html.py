@@ -1,8 +1,9 @@
 """Main text of HTML pages: rules for what is never text, and removal of site templates.
 
 Each page is walked once: every element's subtree gets a hash of its names, text and children, and each block of
-text keeps the hashes of the block elements around it. Spark counts on how many pages of a host a hash occurs. A
-subtree on most pages of a host, and on many, is a part of the site's template; its blocks go. Navigation, headers,
+text keeps the hashes of the block elements around it. Spark counts on how many different pages of a host, of each of
+its URL sections and of each of its layouts a hash occurs. A subtree on most pages of one of these, and on many, is a
+part of the site's template; its blocks go. Navigation, headers,
 footers, asides, forms, adverts, notices, comments and the like are known by element, role, class or id and go even
 where they differ from page to page.
 
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 from weft.llm import common
 
-#: A subtree is a template's if it is on so many pages of a host, and on this share of the host's pages.
+#: A subtree is a template's if it is on so many different pages of a host, and on this share of the different pages of
+#: the host, of one of its URL sections or of one of its layouts.
 LEAST_PAGES, LEAST_SHARE = 20, 0.6
 #: Rows of (page, hashes) up to which they are broadcast: about 20 MB.
 MOST_BROADCAST = 200_000
@@ -47,6 +49,7 @@ WHOLE = frozenset(("html", "body", "main"))
 _TAG = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|[!?][^>]*(?:>|$)|(?P<close>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$))", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z0-9]+")
+_DIGITS = re.compile(r"\d+")
 
 
 def _is_boilerplate(name: str, attrs: dict[str, str]) -> bool:
@@ -72,7 +75,13 @@ class _Element:
 
 
 def blocks_of(page: str) -> list[tuple[str, list[int]]]:
-    """Blocks of text in page order, each with the hashes of the block elements around it, the outermost first.
+    return parsed(page)[0]
+
+
+def parsed(page: str) -> tuple[list[tuple[str, list[int]]], int]:
+    """A page's blocks, and a hash of its layout: the kinds (names and classes without digits) of the elements around them.
+
+    Blocks of text in page order, each with the hashes of the block elements around it, the outermost first.
 
     Only those inside the page's articles (or else its main element, if any), and in nothing that rules rule out.
     """
@@ -163,50 +172,66 @@ def blocks_of(page: str) -> list[tuple[str, list[int]]]:
     inside = [x for x in found if x[1][-1].article] if any(e[1][-1].article for e in found) else [x for x in found if x[1][-1].main]
     if not inside and not re.search(r"<(?:article|main)[\s>]", page, re.I):
         inside = found
-    return [(text, [e.hash for e in path if e.block and e.name not in WHOLE and e.name != "article"]) for text, path in inside]
+    kinds = {f"{e.name} {_DIGITS.sub('', e.parts[1])}" for _, path in inside for e in path if e.block}
+    layout = xxhash.xxh64_intdigest("\x1f".join(sorted(kinds)).encode("utf-8", "surrogatepass"))
+    return [(text, [e.hash for e in path if e.block and e.name not in WHOLE and e.name != "article"]) for text, path in inside], layout
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
-    """uid, page_id, url, host, blocks (array of text, marks) of every page; only page_id, url and html are read."""
+    """uid, page_id, url, host, section (of the URL's path), layout, blocks (array of text, marks) of every page.
+
+    Only page_id, url and html are read.
+    """
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
     kind = dict(pages.dtypes)["page_id"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in common.sliced(frames, 500):
-            found = [[(text, [h - (1 << 64) if h >> 63 else h for h in marks]) for text, marks in blocks_of(x or "")] for x in frame.html]
-            yield frame[["uid", "page_id", "url"]].assign(blocks=[[{"text": t, "marks": m} for t, m in b] for b in found])
+            found = [parsed(x or "") for x in frame.html]
+            blocks = [[{"text": t, "marks": [signed(h) for h in m]} for t, m in b] for b, _ in found]
+            yield frame[["uid", "page_id", "url"]].assign(layout=[signed(h) for _, h in found], blocks=blocks)
 
     rows = pages.select(F.monotonically_increasing_id().alias("uid"), "page_id", F.col("url").cast("string"), "html")
-    found = rows.mapInPandas(run, f"uid long, page_id {kind}, url string, blocks array<struct<text: string, marks: array<long>>>")
+    found = rows.mapInPandas(run, f"uid long, page_id {kind}, url string, layout long, blocks array<struct<text: string, marks: array<long>>>")
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
-    return found.withColumn("host", F.nullif(host, F.lit("")))
+    section = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)/", 1)
+    return found.withColumns({"host": F.nullif(host, F.lit("")), "section": section})
 
 
 def template_marks(blocks: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """uid, gone (hashes): the template subtrees of each page that has any. Pages without a host have none."""
-    marks = blocks.where("host is not null").select("uid", "host", F.explode(F.array_distinct(F.flatten("blocks.marks"))).alias("mark"))
-    often = marks.groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    all_pages = blocks.where("host is not null").groupBy("host").agg(F.count("*").alias("pages"))
-    templates = often.join(all_pages, "host").where(F.col("n") >= F.col("pages") * least_share)
-    keyed = lambda df: df.withColumn("key", F.xxhash64("host", "mark"))
-    hits = common.salted_join(keyed(marks), keyed(templates).select("key", F.col("host").alias("h"), F.col("mark").alias("m")), "key", "uid", "inner")
-    return hits.where((F.col("host") == F.col("h")) & (F.col("mark") == F.col("m"))).groupBy("uid").agg(F.collect_set("mark").alias("gone"))
+    """uid, gone (hashes): the template subtrees of each page that has any. Pages without a host have none.
+
+    Pages are counted by distinct blocks, so that copies of a page are one, on the whole host and within its pages of
+    the same URL section and of the same layout: a subtree that is a template of any of them is one there.
+    """
+    groups = F.array(F.lit(""), F.concat(F.lit("section "), "section"), F.concat(F.lit("layout "), F.col("layout").cast("string")))
+    hosted = blocks.where("host is not null").withColumn("content", F.xxhash64("blocks"))
+    within = hosted.select("host", F.explode(groups).alias("within"), "content")
+    all_pages = within.groupBy("host", "within").agg(F.count_distinct("content").alias("pages")).where(F.col("pages") >= least_pages)
+    marks = hosted.select("uid", "host", "content", groups.alias("groups"), F.explode(F.array_distinct(F.flatten("blocks.marks"))).alias("mark"))
+    marks = marks.select("uid", "host", F.explode("groups").alias("within"), "content", "mark")
+    often = marks.groupBy("host", "within", "mark").agg(F.count_distinct("content").alias("n")).where(F.col("n") >= least_pages)
+    templates = often.join(all_pages, ["host", "within"]).where(F.col("n") >= F.col("pages") * least_share)
+    names = ("host", "within", "mark")
+    keyed = lambda df: df.withColumn("key", F.xxhash64(*names))
+    hits = common.salted_join(keyed(marks.drop("content")), keyed(templates).select("key", *(F.col(x).alias(f"__{x}") for x in names)), "key", "uid", "inner")
+    same = (F.col("host") == F.col("__host")) & (F.col("within") == F.col("__within")) & (F.col("mark") == F.col("__mark"))
+    return hits.where(same).groupBy("uid").agg(F.collect_set("mark").alias("gone"))
 
 
 def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every page.
 
     Blocks are joined by one line end, in page order; white space inside a block is one blank. A null or empty page
-    has an empty text. Where template subtrees are more than half of a page's text, it is kept whole: pages that are
-    copies of each other are not a template. Repeated rows are all returned; an empty table gives an empty one.
+    has an empty text. Pages that are copies of each other are not a template; a page of nothing but templates has an
+    empty text. Repeated rows are all returned; an empty table gives an empty one.
     """
     blocks = common.stored(page_blocks(pages), "html-blocks")
     hits = common.stored(template_marks(blocks, least_pages, least_share), "html-templates")
     few = hits.count() <= MOST_BROADCAST
     marked = blocks.join(F.broadcast(hits) if few else hits, "uid", "left")
     kept = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.arrays_overlap(b["marks"], F.col("gone"))))
-    chars = lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + F.length(x["text"]))
     marked = marked.withColumn("kept", kept)
-    marked = marked.withColumn("kept", F.when(F.col("gone").isNotNull() & (2 * chars(F.col("kept")) < chars(F.col("blocks"))), F.col("blocks")).otherwise(F.col("kept")))
     text = F.array_join(F.transform("kept", lambda b: b["text"]), "\n")
     return marked.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
