@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from weft.operators import aggregates, budget, cleaning, dedup, graph, intervals, joins, retrieval, sequences, upsert, windows
@@ -115,6 +117,56 @@ def test_sequences(spark):
     assert [r.cluster for r in sequences.clustered(t, "k", "o", "s").orderBy("o").collect()] == [0, 1, 0, 2]
 
 
+def test_merged_is_shortest_and_keeps_repeats():
+    rng = random.Random(2)
+    for _ in range(150):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(6))] for _ in range(2))
+        ta, tb = [rng.randrange(1, 4) for _ in a], [rng.randrange(1, 4) for _ in b]
+        best = {(0, 0): 0}  # breadth first over places of both
+        todo = [(0, 0)]
+        for i, j in todo:
+            for s in set(a[i : i + 1] + b[j : j + 1]):
+                to = i + (a[i : i + 1] == [s]), j + (b[j : j + 1] == [s])
+                if to not in best:
+                    best[to] = best[i, j] + 1
+                    todo.append(to)
+        s, t = sequences.merged(a, b, ta, tb)
+        assert len(s) == len(t) == best[len(a), len(b)] == len(a) + len(b) - sequences.common_length(a, b)
+        for x in (a, b):
+            assert None not in sequences.positions(x, s)
+        assert sum(t) <= sum(ta) + sum(tb) and all(n in ta + tb for n in t)
+    assert sequences.merged("abc", "bcd", [1, 5, 1], [2, 1, 9]) == (list("abcd"), [1, 5, 1, 9])
+    assert sequences.positions("bxd", "abcd") == [1, None, None] and sequences.positions("bd", "abcd") == [1, 3]
+
+
+def test_outcomes():
+    kind = lambda a, b, **more: sequences.outcome(a, b, **more)[0]
+    assert sequences.outcome("abcdef", "acdg") == ("merge", 0.75) and kind("abcdefg", "a") == "apart" and kind("abcdefghijkl", "abcm") == "apart"
+    assert kind("ahf", "agf") == "merge" and kind("ahf", "agf", short=0.7) == "apart"
+    assert kind("abcdefghij", "abcdez") == "apart" and kind("abcdefghij", "abcdefz") == "merge"
+    assert kind("abcdefghijklmnop", "bdf") == "attach" and kind("abcdefghijklmnop", "bdx") == "apart" and kind("abcdefghijklmno", "bdfz") == "apart"
+    assert kind("abc", "abd", cores="c") == "apart" and kind("abd", "abc", cores="ab") == "merge"
+
+
+def test_agglomerate_best_first():
+    long = list("abcdefghijklmnop")
+    assert sequences.agglomerate([list("abcx"), list("abyz"), list("abcd"), list("abcd")]) == ([0, 1, 0, 0], [False] * 4)
+    assert sequences.agglomerate([long, list("bdf"), list("bdx")]) == ([0, 0, 1], [False, True, False])
+    rng = random.Random(4)
+    for _ in range(30):
+        data = [[rng.choice("abcdef") for _ in range(rng.randrange(1, 6))] for _ in range(8)]
+        groups = [([*s], [i]) for i, s in enumerate(data)]
+        while True:  # all pairs again after each step
+            found = [(-sequences.outcome(a, b)[1], i, j) for i, (a, _) in enumerate(groups) for j, (b, _) in enumerate(groups) if i < j and sequences.outcome(a, b)[0] == "merge"]
+            if not found:
+                break
+            _, i, j = min(found)
+            groups[i] = (sequences.supersequence(groups[i][0], groups[j][0]), groups[i][1] + groups[j][1])
+            del groups[j]
+        want = {i: n for n, (_, own) in enumerate(groups) for i in own}
+        assert sequences.agglomerate(data)[0] == [want[i] for i in range(8)]
+
+
 def test_nearest_filters_tenant_first(spark):
     unit = lambda i: [float(i == j) for j in range(4)]
     base = spark.createDataFrame([("mine", i, unit(i)) for i in range(3)] + [("other", 100 + i, unit(0)) for i in range(50)] + [("mine", 9, [1.0])], "tenant string, row_id int, vector array<float>")

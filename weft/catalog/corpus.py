@@ -190,17 +190,16 @@ def _symbols(rows: DataFrame, *keys: str) -> DataFrame:
 
 @query("sequence_align")
 def sequence_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    seqs = _symbols(read(spark, sf_dir, "events"), "user_id")
-    pairs = seqs.withColumn("b", F.lead("a").over(Window.partitionBy(F.element_at("a", 1)).orderBy("user_id"))).where("b is not null")
-    return sequences.aligned(pairs, "a", "b").select("user_id", "common", "merged", "mergeable")
+    # users with an even number and the ones behind them: an equi-join, not a window
+    seqs = _symbols(read(spark, sf_dir, "events").where("user_id is not null"), "user_id")
+    pairs = seqs.where("user_id % 2 = 0").join(seqs.where("user_id % 2 = 1").select((F.col("user_id") - 1).alias("user_id"), F.col("a").alias("b")), "user_id")
+    return sequences.aligned(pairs, "a", "b").select("user_id", "common", "merged", "at", "mergeable")
 
 
 @query("sequence_clusters")
 def sequence_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = _symbols(read(spark, sf_dir, "events").withColumn("day", F.to_date("ts")), "user_id", "day")
-    return sequences.clustered(days, "user_id", "day", "a").select("user_id", "day", "cluster")
+    return sequences.clustered(days, "user_id", "day", "a").select("user_id", "day", "cluster", "attached")
 
 
 @query("repeated_tail")

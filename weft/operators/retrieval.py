@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of query vectors that a task may hold.
-MOST_QUERY_BYTES = 256 << 20
+#: Numbers of query vectors that a task holds at once.
+BLOCK_NUMBERS = 32 << 20
+
+
+def _dimensions(queries: DataFrame) -> tuple[int, int]:
+    """Queries, and numbers in all of their vectors."""
+    return tuple(x or 0 for x in queries.agg(F.count("*"), F.sum(F.size("vector"))).first())
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine", tenant: str | None = None) -> DataFrame:
@@ -18,42 +24,54 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine",
 
     queries: query_id, vector; rows: row_id, vector; both with the tenant column if one is named: a query sees its
     tenant's rows only. Scores: cosine, or 1 / (1 + L2 distance). Rows are scanned in batches by matrix products
-    against all queries, each task keeps k of its rows for a query, and those few are ranked. Queries are collected
-    and broadcast: their bytes are checked, and more of them must come in blocks.
+    against all queries, each task keeps k of its rows for a query, and those few are ranked. Queries are collected and
+    broadcast in blocks by a hash of their id, as many as their counted numbers need: rows are scanned once a block.
     """
-    spark = rows.sparkSession
-    held = queries.select("query_id", "vector", *([tenant] if tenant else [])).toPandas() if queries.count() else pd.DataFrame(columns=["query_id", "vector"])
-    if held.vector.map(len).sum() * 8 > MOST_QUERY_BYTES:
-        raise ValueError("too many queries at once: pass them in blocks")
-    matrix = np.array(held.vector.tolist(), float).reshape(len(held), -1 if len(held) else 0)
-    sent = spark.sparkContext.broadcast((held.query_id.to_numpy(), matrix, held[tenant].to_numpy() if tenant else None))
+    asked = queries.select("query_id", "vector", *([tenant] if tenant else [])).where("vector is not null")
+    n, numbers = _dimensions(asked)
+    kinds = dict(queries.dtypes)["query_id"], dict(rows.dtypes)["row_id"]
+    fields = f"query_id {kinds[0]}, row_id {kinds[1]}, score double"
+    if not n:
+        return ranked(rows.sparkSession.createDataFrame([], fields), ["query_id"], [F.col("score").desc(), F.col("row_id")])
+    blocks = -(-numbers // BLOCK_NUMBERS)
+    parts = [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else asked for i in range(blocks)]
+    found = reduce(DataFrame.unionByName, (_scanned(part, rows, k, metric, tenant, fields) for part in parts))
+    return ranked(found, ["query_id"], [F.col("score").desc(), F.col("row_id")]).where(F.col("rank") <= k)
+
+
+def _scanned(queries: DataFrame, rows: DataFrame, k: int, metric: str, tenant: str | None, fields: str) -> DataFrame:
+    held = queries.toPandas()  # a block
+    sizes = held.vector.map(len)
+    sent = rows.sparkSession.sparkContext.broadcast([(own.query_id.to_numpy(), np.array(own.vector.tolist(), float), own[tenant].to_numpy() if tenant else None) for _, own in held.groupby(sizes)])
+
+    def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        if metric == "cosine":
+            scale = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
+            return np.divide(q @ x.T, scale, out=np.zeros(scale.shape), where=scale > 0).round(6)
+        return np.array([1 / (1 + np.sqrt(((x - v) ** 2).sum(1))) for v in q]).round(6)
 
     def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q, owner = sent.value
-        best: dict[int, pd.DataFrame] = {}
+        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # by the queries' dimension: ids, row ids, scores
         for frame in frames:
-            frame = frame[frame.vector.map(lambda v: v is not None and len(v) == q.shape[1])]
-            if not len(frame) or not len(q):
-                continue
-            x = np.array(frame.vector.tolist(), float)
-            if metric == "cosine":
-                scale = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
-                scores = np.divide(q @ x.T, scale, out=np.zeros(scale.shape), where=scale > 0)
-            else:
-                scores = np.array([1 / (1 + np.sqrt(((x - v) ** 2).sum(1))) for v in q])
-            scores = scores.round(6)
-            rid = frame.row_id.to_numpy()
-            for i in range(len(q)):
-                ok = np.ones(len(rid), bool) if owner is None else frame[tenant].to_numpy() == owner[i]
-                own = pd.DataFrame({"query_id": ids[i], "row_id": rid[ok], "score": scores[i][ok]})
-                own = own if i not in best else pd.concat([best[i], own])
-                best[i] = own.sort_values(["score", "row_id"], ascending=[False, True]).head(k)
-        for own in best.values():
-            yield own
-
-    kinds = dict(queries.dtypes)["query_id"], dict(rows.dtypes)["row_id"]
-    found = rows.select("row_id", "vector", *([tenant] if tenant else [])).mapInPandas(step, f"query_id {kinds[0]}, row_id {kinds[1]}, score double")
-    return ranked(found, ["query_id"], [F.col("score").desc(), F.col("row_id")]).where(F.col("rank") <= k)
+            size = frame.vector.map(lambda v: -1 if v is None else len(v))
+            for ids, q, owner in sent.value:
+                own = frame[size == q.shape[1]]
+                if not len(own):
+                    continue
+                at = scores(q, np.array(own.vector.tolist(), float))
+                if owner is not None:
+                    at[owner[:, None] != own[tenant].to_numpy()[None, :]] = -np.inf
+                rid = np.broadcast_to(own.row_id.to_numpy(), at.shape)
+                if q.shape[1] in best:
+                    _, before, old = best[q.shape[1]]
+                    rid, at = np.concatenate([before, rid], axis=1), np.concatenate([old, at], axis=1)
+                first = np.lexsort((rid, -at), axis=1)[:, :k]
+                best[q.shape[1]] = ids, np.take_along_axis(rid, first, 1), np.take_along_axis(at, first, 1)
+        for ids, rid, at in best.values():
+            ok = np.isfinite(at)
+            yield pd.DataFrame({"query_id": np.repeat(ids, ok.sum(1)), "row_id": rid[ok], "score": at[ok]})
+
+    return rows.select("row_id", "vector", *([tenant] if tenant else [])).mapInPandas(step, fields)
 
 
 def ranked(rows: DataFrame, keys: list[str], order: list[Column], rank: str = "rank") -> DataFrame:

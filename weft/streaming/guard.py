@@ -35,14 +35,11 @@ def fold(window: str, chunk: str) -> tuple[str, bool]:
 def guarded(chunks: DataFrame) -> DataFrame:
     """stream_id, seq, chunk, stopped of a stream of (stream_id, seq, chunk); nothing of a stream after it stopped.
 
-    State for each stream is its last 600 characters; streams without data for an hour are forgotten. Works on a
-    streaming DataFrame; a micro-batch's chunks of a stream are taken in the order of seq.
+    State for each stream is its last 600 characters, or that it was stopped, and is kept: a stream that stopped never
+    starts again. Works on a streaming DataFrame; a micro-batch's chunks of a stream are taken in the order of seq.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         window, stopped = state.get if state.exists else ("", False)
         out = []
         for row in pd.concat(list(frames)).sort_values("seq").itertuples():
@@ -50,12 +47,11 @@ def guarded(chunks: DataFrame) -> DataFrame:
                 break
             window, stopped = fold(window, row.chunk or "")
             out.append((key[0], row.seq, row.chunk, stopped))
-        state.update((window, stopped))
-        state.setTimeoutDuration(3_600_000)
+        state.update(("" if stopped else window, stopped))
         yield pd.DataFrame(out, columns=["stream_id", "seq", "chunk", "stopped"])
 
     kind = dict(chunks.dtypes)["stream_id"]
-    return chunks.groupBy("stream_id").applyInPandasWithState(step, f"stream_id {kind}, seq long, chunk string, stopped boolean", "window string, stopped boolean", "append", "ProcessingTimeTimeout")
+    return chunks.groupBy("stream_id").applyInPandasWithState(step, f"stream_id {kind}, seq long, chunk string, stopped boolean", "window string, stopped boolean", "append", "NoTimeout")
 
 
 def guarded_batch(chunks: DataFrame) -> DataFrame:
