@@ -63,6 +63,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """`name`, or `name` with a number behind it, that no column of df has (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    return next(x for x in (name, *(f"{name}{i}" for i in range(2, len(taken) + 3))) if x.lower() not in taken)
+
+
 def fanout(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,14 +7,15 @@ soon falls into a part where none of them is. Its score is 2^(-mean path / mean
 threshold is the score that parts the two labels best on other labelled rows, with at most a set share of the good
 ones beyond it.
 
-Counts are over whole texts of all documents and are stored once. The forest and the threshold are fitted on
-bounded samples of labelled rows (FIT_ROWS and CALIBRATION_ROWS, those with the smallest hash of doc_id); all rows
-are then scored by a vectorised function to which the forest (TREES * 2 * SAMPLE nodes at most) is passed.
+Counts are over whole texts of all documents and are stored once. The forest is fitted on a bounded sample of labelled
+rows (FIT_ROWS, those with the smallest hash of doc_id); the threshold is from all other labelled rows, by counts of
+(rounded score, label). All rows are then scored by a vectorised function to which the forest (TREES * 2 * SAMPLE nodes
+at most) is passed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from weft.llm import common
 
 TREES, SAMPLE = 100, 256
-#: Labelled good rows that the forest is fitted on, and labelled rows of both kinds that the threshold is from.
-FIT_ROWS, CALIBRATION_ROWS = 8192, 32768
+#: Labelled good rows that the forest is fitted on at most.
+FIT_ROWS = 8192
 #: The share of good labelled rows that the threshold may reject.
 GOOD_LOSS = 0.001
 WINDOW = 5
@@ -74,17 +75,20 @@ def measured(texts: pd.Series) -> pd.DataFrame:
     ).drop(columns="n_lines")
 
 
-def rule_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and what is measured of every row. Other columns are not read."""
+def with_statistics(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a struct `name` of what is measured of the column text (COUNTS, base_failed, FEATURES)."""
+    fields = ", ".join([*(f"{c} long" for c in COUNTS), "base_failed boolean", *(f"{c} double" for c in FEATURES)])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in common.sliced(frames):
-            out = measured(frame.text)
-            out.insert(0, "doc_id", frame.doc_id.astype("Int64").to_numpy())
-            yield out.astype({"doc_id": "Int64"})
+    @F.pandas_udf(fields)
+    def measure(texts: pd.Series) -> pd.DataFrame:
+        return measured(texts)
 
-    fields = ", ".join([*(f"{c} long" for c in ["doc_id", *COUNTS]), "base_failed boolean", *(f"{c} double" for c in FEATURES)])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, fields)
+    return docs.withColumn(name, measure("text"))
+
+
+def rule_statistics(docs: DataFrame) -> DataFrame:
+    """doc_id and what is measured of every row. Other columns are not read."""
+    return with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "found").select("doc_id", "found.*")
 
 
 def mean_path(n: np.ndarray | float) -> np.ndarray:
@@ -134,17 +138,18 @@ class Forest:
         return 2.0 ** (-total / len(self.trees) / max(float(mean_path(self.sample)), 1e-9))
 
 
-def threshold(scores: np.ndarray, good: np.ndarray, loss: float = GOOD_LOSS) -> float:
+def threshold(scores: np.ndarray, good: np.ndarray, loss: float = GOOD_LOSS, rows: np.ndarray | None = None) -> float:
     """The score above which most bad rows and at most `loss` of the good ones are; no bad or no good rows: infinity.
 
     Of the cuts that reject at most that share of good rows, one with the most rejected bad rows less rejected good
-    ones (as shares) is taken, half way to the next score.
+    ones (as shares) is taken, half way to the next score. `rows`: how many rows have each score (one by default).
     """
+    rows = np.ones(len(scores)) if rows is None else np.asarray(rows, float)
     if not good.any() or good.all():
         return float("inf")
     order = np.argsort(-scores, kind="stable")
-    s, g = scores[order], good[order]
-    lost, caught = np.cumsum(g) / good.sum(), np.cumsum(~g) / (~good).sum()
+    s, g, n = scores[order], good[order], rows[order]
+    lost, caught = np.cumsum(n * g) / n[g].sum(), np.cumsum(n * ~g) / n[~g].sum()
     last = np.append(s[1:] < s[:-1], True)
     gain = np.where(last & (lost <= loss), caught - lost, -1.0)
     best = int(np.argmax(gain))
@@ -156,31 +161,38 @@ def threshold(scores: np.ndarray, good: np.ndarray, loss: float = GOOD_LOSS) ->
 def fit(stats: DataFrame, labels: DataFrame) -> tuple[Forest, float] | None:
     """The forest and the threshold from labels (doc_id, quality: 0 or 1); None without good labelled rows.
 
-    Labels of unknown documents, without a quality, or with two different ones for a document don't count.
+    Labels of unknown documents, without a quality, or with two different ones for a document don't count. The forest
+    is fitted on a bounded sample of a quarter of the good rows; the threshold is from all other labelled rows.
     """
     one = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other")
     known = stats.where("not base_failed").join(one.drop("other"), "doc_id").select("doc_id", "quality", *FEATURES, F.xxhash64("doc_id", F.lit("fit")).alias("h"))
-    rows = lambda df, n: df.orderBy("h", "doc_id", *FEATURES).limit(n).toPandas()  # noqa: E731  bounded
+    known = common.stored(known, "rule-labelled")
     apart = F.pmod("h", F.lit(4)) == 0
-    good = rows(known.where(apart & (F.col("quality") == 1)), FIT_ROWS)
+    good = known.where(apart & (F.col("quality") == 1)).orderBy("h", "doc_id", *FEATURES).limit(FIT_ROWS).toPandas()  # bounded
     if not len(good):
         return None
-    other = rows(known.where(~apart), CALIBRATION_ROWS)
     span = stats.agg(*(f(x) for f in (F.min, F.max) for x in FEATURES)).first()
     forest = Forest(good[FEATURES].to_numpy(float), *np.array(span, float).reshape(2, -1))
+    other = scored(known.where(~apart), forest).groupBy(F.round("anomaly", 5).alias("score"), "quality").count().toPandas()  # at most 100,000 scores a label
+    common.discard(known)
     if not len(other):
         return forest, float("inf")
-    return forest, threshold(forest.score(other[FEATURES].to_numpy(float)), other.quality.to_numpy() == 1)
+    return forest, threshold(other.score.to_numpy(float), other.quality.to_numpy() == 1, rows=other["count"].to_numpy())
 
 
-def scored(stats: DataFrame, forest: Forest) -> DataFrame:
-    """stats with `anomaly`, the forest's score."""
+def anomaly_of(forest: Forest) -> Callable[..., Column]:
+    """The forest's score as a function of the FEATURES columns."""
 
     @F.pandas_udf("double")
     def score(*features: pd.Series) -> pd.Series:
         return pd.Series(forest.score(np.column_stack([x.to_numpy(float) for x in features])))
 
-    return stats.withColumn("anomaly", score(*FEATURES))
+    return score
+
+
+def scored(stats: DataFrame, forest: Forest) -> DataFrame:
+    """stats with `anomaly`, the forest's score."""
+    return stats.withColumn("anomaly", anomaly_of(forest)(*FEATURES))
 
 
 def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -202,20 +214,21 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that verdicts() keeps, with all their columns.
+    """The rows of docs that verdicts() keeps, with all their columns, whatever their names.
 
-    A verdict depends on the text alone, so texts are measured again where they are read: no text is shuffled.
+    Each text is measured once, where it is read, and stored with what was found: no text is shuffled. Rows with a
+    null or empty text fail the base rules; null doc_ids have no label; repeated rows are all kept or none. An empty
+    table gives an empty one.
     """
-    fitted = fit(common.stored(rule_statistics(docs), "rule-statistics"), labels)
-
-    @F.pandas_udf("boolean")
-    def passed(texts: pd.Series) -> pd.Series:
-        found = measured(texts)
-        good = ~found.base_failed
-        return good if fitted is None else good & (fitted[0].score(found[FEATURES].to_numpy(float)) <= fitted[1])
-
-    return docs.where(passed("text"))
+    found = common.spare(docs, "found")
+    rows = common.stored(with_statistics(docs, found), "rule-docs")
+    fitted = fit(rows.select(F.col("doc_id").cast("long").alias("doc_id"), f"{found}.*"), labels)
+    good = ~F.col(found).getField("base_failed")
+    if fitted is not None:
+        good = good & (anomaly_of(fitted[0])(*(F.col(found).getField(x) for x in FEATURES)) <= F.lit(fitted[1]))
+    return rows.where(good).select(*docs.columns)
 
 
 def op4_isolation_forest_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """verdicts on all documents, with all labels."""
     return verdicts(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
