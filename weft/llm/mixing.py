@@ -80,16 +80,17 @@ def schedule(sources: DataFrame, block_words: int) -> DataFrame:
     return ranked.unionByName(more)
 
 
-def mix(docs: DataFrame, weights: list[int], total: float = 1.5, cap: float = 2.0, block_words: int = 1024, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: list[int], total: float = 1.5, cap: float = 2.0, block_words: int = 1024) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three tables: documents (uid, doc_id, source, size, source_size, target), the mix (slot, source, uid, start,
     words: the words from `start` of the document, in the order slot, uid), and sources (source, source_size, target, goal).
 
-    docs: uid (long, unique), doc_id, source, size; a stored table. Documents without words are in no slot. An empty
-    table, or one without words, gives an empty mix. A null source is a source of its own. Reruns agree.
+    docs: uid (long, unique), doc_id, source, size, draw and draw2 (hashes of the document); a stored table. Documents
+    without words are in no slot. An empty table, or one without words, gives an empty mix. A null source is a source
+    of its own. The order is that of draw, draw2: it does not depend on how docs are split, so reruns agree; uid only
+    tells apart rows that are equal.
     """
     sources = common.stored(targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total, cap), "mix-sources")
-    shuffled = F.xxhash64("uid", F.lit(seed))
-    placed = common.prefix_sum(docs.where("size > 0").withColumn("__h", shuffled), "size", "at", ["source"], F.shiftright(F.col("__h"), 50), [F.col("__h"), F.col("uid")])
+    placed = common.prefix_sum(docs.where("size > 0"), "size", "at", ["source"], F.shiftright(F.col("draw"), 50), [F.col("draw"), F.col("draw2"), F.col("uid")])
     first, last = F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words)
     pieces = placed.withColumn("block", F.explode(F.sequence(first, last)))
     begin = F.greatest(F.col("at"), F.col("block") * block_words)
@@ -108,14 +109,18 @@ def mix(docs: DataFrame, weights: list[int], total: float = 1.5, cap: float = 2.
     return known, taken, sources
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """docs as a stored table with uid and size (words). Other columns stay; own ones named uid and size give way."""
-    return common.stored(docs.drop("uid", "size").withColumns({"uid": F.monotonically_increasing_id(), "size": n_words(F.col("text"))}), "mix-docs")
+SEED = 17
+
+
+def drawn(docs: DataFrame, uid: str) -> dict[str, Column]:
+    """The columns that mix() needs of docs (doc_id, source, text), but for `uid`, which numbers the rows already."""
+    hashed = lambda seed: F.xxhash64(F.lit(seed), "doc_id", "text", "source")
+    return {"uid": F.col(uid), "doc_id": F.col("doc_id"), "source": F.col("source"), "size": n_words(F.col("text")), "draw": hashed(SEED), "draw2": hashed(SEED + 1)}
 
 
 def taken_by_row(rows: DataFrame, weights: list[int], total: float, cap: float) -> DataFrame:
-    """uid, doc_id, size, source_size, target, taken of each of the sized rows."""
-    known, taken, _ = mix(rows.select("uid", "doc_id", "source", "size"), weights, total, cap)
+    """uid, doc_id, size, source_size, target, taken of each row of a stored table as mix() needs it."""
+    known, taken, _ = mix(rows, weights, total, cap)
     by_row = taken.groupBy("uid").agg(F.sum("words").alias("taken"))
     return known.join(by_row, "uid", "left").select("uid", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
@@ -123,25 +128,30 @@ def taken_by_row(rows: DataFrame, weights: list[int], total: float, cap: float)
 def taken_words(docs: DataFrame, weights: list[int] = [3, 1, 2], total: float = 1.5, cap: float = 2.0) -> DataFrame:  # noqa: B006
     """doc_id, size, source_size, target, taken of every document (see mix); only doc_id, source and text are read.
 
-    A null text has size 0; documents without words have taken 0. Equal rows are separate documents.
+    A null text has size 0; documents without words have taken 0. Equal rows are separate documents. An empty table
+    gives an empty one.
     """
-    return taken_by_row(sized(docs.select("doc_id", "source", "text")), weights, total, cap).drop("uid")
+    numbered = docs.select("doc_id", "source", "text").withColumn("uid", F.monotonically_increasing_id())
+    rows = common.stored(numbered.select(*(c.alias(name) for name, c in drawn(numbered, "uid").items())), "mix-rows")
+    return taken_by_row(rows, weights, total, cap).drop("uid")
 
 
 def mixed_documents(docs: DataFrame, weights: list[int] = [3, 1, 2], total: float = 1.5, cap: float = 2.0) -> DataFrame:  # noqa: B006
-    """The rows of docs as often as the mix takes them, with all their columns.
+    """The rows of docs as often as the mix takes them, with all their columns, whatever their names.
 
     A document that the mix takes in part at a source's end is there if that is at least half of it. Documents
-    without words, of which a mix can take none, stay once.
+    without words (and with a null text), of which a mix can take none, stay once. A null source is a source of its
+    own. Of rows that are equal in doc_id, source and text, any may be the one that is taken more often. An empty
+    table gives an empty one.
     """
-    rows = sized(docs)
-    taken = taken_by_row(rows, weights, total, cap).select("uid", "taken")
-    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
-    back = [c for c in docs.columns if c in ("uid", "size")]  # gave way
-    if back:
-        raise ValueError(f"docs have columns {back}")
-    return rows.join(taken, "uid").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    uid, copy, times = (common.spare(docs, x) for x in ("uid", "copy", "times"))
+    rows = common.stored(docs.withColumn(uid, F.monotonically_increasing_id()), "mix-docs")
+    slim = common.stored(rows.select(*(c.alias(name) for name, c in drawn(rows, uid).items())), "mix-rows")
+    often = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
+    taken = taken_by_row(slim, weights, total, cap).select(F.col("uid").alias(uid), often.alias(times)).where(F.col(times) > 0)
+    return rows.join(taken, uid).withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(*docs.columns)
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """taken_words of all documents."""
     return taken_words(common.documents(spark, sf_dir))
