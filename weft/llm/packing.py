@@ -82,14 +82,15 @@ def mutate(bins: Packing, lengths: list[int], capacity: int, rng: random.Random)
 
 
 def evolve(lengths: list[int], capacity: int, seeds: list[Packing], population: int, generations: int, seed: int) -> Packing:
-    """The best packing found. Ends early at the lower bound ceil(sum / capacity), where no packing has fewer bins."""
+    """The best packing found: seeds and best fits in random orders, then a child of two of them in each generation.
+
+    Ends early at the lower bound ceil(sum / capacity), where no packing has fewer bins.
+    """
     rng = random.Random(seed)
     least = -(-sum(lengths) // capacity)
     herd = list(seeds)
-    falling = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    while len(herd) < population and all(len(x) > least for x in herd):
-        order = falling if not herd else sorted(falling, key=lambda i: -lengths[i] * rng.uniform(0.7, 1.3))
-        herd.append(best_fit(order, lengths, [], capacity))
+    while len(herd) < population:
+        herd.append(best_fit(rng.sample(range(len(lengths)), len(lengths)), lengths, [], capacity))
     herd.sort(key=lambda x: fitness(x, lengths))
     for _ in range(generations):
         if len(herd[0]) <= least or len(herd) < 2:
@@ -114,12 +115,13 @@ def _numbered(bins: Packing, n: int) -> np.ndarray:
     return out
 
 
-def pack(items: DataFrame, capacity: int = 4096, block_items: int = 2000, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 12) -> DataFrame:
+def pack(items: DataFrame, capacity: int = 4096, block_items: int = 2000, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 30) -> DataFrame:
     """uid, sequence_id, offset for each row of items (uid long, unique; length int in 1..capacity).
 
     items is read several times: pass a stored table. Rows of the full capacity are sequences of their own. No item
     is dropped or cut; sums of lengths in a sequence are at most the capacity, and offsets are gapless from 0. An
-    empty table gives an empty one; lengths outside 1..capacity raise.
+    empty table gives an empty one; lengths outside 1..capacity raise. Blocks are dealt by uid, so another numbering
+    of the rows gives another packing of much the same number of sequences.
     """
     spark = items.sparkSession
     n, low, high = items.agg(F.count(F.when(F.col("length") < capacity, 1)), F.min("length"), F.max("length")).first()
@@ -140,10 +142,13 @@ def pack(items: DataFrame, capacity: int = 4096, block_items: int = 2000, island
 
         return island
 
+    held: list[DataFrame] = []
     for epoch in range(epochs):
         if epoch:
             state = state.unionByName(state.withColumns({"island": F.pmod(F.col("island") + 1, F.lit(islands)), "origin": F.lit(1)}))
         state = common.stored(state.groupBy("block", "island").applyInPandas(epoch_of(epoch), state.schema), "pack-epoch")
+        common.discard(*held)
+        held = [state]
 
     def placed(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["bin", "uid"])
@@ -156,6 +161,8 @@ def pack(items: DataFrame, capacity: int = 4096, block_items: int = 2000, island
 
     chosen = common.stored(state.groupBy("block").applyInPandas(elite, "block long, uid long, length int, bin long, offset long, open boolean"), "pack-elite")
 
+    common.discard(*held)
+
     def merged(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("uid")
         lengths = rows.length.tolist()
@@ -192,10 +199,15 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
 
 
 def packed_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece (see token_pieces and pack)."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece (see token_pieces and pack).
+
+    Null and empty texts are a piece of one id; null doc_ids stay null; repeated rows are packed as often as they are
+    there. An empty table gives an empty one. Other columns are not read.
+    """
     pieces = common.stored(token_pieces(docs, tokenizer or common.vocabulary(), capacity), "pack-pieces")
     return pieces.join(pack(pieces, capacity), "uid").select("doc_id", "piece", "start", F.col("length").cast("long"), "ids_crc32", "sequence_id", "offset")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """packed_documents of all documents."""
     return packed_documents(common.documents(spark, sf_dir))
