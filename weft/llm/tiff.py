@@ -234,13 +234,13 @@ def _page(number: int, data: bytes, order: str, tags: dict[int, list[int]]) -> P
     return Page(number, out, compression, predictor, tiled)
 
 
-def write_pages(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, strip_rows: int = 64, tile: int = 0) -> bytes:
-    """A little-endian file of 8-bit pages (rows, columns), in strips of strip_rows, or in square tiles of `tile` (a multiple of 16)."""
+def write_pages(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, strip_rows: int = 64, tile: int | tuple[int, int] = 0) -> bytes:
+    """A little-endian file of 8-bit pages (rows, columns), in strips of strip_rows, or in tiles of `tile` (side, or width and height: multiples of 16)."""
     out = bytearray(b"II*\0\0\0\0\0")
     link = 4
     for page in pages:
         rows, columns = page.shape
-        wide, high = (tile, tile) if tile else (columns, strip_rows)
+        wide, high = (columns, strip_rows) if not tile else (tile, tile) if isinstance(tile, int) else tile
         offsets, counts = [], []
         for y in range(0, rows, high):
             for x in range(0, columns, wide):
@@ -267,18 +267,26 @@ def write_pages(pages: list[np.ndarray], compression: int = DEFLATE, predictor:
 
 def page_rows(files: DataFrame, media: str = "media") -> DataFrame:
     """The rows of files, once for each page of the binary column `media`, with page, page_rows, page_columns,
-    page_samples (a pixel), compression, predictor, tiled, pixels (binary, native byte order) instead of it.
+    page_samples (a pixel), compression, predictor, tiled, pixels (binary, native byte order), error instead of it.
 
-    A null or empty file has no page. Other columns stay; a column with one of these names raises.
+    A null or empty file has no page. A damaged one has a row with `error` and no page, behind those of its pages that
+    can be read. A file's rows follow each other, in the order of its pages. Other columns stay; a column with one of
+    these names raises.
     """
-    added = "page int, page_rows int, page_columns int, page_samples int, compression int, predictor int, tiled boolean, pixels binary"
+    added = "page int, page_rows int, page_columns int, page_samples int, compression int, predictor int, tiled boolean, pixels binary, error string"
     names = [x.split()[0] for x in added.split(", ")]
     if clash := set(names) & set(files.columns):
         raise ValueError(f"files have columns {sorted(clash)} already")
 
     @F.udf(f"array<struct<{added.replace(' ', ':').replace(',:', ',')}>>", useArrow=True)
     def decoded(data: bytes | None) -> list:
-        return [(p.number, *p.samples.shape, p.compression, p.predictor, p.tiled, p.samples.tobytes()) for p in read_pages(data)] if data else []
+        rows: list[tuple] = []
+        try:
+            for p in read_pages(data) if data else ():
+                rows.append((p.number, *p.samples.shape, p.compression, p.predictor, p.tiled, p.samples.tobytes(), None))
+        except ValueError as e:
+            rows.append((*(None,) * 8, str(e)))
+        return rows
 
     kept = [c for c in files.columns if c != media]
     return files.select(*kept, F.explode(decoded(media)).alias("__page")).select(*kept, "__page.*")
@@ -296,15 +304,13 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 def stored_form(payload: bytes) -> bytes:
     """The payload as grey pages of 576 columns and up to 64 rows.
 
-    Short payloads (one row) are LZW, up to eight rows PackBits, longer ones deflate; in strips, and from 32 rows on
-    in tiles; payloads of an even number of rows have the predictor. So all forms are in use, and equal payloads are
-    equal files.
+    The codec (LZW, PackBits or deflate), the predictor, and strips or tiles are drawn by the payload's CRC: texts of
+    any length are in any form, and equal payloads are equal files.
     """
     a = np.frombuffer(payload, np.uint8).reshape(-1, COLUMNS)
-    rows = len(a)
-    compression = LZW if rows == 1 else PACKBITS if rows <= 8 else DEFLATE
-    predictor = 2 if compression != DEFLATE and rows % 2 == 0 else 1  # differences of text are hard to deflate
-    return write_pages([a[y : y + PAGE_ROWS] for y in range(0, rows, PAGE_ROWS)], compression, predictor, 16, 576 if compression == DEFLATE and rows >= 32 else 0)
+    drawn = zlib.crc32(payload)
+    codec, drawn = (LZW, PACKBITS, DEFLATE)[drawn % 3], drawn // 3
+    return write_pages([a[y : y + PAGE_ROWS] for y in range(0, len(a), PAGE_ROWS)], codec, 1 + drawn % 2, 16, (192, 16) if drawn // 2 % 2 else 0)
 
 
 def payload_media(docs: DataFrame) -> DataFrame:
@@ -321,28 +327,57 @@ def payload_media(docs: DataFrame) -> DataFrame:
 def media_features(media: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of stored media.
 
-    feature: pages, mean sample and entropy in bits a sample, of all pages' samples.
+    Files become rows of pages (page_rows); a fold over these, which follow each other in their task, gives a row for
+    each file. feature: pages, mean sample and entropy in bits a sample, of all pages' samples. A file that can't be
+    read whole has none of what is from its pages, and the error as its feature.
     """
+    columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in common.sliced(frames, 200):
-            out = []
-            for row in frame.itertuples(index=False):
-                pages = [p.samples.tobytes() for p in read_pages(row.media)]
-                payload = b"".join(pages)
-                counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
-                share = counts[counts > 0] / len(payload)
-                feature = f"pages={len(pages)};mean={counts @ np.arange(256) / len(payload):.4f};entropy={-(share * np.log2(share)).sum() + 0.0:.4f}"
-                out.append((row.doc_id, row.n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(row.media), hashlib.sha256(row.media).hexdigest(), feature))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]).astype({"doc_id": "Int64"})
+        row, sha, counts, tail, pages, error = None, hashlib.sha256(), np.zeros(256, np.int64), b"", 0, None
 
-    return media.select("doc_id", "n_bytes", "media").mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+        def done() -> tuple:
+            head, last = (row.doc_id, row.n_bytes), (row.media_bytes, row.media_sha256)
+            if error is not None:
+                return *head, None, None, None, *last, error
+            n = int(counts.sum())
+            share = counts[counts > 0] / n
+            feature = f"pages={pages};mean={counts @ np.arange(256) / n:.4f};entropy={-(share * np.log2(share)).sum() + 0.0:.4f}"
+            return *head, n, sha.hexdigest(), zlib.crc32(tail), *last, feature
+
+        def table(out: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(out, columns=columns).astype({c: "Int64" for c in ("doc_id", "payload_bytes", "tail_crc32")})
+
+        for frame in frames:
+            out = []
+            for page in frame.itertuples(index=False):
+                if row is None or page.uid != row.uid:
+                    if row is not None:
+                        out.append(done())
+                    row, sha, counts, tail, pages, error = page, hashlib.sha256(), np.zeros(256, np.int64), b"", 0, None
+                if page.error is not None:
+                    error = page.error
+                    continue
+                sha.update(page.pixels)
+                counts += np.bincount(np.frombuffer(page.pixels, np.uint8), minlength=256)
+                tail, pages = (tail + page.pixels)[-32:], pages + 1
+            yield table(out)
+        if row is not None:
+            yield table([done()])
+
+    files = media.select("doc_id", "n_bytes", "media", F.monotonically_increasing_id().alias("uid"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    pages = page_rows(files).select("uid", "doc_id", "n_bytes", "media_bytes", "media_sha256", "pixels", "error")
+    return pages.mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def payload_documents(docs: DataFrame) -> DataFrame:
-    """media_features of every row of docs, from the stored files read again. Repeated rows, nulls and empty texts are rows like others."""
+    """media_features of every row of docs, from the stored files read again.
+
+    Repeated rows, nulls and empty texts are rows like others; an empty table gives an empty one.
+    """
     return media_features(common.stored(payload_media(docs), "tiff"))
 
 
 def op5_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """payload_documents of all documents."""
     return payload_documents(common.documents(spark, sf_dir))
