@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables: nulls, empty and long texts, ties, repeats, clashing columns."""
 
 import binascii
+import gzip
 import hashlib
 import random
 import re
@@ -10,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from weft.llm import bitpack, common, html, mixing, packing, quality, sharding, simhash, tiff, tokencount, warc
@@ -101,6 +103,11 @@ def test_warc(spark, tmp_path):
         n = int(re.search(rb"Content-Length: (\d+)$", head)[1])
         assert head.startswith(b"WARC/1.1\r\nWARC-Type: ") and len(body) == n + 4 and body.endswith(b"\r\n\r\n")
     warc.export_warc(spark, path, f"file://{tmp_path}/warc")
+    members = sorted(spark.read.parquet(f"file://{tmp_path}/warc").collect(), key=lambda r: r.offset)
+    file = b"".join(bytes(r.member) for r in members)
+    wanted = Counter(bytes(r.record) for r in warc.rebuilt(warc.read_archive(spark, path)).collect())
+    assert len(members) == len(rows) and Counter(gzip.decompress(file[r.offset : r.offset + r.length]) for r in members) == wanted
+    assert {r.url for r in warc.read_archive(spark, path).collect()} == {"u", None, "a%0D%0Ab"}
     assert warc.archived_pages(pages.limit(0)).count() == 0
 
 
@@ -109,6 +116,11 @@ def test_damaged_archive_is_noticed(spark, tmp_path):
     spark.createDataFrame([("00", 1, bytearray(b"x"))], "payload_digest string, copies long, payload binary").write.parquet(f"{path}/payloads")
     with pytest.raises(Exception, match="not what its digest says"):
         warc.payloads(spark, path).collect()
+    header = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 1\r\n\r\n"
+    records = spark.createDataFrame([(1, "response", "u", hashlib.sha256(b"x").hexdigest(), None, header, bytearray(b"x")), (2, "response", "u", "00", None, header, bytearray(b"x"))], "page_id long, record_type string, url string, payload_digest string, refers_to string, header string, payload binary")
+    assert warc.rebuilt(records.where("page_id = 1")).first().block_bytes == 1
+    with pytest.raises(Exception, match="not what its header says"):
+        warc.rebuilt(records).collect()
 
 
 def test_sharding(spark, docs, empty, rows):
@@ -196,6 +208,11 @@ def test_tiff_pages(spark):
     assert bytes(got[1].pixels) == pages[1].tobytes()
     with pytest.raises(ValueError):
         tiff.page_rows(files.withColumnRenamed("id", "page"))
+    damaged = spark.createDataFrame([(1, bytearray(b"II*\0")), (2, bytearray(good))], "id int, media binary")
+    got = tiff.page_rows(damaged).collect()
+    assert [(r.id, r.page, r.error is None) for r in got] == [(1, None, False), (2, 0, True), (2, 1, True), (2, 2, True)]
+    media = damaged.select(F.col("id").cast("long").alias("doc_id"), F.lit(1).cast("long").alias("n_bytes"), "media")
+    assert [(r.doc_id, r.payload_bytes) for r in tiff.media_features(media).orderBy("doc_id").collect()] == [(1, None), (2, sum(x.size for x in pages))]
 
 
 def test_big_endian_sixteen_bit():
@@ -240,8 +257,14 @@ def test_mixing(docs, empty, rows):
     for s, own in got.groupby("source"):
         assert own.target.iloc[0] == pytest.approx(target[s]) and own.source_size.iloc[0] == sizes[s]
         assert abs(own.taken.sum() - target[s]) <= 1 and (own.taken <= 2 * own["size"]).all()
-    again = mixing.taken_words(docs.repartition(3)).toPandas()
-    assert len(again) == len(got)
+    whole = lambda d: sorted(map(str, mixing.taken_words(d).collect()))
+    assert whole(docs) == whole(docs.repartition(1)) == whole(docs.orderBy("text").repartition(5))
+    more = docs.selectExpr("*", "'u' as uid", "1L as size", "'c' as times", "0 as __copy")
+    mixed = mixing.mixed_documents(more)
+    assert mixed.columns == more.columns
+    times = Counter(r.doc_id for r in mixed.collect())
+    assert all(abs(times[r.doc_id] - r.taken / r["size"]) <= 0.5 for _, r in got.iterrows() if r["size"]) and all(times[i] == 1 for i in got.doc_id[got["size"] == 0])
+    assert mixing.mixed_documents(empty).count() == 0
     assert mixing.taken_words(empty).count() == 0
     assert mixing.taken_words(docs.where("text is null or trim(text) = ''")).toPandas().taken.sum() == 0
 

@@ -3,7 +3,7 @@
 An archive is a folder with two Parquet tables. `payloads` has one row for each different payload: digest, bytes.
 `headers` has one row for each record: page_id, the digest, the number of its records and the exact header block of the WARC record, up to and
 with the HTTP head. A record's bytes are header + payload (responses only) + two line ends. Reading checks every
-payload against its digest before any record is joined to it.
+payload against its digest before any record is joined to it, and every rebuilt record against its header.
 
 The record that holds a payload is elected by a grouped minimum (combined on the map side, so thousands of copies
 are one row per task), and records find it through a salted join: see common.salted_join.
@@ -11,6 +11,9 @@ are one row per task), and records find it through a salted join: see common.sal
 
 from __future__ import annotations
 
+import gzip
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,12 +34,12 @@ def _header(date: str) -> Column:
     """The WARC header and, for a response, the HTTP head in front of the payload."""
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes"), F.lit(CRLF * 2))
     response = F.col("record_type") == "response"
-    url = F.coalesce(F.regexp_replace("url", r"[\x00-\x20]", "%20"), F.lit(""))
+    url = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))  # all else is kept as it is
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.col("record_type")),
         F.concat(F.lit("WARC-Record-ID: "), _name(F.concat_ws("/", F.lit("record"), F.col("page_id"), F.col("uid")))),
-        F.concat(F.lit("WARC-Target-URI: "), url),
+        F.concat(F.lit("WARC-Target-URI: "), url),  # none for a null URL
         F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("payload_digest")),
         F.concat(F.lit("X-Page-ID: "), F.col("page_id")),
@@ -59,13 +62,16 @@ def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", html.alias("payload")).withColumn("payload_digest", F.sha2("payload", 256))
     heads = common.stored(rows.select("page_id", "url", "payload_digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.monotonically_increasing_id().alias("uid")), "warc-heads")
-    rows.groupBy("payload_digest").agg(F.first("payload").alias("payload"), F.count("*").alias("copies")).write.parquet(f"{path}/payloads")
+    with common.shuffles_deleted(pages.sparkSession):
+        rows.groupBy("payload_digest").agg(F.first("payload").alias("payload"), F.count("*").alias("copies")).write.parquet(f"{path}/payloads")
     order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id"), F.col("uid"))
     elected = heads.groupBy("payload_digest").agg(F.min(order).alias("held"), F.count("*").alias("copies")).where("copies > 1")
     found = common.salted_join(heads, elected.select("payload_digest", F.col("held.page_id").alias("held_by"), F.col("held.uid").alias("held_uid"), "copies"), "payload_digest", "uid")
     revisit = F.col("held_uid").isNotNull() & (F.col("held_uid") != F.col("uid")) & (F.col("payload_bytes") >= least_shared)
     typed = found.select("page_id", "url", "uid", "payload_digest", "payload_bytes", F.coalesce("copies", F.lit(1).cast("long")).alias("copies"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("held_by")).alias("refers_to"), F.when(revisit, F.col("held_uid")).alias("refers_uid"))
-    typed.select("page_id", "payload_digest", "copies", _header(date).alias("header")).write.parquet(f"{path}/headers")
+    with common.shuffles_deleted(pages.sparkSession):
+        typed.select("page_id", "payload_digest", "copies", _header(date).alias("header")).write.parquet(f"{path}/headers")
+    common.discard(heads)
 
 
 def payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -76,7 +82,8 @@ def payloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _field(name: str) -> Column:
-    return F.regexp_extract("header", rf"\n{name}: ?([^\r\n]*)\r\n", 1)
+    """The value of a header's field; null if it has none."""
+    return F.when(F.contains("header", F.lit(f"\n{name}: ")), F.regexp_extract("header", rf"\n{name}: ([^\r\n]*)\r\n", 1))
 
 
 def read_archive(spark: SparkSession, path: str, what: Column | None = None) -> DataFrame:
@@ -90,8 +97,7 @@ def read_archive(spark: SparkSession, path: str, what: Column | None = None) ->
     held = payloads(spark, path).select("payload_digest", (F.col("payload") if what is None else what).alias("payload"), F.explode(F.sequence(F.lit(0).cast("long"), ways - 1)).alias("salt"))
     records = spark.read.parquet(f"{path}/headers").withColumn("salt", F.pmod(F.xxhash64("header"), ways))
     joined = records.drop("copies").join(held, ["payload_digest", "salt"])
-    refers = F.nullif(_field("X-Refers-To-Page"), F.lit(""))
-    return joined.select("page_id", _field("WARC-Type").alias("record_type"), _field("WARC-Target-URI").alias("url"), F.regexp_replace(_field("WARC-Payload-Digest"), "^sha256:", "").alias("payload_digest"), refers.alias("refers_to"), "header", "payload")
+    return joined.select("page_id", _field("WARC-Type").alias("record_type"), _field("WARC-Target-URI").alias("url"), F.regexp_replace(_field("WARC-Payload-Digest"), "^sha256:", "").alias("payload_digest"), _field("X-Refers-To-Page").alias("refers_to"), "header", "payload")
 
 
 def record_bytes() -> Column:
@@ -100,21 +106,61 @@ def record_bytes() -> Column:
     return F.concat(F.col("header").cast("binary"), body, F.lit((CRLF * 2).encode()))
 
 
+def rebuilt(records: DataFrame) -> DataFrame:
+    """records (of read_archive) with `record`, its bytes, and `block_bytes`, those behind its WARC header; both checked.
+
+    A record whose block has not the length, or a response whose payload has not the digest, that its header says
+    raises an error.
+    """
+    rows = records.withColumn("record", record_bytes())
+    head = F.instr("header", CRLF * 2) + 3  # of the WARC header alone, all of ASCII but for the URL
+    size = F.octet_length(F.substring("header", F.lit(1), head))
+    rows = rows.withColumn("block_bytes", (F.octet_length("record") - size - 4).cast("long"))
+    body = F.substring("record", F.octet_length("header") + 1, F.octet_length("record") - F.octet_length("header") - 4)
+    right = (F.col("block_bytes") == _field("Content-Length").cast("long")) & ((F.col("record_type") != "response") | (F.sha2(body, 256) == F.col("payload_digest")))
+    return rows.withColumn("record", F.when(right, F.col("record")).otherwise(F.raise_error(F.concat(F.lit("record is not what its header says: "), F.col("header"))).cast("binary")))
+
+
+def gzip_members(records: DataFrame, records_each: int = 100_000) -> DataFrame:
+    """page_id, file, offset, length, member of records with their bytes (see rebuilt; a stored table): each a gzip
+    member of its own, as WARC files have them, so that a file's bytes from `offset` on are one record.
+
+    Files are numbered from 0 and hold about `records_each` records. Spark has no sink for raw bytes: members are a
+    column, and a file is its members in the order of `offset`.
+    """
+
+    @F.pandas_udf("binary")
+    def packed(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda x: gzip.compress(x, mtime=0))
+
+    files = max(1, -(-records.count() // records_each))
+    rows = records.select("page_id", F.pmod(F.xxhash64("header"), F.lit(files)).cast("int").alias("file"), F.xxhash64("header", F.lit(1)).alias("h"), "header", packed("record").alias("member"))
+    rows = common.stored(rows.withColumn("length", F.octet_length("member").cast("long")), "warc-members")
+    placed = common.prefix_sum(rows, "length", "offset", ["file"], F.shiftright("h", 54), [F.col("h"), F.col("header")])
+    return placed.select("page_id", "file", "offset", "length", "member")
+
+
 def export_warc(spark: SparkSession, archive: str, path: str) -> None:
-    """Writes the records as gzipped .warc text files, one for each partition (each record ends with two line ends)."""
-    records = read_archive(spark, archive).select(F.concat("header", F.when(F.col("record_type") == "response", F.col("payload").cast("string")).otherwise(F.lit(""))).alias("value"))
-    records.write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
+    """Writes gzip_members of an archive's records as a table, a folder for each file."""
+    records = common.stored(rebuilt(read_archive(spark, archive)), "warc-records")
+    gzip_members(records).write.partitionBy("file").parquet(path)
+    common.discard(records)
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, read back from its archive."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, read back from its archive.
+
+    Each record is rebuilt from its header and payload, and checked against its header. Null htmls have no bytes;
+    repeated rows and null page_ids are records like others; an empty table gives an empty one.
+    """
     spark = pages.sparkSession
     path = common.fresh_path(spark, "warc")
     write_archive(pages, path)
-    what = F.struct(F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("digest"))
     kind = dict(pages.dtypes)["page_id"]
-    return read_archive(spark, path, what).select("page_id", F.col("payload.n").alias("payload_bytes"), F.col("payload.digest").alias("payload_digest"), "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    records = rebuilt(read_archive(spark, path)).where("record is not null")
+    return records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
 def op2_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """archived_pages of all pages."""
     return archived_pages(common.pages(spark, sf_dir))
