@@ -22,7 +22,7 @@ minimum and a join, stored in the shared folder, until nothing changes.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -335,13 +335,20 @@ def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """uid, shingles (sorted, distinct)."""
+    """uid, shingles (sorted, distinct), n (how many), parities (of the shingles in 4096 places)."""
+
+    def one(text: str | None) -> tuple[np.ndarray, int, np.ndarray]:
+        found = shingles(text, words)
+        odd = np.bincount(found * np.uint32(2654435761) >> np.uint32(20), minlength=4096) & 1
+        return found.view(np.int32), len(found), np.packbits(odd.astype(np.uint8)).view("<i8")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in common.sliced(frames, 500):
-            yield pd.DataFrame({"uid": frame.uid, "shingles": [shingles(text, words).view(np.int32) for text in frame.text]})
+            found = pd.DataFrame([one(text) for text in frame.text], columns=["shingles", "n", "parities"])
+            found.insert(0, "uid", frame.uid.to_numpy())
+            yield found
 
-    return docs.select("uid", "text").mapInPandas(run, "uid long, shingles array<int>")
+    return docs.select("uid", "text").mapInPandas(run, "uid long, shingles array<int>, n int, parities array<long>")
 
 
 def few_or_joined(rows: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
@@ -350,14 +357,23 @@ def few_or_joined(rows: DataFrame, keys: DataFrame, on: str, how: str) -> DataFr
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b: uids) whose texts' shingle sets have a Jaccard similarity of at least `similarity`; stored."""
+    """Those of the pairs (a, b: uids) whose texts' shingle sets have a Jaccard similarity of at least `similarity`; stored.
+
+    Parities of the sets in 4096 places rule out most others before sets are joined: each differing parity is a shingle
+    of one text only.
+    """
     pairs = common.stored(pairs.distinct(), "near-pairs")
     ends = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "near-ends")
     sets = common.stored(shingle_sets(few_or_joined(docs, ends, "uid", "left_semi"), words), "near-sets")
-    both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    found = common.stored(both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b"), "near-links")
-    common.discard(pairs, ends, sets)
+    end = lambda name, *columns: sets.select(F.col("uid").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
+    unlike = F.aggregate(F.zip_with("parities_a", "parities_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    sizes = F.col("n_a") + F.col("n_b")
+    may = sizes - unlike >= sizes * (2 * similarity / (1 + similarity)) - 2e-6
+    likely = common.stored(pairs.join(end("a", "n", "parities"), "a").join(end("b", "n", "parities"), "b").where(may).select("a", "b"), "near-likely")
+    both = likely.join(end("a", "shingles"), "a").join(end("b", "shingles"), "b")
+    shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    found = common.stored(both.where(shared >= F.lit(similarity) * (F.size("shingles_a") + F.size("shingles_b") - shared)).select("a", "b"), "near-links")
+    common.discard(pairs, ends, sets, likely)
     return found
 
 
@@ -396,45 +412,66 @@ def _centres(texts: DataFrame, similarity: float, radius: int, parts: int, mask:
     return found
 
 
-#: Rows of a shingle on either side of the pairs' join that one key holds, and earlier shared shingles of a text that a row has.
-MOST_SHARERS, EARLIER = 512, 64
+#: Rows up to which a shingle's pairs are made in one row; rows on either side of the others' join that one key holds;
+#: earlier shared shingles of a text that a row there has.
+FEW_SHARERS, MOST_SHARERS, EARLIER = 8, 512, 64
+
+
+def _within(x: Callable[[str], Column], y: Callable[[str], Column], similarity: float) -> Column:
+    """Two bounds on rows (label, n, at) of a shingle that no similar pair of different labels breaks at its first common
+    shingle: the ratio of sizes, and what both can share from this shingle on."""
+    sizes = F.least(x("n"), y("n")) >= F.greatest(x("n"), y("n")) * similarity - 1e-6
+    rest = F.least(x("n") - x("at"), y("n") - y("at")) >= (x("n") + y("n")) * (similarity / (1 + similarity)) - 1e-6
+    return (x("label") != y("label")) & sizes & rest
 
 
 def sharing(prefixed: DataFrame, labels: DataFrame, similarity: float, radius: int | None = None) -> DataFrame:
-    """a, b (uids, in no order): pairs of different labels (uid, label), with all of at least `similarity`.
+    """a, b (uids, a < b; stored): pairs of different labels (uid, label), with all of at least `similarity`.
 
     With a radius, only pairs whose fingerprints (a column of labels) are at most so many bits apart.
 
-    Only shingles with several labels make rows. Of such a shingle's rows, those of its commonest label need no pairs
-    among themselves: the others meet all. Both sides of a shingle with many rows are dealt out over several keys. A
-    pair is left to its first common shingle, unless EARLIER others lie between. Conditions are bounds that no similar
-    pair breaks: the ratio of sizes, what can be shared from that shingle on, and what parities of the sets rule out.
+    Only shingles with several labels make rows. The pairs of a shingle with a few rows are made in one row. Of the rows
+    of others, those of its commonest label need no pairs among themselves: the rest meet all, dealt out over several
+    keys, and a pair is left to its first common shingle, unless EARLIER others lie between. Conditions are bounds that
+    no similar pair breaks: see _within and may_be_similar.
     """
-    own_columns = ("uid", "label", "n", "m0", "m1", *(() if radius is None else ("fingerprint",)))
-    named = common.stored(prefixed.join(labels, "uid").select(*own_columns, "prefix"), "near-named")
-    rows = named.select("uid", "label", F.posexplode("prefix").alias("at", "token"))
-    several = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
+    named = common.stored(prefixed.join(labels, "uid"), "near-named")
+    rows = named.select("uid", "label", "n", F.posexplode("prefix").alias("at", "token"))
+    several = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("total")).where("low <> high").select("token", "total")
     found = common.stored(rows.join(several, "token"), "near-sharers")
+    few = found.where(F.col("total") <= FEW_SHARERS).groupBy("token").agg(F.collect_list(F.struct("uid", "label", "n", "at")).alias("list"))
+    others = lambda x, i: F.filter(F.slice("list", i + 2, FEW_SHARERS), lambda y: _within(lambda c: x[c], lambda c: y[c], similarity))
+    few = few.select(F.explode(F.flatten(F.transform("list", lambda x, i: F.transform(others(x, i), lambda y: F.struct(F.least(x["uid"], y["uid"]).alias("a"), F.greatest(x["uid"], y["uid"]).alias("b")))))).alias("x")).select("x.*")
+    tried = common.stored(few.unionByName(_often_shared(found.where(F.col("total") > FEW_SHARERS), named, similarity)).distinct(), "near-tried")
+    columns = ["n", "m0", "m1", *(() if radius is None else ("fingerprint",))]
+    end = lambda x: named.select(F.col("uid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+    near = F.lit(True) if radius is None else _bits_apart(F.col("fingerprint_a"), F.col("fingerprint_b")) <= radius
+    pairs = common.stored(tried.join(end("a"), "a").join(end("b"), "b").where(may_be_similar(similarity) & near).select("a", "b"), "near-sharing")
+    common.discard(named, found, tried)
+    return pairs
+
+
+def _often_shared(found: DataFrame, named: DataFrame, similarity: float) -> DataFrame:
+    """a, b (a < b) of the shingles of found (uid, label, n, at, token), which have many rows each."""
+    own_columns = ("uid", "label", "n", "m0", "m1")
     each = found.groupBy("token", "label").agg(F.count("*").alias("c"))
     chunks = lambda n: F.ceil(n / MOST_SHARERS).cast("int")
     shared = each.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("total"), F.max("c").alias("most"))
     shared = common.stored(shared.select("token", "main", chunks(F.col("total")).alias("all_chunks"), chunks(F.col("total") - F.col("most")).alias("other_chunks")), "near-shared")
     # a text's own shared shingles, in order, in one row: never more than its prefix
-    lists = found.join(shared, "token").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("at", "token", "main", "all_chunks", "other_chunks"))).alias("list"))
-    lists = lists.join(named.drop("prefix"), "uid").select(*own_columns, F.col("list.token").alias("tokens"), F.posexplode("list").alias("k", "x"))
+    lists = found.select("uid", "at", "token").join(shared, "token").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("at", "token", "main", "all_chunks", "other_chunks"))).alias("list"))
+    lists = lists.join(named.select(*own_columns), "uid").select(*own_columns, F.col("list.token").alias("tokens"), F.posexplode("list").alias("k", "x"))
     before = F.slice("tokens", F.greatest(F.col("k") - EARLIER + 1, F.lit(1)), F.least("k", F.lit(EARLIER)))
     sharers = common.stored(lists.select(*own_columns, "x.*", (F.col("label") == F.col("x.main")).alias("is_main"), before.alias("before")).drop("main"), "near-lists")
-    common.discard(named, found, shared)
     own = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     sides = (*own_columns, "at", "before")
     a = sharers.where("not is_main").select("token", own("other_chunks").alias("ca"), every("all_chunks").alias("cb"), *(F.col(x).alias(f"{x}_a") for x in sides))
     b = sharers.select("token", every("other_chunks").alias("ca"), own("all_chunks").alias("cb"), "is_main", *(F.col(x).alias(f"{x}_b") for x in sides))
-    c = F.col
-    rest = F.least(c("n_a") - c("at_a"), c("n_b") - c("at_b")) >= (c("n_a") + c("n_b")) * (similarity / (1 + similarity)) - 1e-6
-    once = c("is_main") | (c("uid_a") < c("uid_b"))
-    near = F.lit(True) if radius is None else _bits_apart(c("fingerprint_a"), c("fingerprint_b")) <= radius
-    return a.join(b, ["token", "ca", "cb"]).where((c("label_a") != c("label_b")) & once & near & rest & may_be_similar(similarity) & ~F.arrays_overlap("before_a", "before_b")).select(c("uid_a").alias("a"), c("uid_b").alias("b"))
+    within = _within(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b"), similarity)
+    once = F.col("is_main") | (F.col("uid_a") < F.col("uid_b"))
+    pairs = a.join(b, ["token", "ca", "cb"]).where(within & once & may_be_similar(similarity) & ~F.arrays_overlap("before_a", "before_b"))
+    return pairs.select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b"))
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int | None = 7) -> DataFrame:
@@ -455,7 +492,9 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     joined = components(links)
     label = common.stored(texts.join(joined, texts.uid == joined.node, "left").select("uid", "fingerprint", F.coalesce("root", "uid").alias("label")), "near-labels")
     common.discard(tried, links, joined)
-    links = verified(sharing(rows.select("uid", "n", "m0", "m1", "prefix"), label, similarity, radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), docs, words, similarity)
+    tried = sharing(rows.select("uid", "n", "m0", "m1", "prefix"), label, similarity, radius)
+    links = verified(tried, docs, words, similarity)
+    common.discard(tried)
     ends = label.select("uid", "label")
     between = links.join(ends.withColumnsRenamed({"uid": "a", "label": "x"}), "a").join(ends.withColumnsRenamed({"uid": "b", "label": "y"}), "b")
     joined = components(between.select(F.col("x").alias("a"), F.col("y").alias("b")))
@@ -477,7 +516,7 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, radiu
     With a radius of None, similarity alone decides. Of rows equal in doc_id and text any one stays. Null texts and
     those without words are one group. An empty table gives an empty one; a column `uid` of docs is not touched.
     """
-    uid = next(x for x in ("uid", *(f"uid{i}" for i in range(2, 10_000))) if x.lower() not in {c.lower() for c in docs.columns})
+    uid = common.spare(docs, "uid")
     rows = common.stored(docs.withColumn(uid, F.monotonically_increasing_id()), "near-docs")
     slim = rows.select(F.col(uid).alias("uid"), "text")
     groups = near_duplicate_groups(slim, words, similarity, radius)
