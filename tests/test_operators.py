@@ -50,6 +50,47 @@ def test_lookup_order_and_contained(spark):
     assert rows(joins.contained(texts, phrases).select("id", "pid")) == [(1, 7)]
 
 
+def test_contained_phrases_of_any_length(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["ab", "abc", "b", "ca b", "a\nb"]) for _ in range(rng.randrange(12))) for _ in range(40)] + [None, ""]
+    phrases = [" ".join(rng.choice(["ab", "abc", "b", "c"]) for _ in range(n)) for n in (1, 2, 3, 4, 5, 6) for _ in range(4)] + ["", "b", "b", None, " ab", "ca b ab ab"]
+    left = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    right = spark.createDataFrame(list(enumerate(phrases)), "pid int, phrase string")
+    want = sorted((i, j) for i, t in enumerate(texts) for j, p in enumerate(phrases) if t is not None and p is not None and p in t)
+    assert rows(joins.contained(left, right).select("id", "pid"), "id", "pid") == want and len(want) > 100
+
+
+def test_marks_and_neighbours(spark):
+    t = spark.createDataFrame([(i, None if i % 5 == 0 else "x" if i % 2 else "y", "g" if i < 30 else None) for i in range(40)], "id long, f string, g string")
+    got = dedup.mark(t, F.col("f"), ["id"], ["g"]).collect()
+    groups = {}
+    for r in t.collect():
+        groups.setdefault((r.f, r.g), []).append(r.id)
+    assert sorted((r.id, r.n_copies, r.keep) for r in got) == sorted((i, len(own), i == min(own)) for own in groups.values() for i in own)
+    ids = sorted(random.Random(5).sample(range(200), 60))
+    places = spark.createDataFrame([(i, "a" if i % 3 else None) for i in ids], "at long, g string")
+    for width in (1, 7, 1000):
+        found = {r.at: r.next for r in intervals.with_next(places, "g", "at", width).collect()}
+        for side in ([i for i in ids if i % 3], [i for i in ids if i % 3 == 0]):
+            assert [found[i] for i in side] == [*side[1:], None]
+
+
+def test_percentiles_of_counts(spark):
+    rng = random.Random(7)
+    data = [("a", rng.randrange(9)) for _ in range(57)] + [("b", 4), ("c", None), ("a", None)]
+    got = {r.k: r for r in aggregates.index_percentiles(spark.createDataFrame(data, "k string, v int"), "k", "v", {"low": 0.1, "mid": 0.5, "high": 0.9}).collect()}
+    a = sorted(v for k, v in data if k == "a" and v is not None)
+    assert tuple(got["a"])[1:] == (57, a[0], a[-1], a[5], a[28], a[51]) and tuple(got["b"])[1:] == (1, 4, 4, 4, 4, 4) and tuple(got["c"])[1:] == (0, None, None, None, None, None)
+
+
+def test_long_chains_are_one_cluster(spark):
+    n = 300
+    nodes = spark.range(n)
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(n - 1) if i != 200], "a long, b long")
+    got = {r.id: r.cluster for r in dedup.single_link(pairs, nodes).collect()}
+    assert got == {i: 0 if i <= 200 else 201 for i in range(n)}
+
+
 def test_both_known(spark):
     edges = spark.createDataFrame([(1, "a", "b"), (1, "a", "a"), (1, "a", "z"), (1, "a", "b")], "g int, x string, y string")
     cast = spark.createDataFrame([(1, "a"), (1, "b")], "g int, n string")

@@ -177,7 +177,7 @@ def majority_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("median_profile", "SELECT label, m AS median, (SELECT a FROM (VALUES (0), (1), (-1), (4), (-4), (7), (-7), (10), (-10)) v(a) ORDER BY abs(m - a), abs(a), a LIMIT 1)::INT AS anchor, spread FROM (SELECT label, quantile_disc(round(CAST(embedding[1] AS DOUBLE) * 40, 3), 0.5) AS m, round(max(round(CAST(embedding[1] AS DOUBLE) * 40, 3)) - min(round(CAST(embedding[1] AS DOUBLE) * 40, 3)), 3) AS spread FROM embeddings GROUP BY label)")
 def median_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").select("label", F.round(F.element_at("embedding", 1).cast("double") * 40, 3).alias("x"))
-    by = rows.groupBy("label").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY x)").alias("median"), F.round(F.max("x") - F.min("x"), 3).alias("spread"))
+    by = aggregates.index_percentiles(rows, "label", "x", {"median": 0.5}).withColumn("spread", F.round(F.col("most") - F.col("least"), 3))
     return by.select("label", "median", aggregates.snap(F.col("median"), [0, 1, -1, 4, -4, 7, -7, 10, -10]).alias("anchor"), "spread")
 
 

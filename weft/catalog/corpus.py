@@ -25,7 +25,7 @@ def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exact_dup_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     # only ids and digests are shuffled
     rows = _documents(spark, sf_dir).select("doc_id", "source", T.fingerprint(F.col("text")).alias("f"))
-    return dedup.mark(rows, F.col("f"), [F.col("doc_id")], ["source"]).select("doc_id", "source", "n_copies", "keep")
+    return dedup.mark(rows, F.col("f"), ["doc_id"], ["source"]).select("doc_id", "source", "n_copies", "keep")
 
 
 @query("merge_identical", "SELECT arg_min(text, doc_id) AS text, list_transform(list_sort(list([o, s])), lambda x: x[2]) AS sources, sum(n)::BIGINT AS n FROM (SELECT regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', '', 'g') AS norm, printf('%020d', min(doc_id)) AS o, source AS s, arg_min(text, doc_id) AS text, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1, 3) GROUP BY norm")
@@ -45,12 +45,9 @@ def gram_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("neighbour_jaccard", "SELECT doc_id, next, round(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), 9) AS similarity FROM (SELECT doc_id, lead(doc_id) OVER w AS next, list_distinct(string_split(text, '')) AS a, list_distinct(string_split(lead(text) OVER w, '')) AS b FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)) WHERE next IS NOT NULL")
 def neighbour_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("source").orderBy("doc_id")
-    rows = _documents(spark, sf_dir).select("doc_id", "source", T.chars(F.col("text")).alias("a"))
-    rows = rows.withColumns({"next": F.lead("doc_id").over(by), "b": F.lead("a").over(by)}).where("next is not null")
-    return rows.select("doc_id", "next", F.round(T.jaccard(F.col("a"), F.col("b")), 9).alias("similarity"))
+    rows = _documents(spark, sf_dir).select("doc_id", "source", F.array_distinct(T.chars(F.col("text"))).alias("a"))
+    pairs = intervals.with_next(rows, "source", "doc_id").where("next is not null").join(rows.select(F.col("doc_id").alias("next"), F.col("a").alias("b")), "next")
+    return pairs.select("doc_id", "next", F.round(T.jaccard(F.col("a"), F.col("b")), 9).alias("similarity"))
 
 
 @query("bigram_relevance", "SELECT item_id, doc_id, len(list_filter(g, lambda x: contains(text, x))) / len(g) AS relevance FROM (SELECT item_id, list_distinct(list_transform(range(1, length(text)), lambda i: substring(text, i, 2))) AS g FROM benchmark WHERE item_id % 50 = 0) JOIN documents ON TRUE")
@@ -91,12 +88,10 @@ def inline_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ladder_decide", r"""WITH s AS (SELECT doc_id, len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) AS words, len(regexp_extract_all(text, '[#*$%&|<>]')) / greatest(length(text), 1) AS symbols, count(*) OVER (PARTITION BY md5(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g'))) AS copies, len(regexp_extract_all(text, 'https?://[^\s<>"]+')) AS hits FROM documents)
 SELECT doc_id, CASE WHEN words = 0 THEN 'empty' WHEN words < 10 THEN 'short' WHEN symbols > 0.1 THEN 'symbols' WHEN copies > 1 THEN 'copy' WHEN hits > 0 THEN 'noise' ELSE 'none' END AS reason FROM s""")
 def ladder_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     t = F.col("text")
     rows = _documents(spark, sf_dir).select("doc_id", F.regexp_count(t, F.lit(r"[^ \t\n\x0B\f\r]+")).alias("words"), (F.regexp_count(t, F.lit("[#*$%&|<>]")) / F.greatest(F.length(t), F.lit(1))).alias("symbols"), T.fingerprint(t).alias("f"), F.regexp_count(t, F.lit(r"https?://[^\s<>\"]+")).alias("hits"))
-    rows = rows.withColumn("copies", F.count("*").over(Window.partitionBy("f")))
-    return rows.select("doc_id", cleaning.quarantine(F.col("words"), F.col("symbols"), F.lit(0), F.col("copies"), F.col("hits")).alias("reason"))
+    rows = dedup.mark(rows, F.col("f"), ["doc_id"])
+    return rows.select("doc_id", cleaning.quarantine(F.col("words"), F.col("symbols"), F.lit(0), F.col("n_copies"), F.col("hits")).alias("reason"))
 
 
 @query("last_lines", r"""SELECT doc_id, CASE WHEN l IS NULL THEN 'empty' WHEN regexp_matches(l, '(?i)(to be continued|stay tuned|see you|thanks for reading)') THEN 'author_talk' WHEN regexp_matches(trim(l), '[.!?…"''”’)\]]$') THEN 'clean' ELSE 'truncated' END AS state FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[-1] AS l FROM documents)""")
@@ -174,8 +169,9 @@ def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("token_batches")
 def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _documents(spark, sf_dir).select("source", "doc_id", T.tokens_by_chars(F.col("n_chars")).alias("tokens"))
-    return intervals.batches(rows, "source", "doc_id", "tokens", 5, 4000)
+    # a conversation is one key: turns of one are few
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", T.tokens_by_chars(F.length("text")).alias("tokens"))
+    return intervals.batches(rows, "conv_id", "turn", "tokens", 5, 400)
 
 
 @query("repair_partition")

@@ -51,8 +51,9 @@ def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("budget_plan")
 def budget_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = read(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("name"), F.col("n_chars").alias("size"), (F.col("doc_id") % 17 == 0).alias("required"), F.pmod(F.col("doc_id") * 7, F.lit(11)).alias("priority"))
-    return budget.plan(blocks, "source", 32_000)
+    # a conversation's turns as the blocks of its context
+    blocks = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("name"), F.length("text").cast("long").alias("size"), (F.col("turn") == 0).alias("required"), F.pmod(F.col("turn") * 7, F.lit(11)).alias("priority"))
+    return budget.plan(blocks, "conv_id", 600)
 
 
 @query("lifecycle_threads")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "(none)"
@@ -75,9 +75,17 @@ def size_buckets(size: Column, edges: list[tuple[int, str]], over: str) -> Colum
 
 
 def index_percentiles(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """For each key: n and the values at floor(share * (n - 1)) of the sorted values, by exact percentiles."""
-    exact = {name: F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {value})").alias(name) for name, share in shares.items()}
-    return rows.groupBy(key).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), *exact.values())
+    """For each key: n, least, most, and the smallest value that at least a share of the values are not above; exactly.
+
+    Values are counted first, so what a key's window orders is its different values, not its rows.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("__c"))
+    up_to = Window.partitionBy(key).orderBy(value)
+    places = counts.withColumns({"__up": F.sum("__c").over(up_to.rowsBetween(Window.unboundedPreceding, 0)), "__n": F.sum("__c").over(Window.partitionBy(key))})
+    exact = [F.min(F.when(F.col("__up") >= F.ceil(F.col("__n") * F.lit(share) - 1e-9), F.col(value))).alias(name) for name, share in shares.items()]
+    found = places.groupBy(key).agg(F.sum("__c").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), *exact)
+    alone = rows.groupBy(key).agg(F.count(value).alias("__all")).where("__all = 0").select(key, F.col("__all").alias("n"))
+    return found.unionByName(alone, allowMissingColumns=True)
 
 
 def majority_tags(rows: DataFrame, key: str, member: str, tag: str) -> DataFrame:

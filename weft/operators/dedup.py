@@ -6,19 +6,27 @@ from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from weft.functions import text as T
+from weft.operators import intervals, joins
 
 
-def mark(rows: DataFrame, key: Column, order: list[Column], group: list[str] | None = None) -> DataFrame:
-    """Adds n_copies and keep (true for the first of equal keys)."""
-    keyed = rows.withColumn("__key", key)
+def mark(rows: DataFrame, key: Column, order: list[str], group: list[str] | None = None) -> DataFrame:
+    """Adds n_copies and keep (true for the first of equal keys along `order`, which tells all rows apart).
+
+    Copies are counted by an aggregate, and only keys that repeat are joined back, dealt over several tasks: a key with
+    most of the rows is in no single one.
+    """
     names = [*(group or []), "__key"]
-    by = Window.partitionBy(*names)
-    return keyed.withColumn("n_copies", F.count("*").over(by)).withColumn("keep", F.row_number().over(by.orderBy(*order)) == 1).drop("__key")
+    keyed = rows.withColumns({"__key": key, "__order": F.struct(*order)})
+    whole = F.struct(*(F.coalesce(F.col(n).cast("string"), F.lit("\0")) for n in names))  # nulls are equal to each other here
+    keyed = keyed.withColumn("__whole", whole)
+    copies = keyed.groupBy("__whole").agg(F.count("*").alias("n"), F.min("__order").alias("__first")).where("n > 1")
+    found = joins.spread(keyed, copies, ["__whole"], "__order")
+    return found.withColumns({"n_copies": F.coalesce("n", F.lit(1).cast("long")), "keep": F.col("n").isNull() | (F.col("__order") == F.col("__first"))}).drop("__key", "__order", "__whole", "__first", "n")
 
 
 def merge_identical(rows: DataFrame, text: str, source: str, order: str) -> DataFrame:
@@ -30,11 +38,11 @@ def merge_identical(rows: DataFrame, text: str, source: str, order: str) -> Data
 
 
 def adjacent_overlap(lines: DataFrame, group: str, at: str, lines_column: str, least: float) -> DataFrame:
-    """Neighbours along `at` that share at least `least` of the smaller one's distinct lines."""
-    by = Window.partitionBy(group).orderBy(at)
-    both = lines.withColumn("next", F.lead(at).over(by)).withColumn("__next", F.lead(lines_column).over(by)).where("next is not null")
+    """Neighbours along `at` (a number, unique) of a group that share at least `least` of the smaller one's distinct lines."""
+    both = intervals.with_next(lines.select(group, at, lines_column), group, at)
     ratio = F.try_divide(F.size(F.array_intersect(lines_column, "__next")), F.least(F.size(F.array_distinct(lines_column)), F.size(F.array_distinct("__next"))))
-    return both.withColumn("ratio", ratio).where(F.col("ratio") >= least).select(group, at, "next", "ratio")
+    behind = lines.select(F.col(at).alias("next"), F.col(lines_column).alias("__next"))
+    return both.where("next is not null").join(behind, "next").withColumn("ratio", ratio).where(F.col("ratio") >= least).select(group, at, "next", "ratio")
 
 
 @F.pandas_udf(DoubleType())
@@ -93,15 +101,20 @@ def without_repeated_tail(rows: DataFrame, text: str, least_chars: int = 20, run
     return rows.mapInPandas(step, rows.select("*", F.lit(0).cast("long").alias("n_cut")).schema)
 
 
-def single_link(pairs: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
-    """id, cluster (smallest id that links reach) of every node; pairs: a, b. Minimum labels spread until none changes."""
+def single_link(pairs: DataFrame, nodes: DataFrame, rounds: int = 100) -> DataFrame:
+    """id, cluster (smallest id that links reach) of every node; pairs: a, b.
+
+    In each round a node takes the smallest label of its neighbours, and then its label's label, so that chains halve;
+    rounds end when nothing changes. Labels are checkpointed. Raises if they don't settle.
+    """
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     label = nodes.select("id", F.col("id").alias("cluster"))
     for _ in range(rounds):
         near = both.join(label.select(F.col("id").alias("b"), "cluster"), "b").groupBy("a").agg(F.min("cluster").alias("__near"))
-        label = label.join(near, label.id == near.a, "left").select("id", F.least("cluster", "__near").alias("new"), "cluster")
-        label = label.checkpoint() if nodes.sparkSession.sparkContext.getCheckpointDir() else label.cache()
+        low = label.join(near, label.id == near.a, "left").select("id", F.least("cluster", "__near").alias("new"), "cluster")
+        jump = low.select(F.col("id").alias("new"), F.col("new").alias("__jump"))
+        label = low.join(jump, "new", "left").select("id", F.least("new", "__jump").alias("new"), "cluster").checkpoint()
         if not label.where("new <> cluster").take(1):
-            break
+            return label.select("id", "cluster")
         label = label.select("id", F.col("new").alias("cluster"))
-    return label.select("id", "cluster")
+    raise RuntimeError(f"clusters did not settle in {rounds} rounds")

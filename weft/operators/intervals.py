@@ -54,6 +54,21 @@ def batches(rows: DataFrame, group: str, order: str, size: str, most_items: int,
     return rows.groupBy(group).applyInPandas(step, rows.select("*", F.lit(0).alias("batch")).schema)
 
 
+def with_next(rows: DataFrame, group: str, at: str, width: int = 10_000) -> DataFrame:
+    """Adds next, the following `at` (a number) of a row's group, null for the last.
+
+    Rows follow each other in ranges of `width` numbers, each of which is in one task at most; the last of a range finds
+    the next range's first in a table of a row for each range. Only these two columns go through windows.
+    """
+    slim = rows.select(group, at).withColumn("__range", F.floor(F.col(at) / width))
+    first = slim.groupBy(group, "__range").agg(F.min(at).alias("__first"))
+    first = first.withColumn("__beyond", F.lead("__first").over(Window.partitionBy(group).orderBy("__range"))).select(F.col(group).alias("__group"), "__range", "__beyond")
+    inner = slim.withColumn("__in", F.lead(at).over(Window.partitionBy(group, "__range").orderBy(at)))
+    both = inner.join(first, inner[group].eqNullSafe(first["__group"]) & (inner["__range"] == first["__range"]))
+    found = both.select(inner[at].alias(at), F.coalesce("__in", "__beyond").alias("next"))
+    return rows.join(found, at, "left")
+
+
 def windows(spans: DataFrame, core: int, tail: int) -> DataFrame:
     """For spans (key, first, last): windows of `core` places with `tail` more to look ahead: lo, core_end, need."""
     out = spans.withColumn("lo", F.explode(F.sequence("first", "last", F.lit(core))))
