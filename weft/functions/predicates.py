@@ -41,3 +41,36 @@ def all_or_any(conditions: list[Column], mode: str = "and") -> Column:
     for c in conditions:
         out = out & c if mode == "and" else out | c
     return out
+
+
+def grounded(evidence: Column, text: Column, least: int = 4) -> Column:
+    """Whether evidence is from the text: without white space and punctuation, all of its parts between ellipses that
+    have `least` letters or digits or more are in it, and it has such a part."""
+    plain = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
+    parts = F.filter(F.transform(F.split(F.coalesce(evidence, F.lit("")), r"\.{3,}|…+"), plain), lambda p: F.length(p) >= least)
+    return (F.size(parts) > 0) & F.forall(parts, lambda p: F.contains(plain(F.coalesce(text, F.lit(""))), p))
+
+
+def summary_like(text: Column, least: int = 15, never: str = "chapters") -> Column:
+    """A summary, not a broken answer: long enough, without the field name `never`, and no opening bracket first."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    return (F.length(t) >= least) & ~F.contains(t, F.lit(never)) & ~F.startswith(t, F.lit("{")) & ~F.startswith(t, F.lit("["))
+
+
+def placeholder(name: Column, words: list[str]) -> Column:
+    """A name that is none: shorter than two characters, or with one of the words."""
+    n = F.trim(F.coalesce(name, F.lit("")))
+    return (F.length(n) < 2) | F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(n, w))
+
+
+def question(text: Column, phrases: list[str], begins: list[str], most: int = 60) -> Column:
+    """Asks for advice: has a phrase, begins with a word, or ends in a question mark within `most` characters."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    any_of = lambda test, words: F.exists(F.array(*map(F.lit, words)), lambda w: test(t, w))
+    return any_of(F.contains, phrases) | any_of(F.startswith, begins) | (t.rlike("[?？]$") & (F.length(t) <= most))
+
+
+def state_of(status: Column, last_seen: Column, now: Column, known: list[str], gap: int = 30) -> Column:
+    """The status, alive for unknown ones; one that is alive is dormant if last seen more than `gap` before."""
+    own = F.when(status.isin(*known), status).otherwise("alive")
+    return F.when((own == "alive") & (last_seen < F.greatest(now - max(1, gap), F.lit(0))), "dormant").otherwise(own)

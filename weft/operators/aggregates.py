@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.operators import windows
+
 UNKNOWN = "(none)"
 
 
@@ -98,3 +102,37 @@ def majority_tags(rows: DataFrame, key: str, member: str, tag: str) -> DataFrame
 def snap(value: Column, anchors: list[int]) -> Column:
     """The nearest anchor; of two equally near ones, that of the smaller magnitude."""
     return F.array_min(F.array(*(F.struct(F.abs(value - a).alias("d"), F.lit(abs(a)).alias("m"), F.lit(a).alias("a")) for a in anchors))).getField("a")
+
+
+def calibrated(scores: DataFrame, slot: str, positive: Column, score: str, top: int = 3) -> DataFrame:
+    """For each slot: the range of its positives' and the others' scores, the mean of its best `top`, and a threshold.
+
+    The threshold is half way between the lowest positive and the highest other score, if these are apart, and else 0.9
+    of the lowest positive; null without positives.
+    """
+    yes, no = F.when(positive, F.col(score)), F.when(~positive, F.col(score))
+    by = scores.groupBy(slot).agg(F.min(yes).alias("pos_min"), F.max(yes).alias("pos_max"), F.min(no).alias("neg_min"), F.max(no).alias("neg_max"))
+    best = windows.top(scores, [slot], [F.col(score).desc()], top).groupBy(slot).agg(F.avg(score).alias("best"))
+    apart = F.col("pos_min") > F.coalesce("neg_max", F.lit(float("-inf")))
+    limit = F.when(apart & F.col("neg_max").isNotNull(), (F.col("pos_min") + F.col("neg_max")) / 2).otherwise(F.col("pos_min") * 0.9)
+    return by.join(best, slot).withColumn("threshold", limit)
+
+
+def term_hits(texts: DataFrame, text: str, terms: list[str], group: str) -> DataFrame:
+    """group, term, rows that have it (document frequency) and how often it is there (without overlaps)."""
+    n = lambda t: F.regexp_count(text, F.lit(re.escape(t)))
+    each = F.explode(F.array(*(F.struct(F.lit(t).alias("term"), n(t).alias("n")) for t in terms)))
+    return texts.select(group, each.alias("x")).where("x.n > 0").groupBy(group, "x.term").agg(F.count("*").alias("in_rows"), F.sum(F.col("x.n").cast("long")).alias("hits"))
+
+
+def together(texts: DataFrame, text: str, terms: list[str], group: str) -> DataFrame:
+    """group, a, b (a < b), rows that have both terms."""
+    own = F.array_compact(F.array(*(F.when(F.contains(text, F.lit(t)), F.lit(t)) for t in sorted(terms))))
+    pairs = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, len(terms)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    return texts.select(group, own.alias("own")).where(F.size("own") > 1).select(group, F.explode(pairs).alias("p")).groupBy(group, "p.a", "p.b").agg(F.count("*").alias("in_rows"))
+
+
+def core_symbols(rows: DataFrame, keys: list[str], symbol: str, top: int) -> DataFrame:
+    """A key's symbols that occur more than once, the `top` most frequent (of equal ones the first by name), with n."""
+    counts = rows.groupBy(*keys, symbol).agg(F.count("*").alias("n")).where("n > 1")
+    return windows.top(counts, keys, [F.col("n").desc(), F.col(symbol)], top).drop("rank")

@@ -129,3 +129,45 @@ def merged_neighbours(segments: DataFrame, key: str, at: str, similarity: Column
     """Adds merged: a number shared by neighbours along `at` that are at least `least` alike."""
     by = Window.partitionBy(key).orderBy(at)
     return segments.withColumn("merged", F.sum(F.coalesce((similarity < least).cast("int"), F.lit(1))).over(by))
+
+
+def cut_clusters(cuts: DataFrame, key: str, at: str, gap: int) -> DataFrame:
+    """key, cut: one for each run of a key's cuts that are at most `gap` apart: the upper median of its different places."""
+    by = Window.partitionBy(key).orderBy(at)
+    places = cuts.select(key, at).where(F.col(at).isNotNull()).distinct().withColumn("__new", F.when(F.col(at) - F.lag(at).over(by) <= gap, 0).otherwise(1))
+    runs = places.withColumn("__run", F.sum("__new").over(by)).groupBy(key, "__run").agg(F.array_sort(F.collect_list(at)).alias("__all"))
+    return runs.select(key, F.element_at("__all", (F.floor(F.size("__all") / 2) + 1).cast("int")).alias("cut"))
+
+
+def kept_cuts(cuts: list[int], first: int, last: int, least: int) -> list[int]:
+    """Cuts (begins of new arcs) without those that make an arc shorter than `least`: of the shortest arc (the first of
+    equal ones), the cut at its begin goes, or that at its end if it is the first arc."""
+    kept = sorted({c for c in cuts if first < c <= last})
+    while kept:
+        edges = [first, *kept, last + 1]
+        sizes = [b - a for a, b in zip(edges, edges[1:], strict=False)]
+        short = min(range(len(sizes)), key=lambda i: sizes[i])
+        if sizes[short] >= least:
+            break
+        del kept[max(short - 1, 0)]
+    return kept
+
+
+def stitched(cuts: DataFrame, spans: DataFrame, key: str, at: str, gap: int = 4, least: int = 8) -> DataFrame:
+    """key, lo, hi: the arcs of spans (key, first, last) between clustered cuts (cut_clusters), none shorter than `least`
+    unless the span is (kept_cuts). A key's cuts are folded in one row."""
+
+    @F.udf("array<struct<lo:long,hi:long>>", useArrow=True)
+    def arcs(found: list[int] | None, first: int, last: int) -> list[tuple[int, int]]:
+        edges = [first, *kept_cuts([int(c) for c in (found if found is not None else [])], first, last, least), last + 1]
+        return [(a, b - 1) for a, b in zip(edges, edges[1:], strict=False)]
+
+    by = cut_clusters(cuts, key, at, gap).groupBy(key).agg(F.collect_list(F.col("cut").cast("long")).alias("__cuts"))
+    whole = spans.join(by, key, "left").withColumn("__arc", F.explode(arcs("__cuts", F.col("first").cast("long"), F.col("last").cast("long"))))
+    return whole.select(key, "__arc.lo", "__arc.hi")
+
+
+def arc_report(arcs: DataFrame, key: str, least: int, most: int) -> DataFrame:
+    """For each key: arcs, their mean length, how many are shorter or longer than wanted, and places they cover."""
+    n = F.col("hi") - F.col("lo") + 1
+    return arcs.groupBy(key).agg(F.count("*").alias("arcs"), F.avg(n).alias("mean"), F.count(F.when(n < least, 1)).alias("short"), F.count(F.when(n > most, 1)).alias("long"), F.sum(n).alias("covered"))

@@ -107,3 +107,30 @@ def tagged(rows: DataFrame, tags: Column, wanted: list[str]) -> DataFrame:
     """Rows with one of the wanted tags, in any case; no wanted tags pass all."""
     lower = [t.lower() for t in wanted if t.strip()]
     return rows.where(F.arrays_overlap(F.transform(F.coalesce(tags, F.array().cast("array<string>")), F.lower), F.array(*map(F.lit, lower)))) if lower else rows
+
+
+def resolved(names: DataFrame, tables: dict[str, DataFrame], end: int = 3, least: int = 5) -> DataFrame:
+    """name, kind, id, exact: the rows (name, id) of the tables that names (name) mean.
+
+    A name means all rows of that very name. One without any means those of at least `least` characters whose last
+    `end` characters are its last ones. Both are equi-joins. Repeated names are asked once.
+    """
+    known = stacked({k: t.select("name", "id") for k, t in tables.items()})
+    asked = names.select("name").where("name is not null").distinct()
+    same = asked.join(known, "name").select("name", "kind", "id", F.lit(True).alias("exact"))
+    ending = lambda df: df.where(F.length("name") >= least).withColumn("__end", F.right("name", F.lit(end)))
+    open_ = ending(asked.join(known.select("name").distinct(), "name", "left_anti"))
+    alike = open_.join(ending(known).withColumnRenamed("name", "__of"), "__end").select("name", "kind", "id", F.lit(False).alias("exact"))
+    return same.unionByName(alike)
+
+
+def first_of(rows: DataFrame, known: DataFrame, key: str, ways: list[list[str]]) -> DataFrame:
+    """Adds `found` (the known row's smallest `key`) and way (from 0): by the first of the ways, lists of equal columns,
+    that finds one; both null where none does. Nulls in these columns find nothing."""
+    out = rows
+    for i, columns in enumerate(ways):
+        best = known.dropna(subset=columns).groupBy(*columns).agg(F.min(key).alias(f"__f{i}"))
+        out = out.join(best, columns, "left")
+    found = [F.col(f"__f{i}") for i in range(len(ways))]
+    way = F.coalesce(*(F.when(c.isNotNull(), F.lit(i)) for i, c in enumerate(found)))
+    return out.select(*rows.columns, F.coalesce(*found).alias("found"), way.alias("way"))

@@ -106,3 +106,22 @@ def keyword_score(name: Column, parts: Column, query: str) -> Column:
     """5 for the name and 1 for each part that contains the query, in any case."""
     q = F.lit(query.lower())
     return F.when(F.contains(F.lower(name), q), 5).otherwise(0) + F.size(F.filter(F.coalesce(parts, F.array().cast("array<string>")), lambda p: F.contains(F.lower(p), q)))
+
+
+def assigned(scores: DataFrame, key: str, slot: str, candidate: str, score: str) -> DataFrame:
+    """key, slot, candidate, score: within a key, the best pair first (ties by slot and candidate), each slot and each
+    candidate once. A key's pairs are folded in one task."""
+
+    def step(frame: pd.DataFrame) -> pd.DataFrame:
+        used: tuple[set, set] = set(), set()
+        out = []
+        for row in frame.sort_values([score, slot, candidate], ascending=[False, True, True]).itertuples(index=False):
+            pair = getattr(row, slot), getattr(row, candidate)
+            if not any(x in u for x, u in zip(pair, used, strict=True)):
+                out.append(row)
+                for x, u in zip(pair, used, strict=True):
+                    u.add(x)
+        return pd.DataFrame(out, columns=frame.columns)
+
+    rows = scores.select(key, slot, candidate, score).where(F.col(score).isNotNull())
+    return rows.groupBy(key).applyInPandas(step, rows.schema)

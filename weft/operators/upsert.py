@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators import aggregates, dedup
+from weft.operators import aggregates, dedup, windows
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -87,3 +87,38 @@ def lifecycle(actions: DataFrame, key: str, order: list[str]) -> DataFrame:
 
     kind = dict(actions.dtypes)
     return actions.groupBy(key).applyInPandas(step, f"{key} {kind[key]}, what string, status string, opened long, hints long, closed long, orphans long")
+
+
+def replaced(chunks: DataFrame, new: DataFrame, sources: DataFrame, source: str) -> DataFrame:
+    """Chunks kept in step with their sources: those of a source in `new` give way to its new ones, and those of sources
+    that are not in `sources` any more go."""
+    live = chunks.join(sources.select(source).distinct(), source, "left_semi").join(new.select(source).distinct(), source, "left_anti")
+    return live.select(*chunks.columns).unionByName(new.select(*chunks.columns).join(sources.select(source).distinct(), source, "left_semi").select(*chunks.columns))
+
+
+def proposed(current: DataFrame, proposals: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Pending revisions: the current row with a proposal's values of the allowed fields, and which of them change.
+
+    A proposal's nulls, and fields that are not allowed, change nothing; proposals that change nothing, or of unknown
+    keys, are left out.
+    """
+    wanted = proposals.select(key, *(F.col(f).alias(f"__{f}") for f in fields))
+    both = current.select(key, *fields).join(wanted, key)
+    changed = F.array_compact(F.array(*(F.when(F.col(f"__{f}").isNotNull() & ~F.col(f"__{f}").eqNullSafe(F.col(f)), F.lit(f)) for f in fields)))
+    return both.select(key, *(F.coalesce(f"__{f}", f).alias(f) for f in fields), changed.alias("changed")).where(F.size("changed") > 0)
+
+
+def restored(revisions: DataFrame, key: str, number: str, back: int, fields: list[str]) -> DataFrame:
+    """Each key's state `back` revisions before its last one, as a new revision: key, number, restored_from, fields.
+
+    Keys with fewer revisions are left out.
+    """
+    last = windows.top(revisions, [key], [F.col(number).desc()], back + 1)
+    old = last.where(F.col("rank") == back + 1).select(key, F.col(number).alias("restored_from"), *fields)
+    top = last.where("rank = 1").select(key, (F.col(number) + 1).alias(number))
+    return old.join(top, key).select(key, number, "restored_from", *fields)
+
+
+def next_number(keys: DataFrame, rows: DataFrame, key: str, number: str) -> DataFrame:
+    """The number behind a key's largest one, 1 for keys without rows."""
+    return keys.join(rows.groupBy(key).agg(F.max(number).alias("__last")), key, "left").select(*keys.columns, (F.coalesce("__last", F.lit(0)) + 1).alias("next"))

@@ -72,3 +72,17 @@ def first_uncovered(rows: DataFrame, covered: DataFrame, key: str, at: str, ever
 def quarters(position: Column, n: Column) -> Column:
     """1 to 4: the quarter of n places that position (from 0) is in."""
     return F.least(F.floor(position * 4 / n) + 1, F.lit(4)).cast("int")
+
+
+def trailing(rows: DataFrame, keys: list[str], at: str, seconds: int, size: str, out: str) -> DataFrame:
+    """Adds the sum of `size` over a key's rows of the last `seconds` up to and with each row (a timestamp column `at`)."""
+    by = Window.partitionBy(*keys).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
+    return rows.withColumn(out, F.sum(size).over(by))
+
+
+def every_nth(rows: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
+    """A systematic sample: of a key's n rows in order, the first and each (n // most)th behind it, `most` at most."""
+    by = Window.partitionBy(*keys)
+    step = F.greatest(F.floor(F.count("*").over(by) / most), F.lit(1))
+    placed = rows.withColumns({"__at": F.row_number().over(by.orderBy(*order)) - 1, "__step": step})
+    return placed.where((F.col("__at") % F.col("__step") == 0) & (F.col("__at") < F.col("__step") * most)).drop("__at", "__step")
