@@ -110,10 +110,19 @@ def salted_join(rows: DataFrame, one: DataFrame, key: str, spread: str, how: str
     return salted.join(every, [key, "__salt"], how).drop("__salt")
 
 
+#: Rows of keys up to which they are broadcast: about 20 MB.
+MOST_BROADCAST = 500_000
+
+
+def few_or_joined(rows: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
+    """A semi or anti join of rows with stored keys, which are broadcast if they are few; else both are shuffled."""
+    return rows.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, on, how)
+
+
 #: An ASCII letter before ASCII punctuation other than the apostrophe: always a border between two pre-tokens.
 _BORDER = re.compile(r"([A-Za-z])([!-&(-/:-@\[-`{-~])")
-#: Words whose ids one Python worker keeps.
-CACHED_WORDS = 300_000
+#: Words whose ids one Python worker keeps, and characters of the longest of them.
+CACHED_WORDS, CACHED_CHARS = 300_000, 64
 
 
 class WordEncoder:
@@ -143,7 +152,11 @@ class WordEncoder:
             if len(known) + len(new) > CACHED_WORDS:
                 known = dict(known)  # full: these words serve this batch only
             known.update(zip(new, ids, strict=True))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in new:
+            if len(w) > CACHED_CHARS:
+                del known[w]
+        return out
 
     @staticmethod
     def _cut(text: str) -> list[str]:
@@ -168,6 +181,13 @@ def sliced(frames: Iterator, rows: int = 2000) -> Iterator:
             yield frame.iloc[at : at + rows]
 
 
+def vocabulary_size(path: str) -> int:
+    """Ids of a tokenizer's file, special ones included."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 

@@ -216,17 +216,21 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that verdicts() keeps, with all their columns, whatever their names.
 
-    Each text is measured once, where it is read, and stored with what was found: no text is shuffled. Rows with a
-    null or empty text fail the base rules; null doc_ids have no label; repeated rows are all kept or none. An empty
-    table gives an empty one.
+    A verdict depends on the text alone: texts are measured once, and rows with a rejected text go by its digest. Rows
+    with a null or empty text fail the base rules; null doc_ids have no label; repeated rows are all kept or none. An
+    empty table gives an empty one.
     """
-    found = common.spare(docs, "found")
-    rows = common.stored(with_statistics(docs, found), "rule-docs")
-    fitted = fit(rows.select(F.col("doc_id").cast("long").alias("doc_id"), f"{found}.*"), labels)
-    good = ~F.col(found).getField("base_failed")
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest.alias("digest"))
+    stats = common.stored(with_statistics(slim, "found").select("doc_id", "digest", "found.*"), "rule-statistics")
+    fitted = fit(stats, labels)
+    good = ~F.col("base_failed")
     if fitted is not None:
-        good = good & (anomaly_of(fitted[0])(*(F.col(found).getField(x) for x in FEATURES)) <= F.lit(fitted[1]))
-    return rows.where(good).select(*docs.columns)
+        good = good & (anomaly_of(fitted[0])(*FEATURES) <= F.lit(fitted[1]))
+    name = common.spare(docs, "digest")
+    gone = common.stored(stats.where(~good).select(F.col("digest").alias(name)).distinct(), "rule-rejected")
+    common.discard(stats)
+    return common.few_or_joined(docs.withColumn(name, digest), gone, name, "left_anti").select(*docs.columns)
 
 
 def op4_isolation_forest_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

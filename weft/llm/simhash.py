@@ -250,8 +250,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 
 #: Shorter words are in most texts of a language and tell little; they count where there are no longer ones.
 LEAST_BYTES = 5
-#: Rows of row numbers up to which they are broadcast: about 20 MB.
-MOST_BROADCAST = 500_000
 #: Buckets of hashes in which shingles are counted, and buckets in one row of counts.
 BUCKETS, ROW = 1 << 20, 1 << 12
 
@@ -351,11 +349,6 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("uid", "text").mapInPandas(run, "uid long, shingles array<int>, n int, parities array<long>")
 
 
-def few_or_joined(rows: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
-    """A semi or anti join of rows with stored keys, which are broadcast if they are few; else both are shuffled."""
-    return rows.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, on, how)
-
-
 def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b: uids) whose texts' shingle sets have a Jaccard similarity of at least `similarity`; stored.
 
@@ -364,7 +357,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -
     """
     pairs = common.stored(pairs.distinct(), "near-pairs")
     ends = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "near-ends")
-    sets = common.stored(shingle_sets(few_or_joined(docs, ends, "uid", "left_semi"), words), "near-sets")
+    sets = common.stored(shingle_sets(common.few_or_joined(docs, ends, "uid", "left_semi"), words), "near-sets")
     end = lambda name, *columns: sets.select(F.col("uid").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
     unlike = F.aggregate(F.zip_with("parities_a", "parities_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     sizes = F.col("n_a") + F.col("n_b")
@@ -526,7 +519,7 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, radiu
     several = ranked.groupBy("group").agg(F.min("order").alias("first"), F.count("*").alias("n")).where("n > 1")
     gone = common.stored(common.salted_join(ranked, several.select("group", F.col("first.uid").alias("stays")), "group", "uid", "inner").where("uid <> stays").select(F.col("uid").alias(uid)), "near-gone")
     common.discard(groups, ranked)
-    return few_or_joined(rows, gone, uid, "left_anti").drop(uid)
+    return common.few_or_joined(rows, gone, uid, "left_anti").drop(uid)
 
 
 def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
