@@ -60,12 +60,29 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_id
     made.write.parquet(path)
 
 
-def flat_blocks(spark: SparkSession, path: str, id_bytes: int = 2, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """file (string), block, ids of plain binary token files; each file is read by one task, and must be below 2 GB."""
+#: Bytes up to which a plain file is read by one task.
+WHOLE_BYTES = 256 << 20
+
+
+def flat_blocks(spark: SparkSession, path: str, id_bytes: int = 2, block_ids: int = BLOCK_IDS, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """file (string), block, ids of plain binary token files of any size.
+
+    A file of at most whole_bytes is read by one task. A longer one is read by many, as records of equal length: the
+    largest number of ids up to block_ids that divides the file's. A length that is no multiple of id_bytes raises.
+    """
     size = id_bytes * block_ids
     files = spark.read.format("binaryFile").load(path).where("length > 0")
-    cut = files.select(F.col("path").alias("file"), "content", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size))).alias("block"))
-    return cut.select("file", "block", F.substring("content", (F.col("block") * size + 1).cast("int"), F.lit(size)).alias("ids"))
+    if ragged := files.select("path").where(F.col("length") % id_bytes != 0).first():
+        raise ValueError(f"{ragged.path} does not hold whole ids")
+    short = files.where(F.col("length") <= whole_bytes)
+    cut = short.select(F.col("path").alias("file"), "content", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size))).alias("block"))
+    blocks = cut.select("file", "block", F.substring("content", (F.col("block") * size + 1).cast("int"), F.lit(size)).alias("ids"))
+    for row in files.where(F.col("length") > whole_bytes).select("path", "length").collect():  # names of the few long files
+        ids = row.length // id_bytes
+        each = next(n for n in range(min(block_ids, ids), 0, -1) if ids % n == 0)
+        records = spark.sparkContext.binaryRecords(row.path, each * id_bytes).zipWithIndex()
+        blocks = blocks.unionByName(spark.createDataFrame(records.map(lambda x, file=row.path: (file, x[1], bytearray(x[0]))), "file string, block long, ids binary"))
+    return blocks
 
 
 def count_tokens(blocks: DataFrame, end_id: int, id_bytes: int = 2) -> DataFrame:
@@ -103,7 +120,8 @@ def count_tokens(blocks: DataFrame, end_id: int, id_bytes: int = 2) -> DataFrame
 def document_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 49_407) -> DataFrame:
     """doc_id, file, ordinal, start, n_tokens of every row of docs: its ids written to flat files and counted there.
 
-    Repeated rows and null doc_ids are documents like others; null and empty texts have n_tokens 0.
+    Repeated rows and null doc_ids are documents like others; null and empty texts have n_tokens 0. An empty table gives
+    an empty one. Other columns are not read.
     """
     path = common.fresh_path(docs.sparkSession, "flat-ids")
     write_flat(docs, path, tokenizer or common.vocabulary(), end_id)
@@ -114,4 +132,5 @@ def document_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int =
 
 
 def op7_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document_tokens of all documents."""
     return document_tokens(common.documents(spark, sf_dir))
