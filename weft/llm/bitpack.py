@@ -89,7 +89,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, vocabulary_size: int,
             yield done()
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(common.fanout(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInPandas(run, SCHEMA).write.parquet(path)
+    with common.shuffles_deleted(docs.sparkSession):
+        ordered.mapInPandas(run, SCHEMA).write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -132,12 +133,17 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
     return read_ids(spark, path).select("base", "n_ids", "width", "doc_ids", "offsets", "ids").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def packed_ids(docs: DataFrame, tokenizer: str | None = None, vocabulary_size: int = 49_408, end_id: int = 2) -> DataFrame:
-    """Writes docs by write_ids into the shared folder and returns document_digests of what was written."""
-    path = common.fresh_path(docs.sparkSession, "ids")
-    write_ids(docs, path, tokenizer or common.vocabulary(), vocabulary_size, end_id)
+def packed_ids(docs: DataFrame, tokenizer: str | None = None, vocabulary_size: int | None = None, end_id: int = 2) -> DataFrame:
+    """Writes docs by write_ids into the shared folder and returns document_digests of what was written.
+
+    The vocabulary's size is that of the tokenizer's file, unless given. Repeated rows and null doc_ids (which come
+    first) are documents like others; null and empty texts have the end id only. An empty table gives an empty one.
+    """
+    path, tokenizer = common.fresh_path(docs.sparkSession, "ids"), tokenizer or common.vocabulary()
+    write_ids(docs, path, tokenizer, vocabulary_size or common.vocabulary_size(tokenizer), end_id)
     return document_digests(docs.sparkSession, path)
 
 
 def op9_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """packed_ids of all documents."""
     return packed_ids(common.documents(spark, sf_dir))

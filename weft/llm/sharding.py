@@ -63,4 +63,5 @@ def sharded_documents(docs: DataFrame, shards: int = 8, weights: list[float] | N
 
 
 def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sharded_documents of all documents."""
     return sharded_documents(common.documents(spark, sf_dir))
