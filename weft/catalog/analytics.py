@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.catalog.tables import BUCKET, USAGE_LOG, read, usage_log
-from weft.functions import predicates, vector
+from weft.functions import predicates, text, vector
 from weft.operators import aggregates, joins, upsert, windows
 from weft.registry import query
 
@@ -29,8 +29,8 @@ def usage_by_user_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("usage_last_days", f"SELECT day, {BUCKET} FROM {USAGE_LOG} WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY 1")
 def usage_last_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = usage_log(spark, sf_dir)
-    last = log.agg(F.max("ts").alias("last"))
-    return aggregates.usage(log.join(F.broadcast(last)).where(F.col("ts") >= F.col("last") - F.expr("INTERVAL 7 DAY")), "day")
+    last = log.agg(F.max("ts").cast("string")).first()[0]  # one value, so that the scan can be pruned by it
+    return aggregates.usage(log.where(F.col("ts") >= F.lit(last).cast(dict(log.dtypes)["ts"]) - F.expr("INTERVAL 7 DAY")), "day")
 
 
 @query("usage_recent", f"SELECT event_id, scene, total FROM {USAGE_LOG} ORDER BY ts DESC, event_id DESC LIMIT 50")
@@ -107,9 +107,9 @@ def dispatch_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.dispatch(part, "p_type", "p_size", "p_partkey", ~(F.col("p_type") == "PROMO")).select("p_partkey", "p_type", "active", "winner")
 
 
-@query("thread_recent", "SELECT conv_id, turn, role, left(text, 400) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 8")
+@query("thread_recent", "SELECT conv_id, turn, role, CASE WHEN length(text) > 400 THEN left(text, 400) || '…' ELSE text END AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 8")
 def thread_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.top(read(spark, sf_dir, "conversations"), ["conv_id"], [F.col("turn").desc()], 8).select("conv_id", "turn", "role", F.substring("text", 1, 400).alias("text"))
+    return windows.top(read(spark, sf_dir, "conversations"), ["conv_id"], [F.col("turn").desc()], 8).select("conv_id", "turn", "role", text.clipped(F.col("text"), 400).alias("text"))
 
 
 @query("thread_archive", "SELECT conv_id, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS note, count(*) AS turns FROM conversations GROUP BY conv_id")
@@ -140,8 +140,8 @@ def uncompressed_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("carryover_diff", "SELECT DISTINCT user_id FROM events WHERE CAST(ts AS DATE) > (SELECT max(CAST(ts AS DATE)) FROM events) - 3 AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL AND CAST(ts AS DATE) > (SELECT max(CAST(ts AS DATE)) FROM events) - 3)")
 def carryover_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events")
-    last = events.agg(F.max(F.to_date("ts")).alias("last"))
-    recent = events.join(F.broadcast(last)).where(F.to_date("ts") > F.date_sub("last", 3)).select("user_id", "event_type").distinct()
+    last = events.agg(F.max(F.to_date("ts")).cast("string")).first()[0]
+    recent = events.where(F.col("ts") >= F.date_sub(F.lit(last).cast("date"), 2).cast(dict(events.dtypes)["ts"])).select("user_id", "event_type").distinct()
     return joins.absent(recent, recent.where("event_type = 'purchase'"), ["user_id"]).select("user_id").distinct()
 
 
@@ -170,8 +170,7 @@ def size_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("majority_tags", "SELECT c_nationkey, c_mktsegment, n FROM (SELECT c_nationkey, c_mktsegment, count(DISTINCT c_custkey) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2) JOIN (SELECT c_nationkey, count(DISTINCT c_custkey) AS members FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1) USING (c_nationkey) WHERE n * 5 >= members")
 def majority_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "orders").select("o_custkey").distinct(), F.col("c_custkey") == F.col("o_custkey"))
-    members = rows.groupBy("c_nationkey").agg(F.count_distinct("c_custkey").alias("members"))
-    return rows.groupBy("c_nationkey", "c_mktsegment").agg(F.count_distinct("c_custkey").alias("n")).join(members, "c_nationkey").where("n * 5 >= members").select("c_nationkey", "c_mktsegment", "n")
+    return aggregates.majority_tags(rows, "c_nationkey", "c_custkey", "c_mktsegment", 5)
 
 
 @query("median_profile", "SELECT label, m AS median, (SELECT a FROM (VALUES (0), (1), (-1), (4), (-4), (7), (-7), (10), (-10)) v(a) ORDER BY abs(m - a), abs(a), a LIMIT 1)::INT AS anchor, spread FROM (SELECT label, quantile_disc(round(CAST(embedding[1] AS DOUBLE) * 40, 3), 0.5) AS m, round(max(round(CAST(embedding[1] AS DOUBLE) * 40, 3)) - min(round(CAST(embedding[1] AS DOUBLE) * 40, 3)), 3) AS spread FROM embeddings GROUP BY label)")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.catalog.tables import USAGE_LOG, read, usage_log
@@ -10,6 +10,7 @@ from weft.functions import predicates
 from weft.operators import aggregates, intervals, joins, retrieval, upsert, windows
 from weft.plans import search
 from weft.registry import query
+from weft.streaming import events
 
 
 @query("trailing_usage", f"SELECT event_id, (sum(total) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW))::BIGINT AS used FROM {USAGE_LOG}")
@@ -209,3 +210,30 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = rows.where("row_id % 50 = 0").select(F.col("row_id").alias("query_id"), "label", "vector", word.alias("word"), "source")
     found = search.hybrid(queries, rows, "label", exact=F.col("source") == F.col("q_source"))
     return found.withColumn("score", F.round("score", 12))
+
+
+@query("tagged_parts", "SELECT p_partkey FROM part WHERE list_has_any(string_split(lower(p_name), ' '), ['widget', 'ring'])")
+def tagged_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.tagged(read(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("tags")), F.col("tags"), ["Widget", "RING", " "]).select("p_partkey")
+
+
+@query("settled_arcs", f"SELECT user_id, lo, hi FROM (SELECT user_id, d AS lo, lead(d) OVER (PARTITION BY user_id ORDER BY d) - 1 AS hi FROM (SELECT DISTINCT user_id, d FROM {_CUTS})) WHERE hi <= 30 - 5")
+def settled_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cuts = _cuts(spark, sf_dir).withColumn("last", F.lit(None).cast("long"))
+    return events.settled(intervals.from_cuts(cuts, "user_id", "d", "last"), F.lit(30), 5)
+
+
+@query("quarter_counts", "SELECT o_custkey, least(floor((i - 1) * 4 / n) + 1, 4)::INT AS quarter, count(*) AS orders FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) GROUP BY 1, 2")
+def quarter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders")
+    ranked = retrieval.ranked(orders, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")], "i")
+    placed = ranked.join(orders.groupBy("o_custkey").agg(F.count("*").alias("n")), "o_custkey")
+    return placed.groupBy("o_custkey", windows.quarters(F.col("i") - 1, F.col("n")).alias("quarter")).agg(F.count("*").alias("orders"))
+
+
+@query("merged_turns", "SELECT conv_id, turn, sum(CASE WHEN s >= 0.5 THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS merged FROM (SELECT conv_id, turn, CASE WHEN p IS NOT NULL THEN least(n, p) / greatest(n, p, 1) END AS s FROM (SELECT conv_id, turn, length(text) AS n, lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations WHERE text IS NOT NULL))")
+def merged_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.length("text").alias("n"))
+    both = turns.withColumn("p", F.lag("n").over(Window.partitionBy("conv_id").orderBy("turn")))
+    alike = F.when(F.col("p").isNotNull(), F.least("n", "p") / F.greatest("n", "p", F.lit(1)))
+    return intervals.merged_neighbours(both.withColumn("alike", alike), "conv_id", "turn", F.col("alike"), 0.5).select("conv_id", "turn", "merged")

@@ -131,3 +131,8 @@ def cut_at_boundary(text: Column, limit: int, marks: tuple[str, ...] = ("\n\n",
 
 def clamped(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
+
+
+def clipped(text: Column, most: int) -> Column:
+    """The first `most` characters, with an ellipsis if there are more."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)

@@ -92,11 +92,11 @@ def index_percentiles(rows: DataFrame, key: str, value: str, shares: dict[str, f
     return found.unionByName(alone, allowMissingColumns=True)
 
 
-def majority_tags(rows: DataFrame, key: str, member: str, tag: str) -> DataFrame:
-    """Tags that at least half of a key's members have."""
+def majority_tags(rows: DataFrame, key: str, member: str, tag: str, one_in: int = 2) -> DataFrame:
+    """Tags that at least one in `one_in` of a key's members have."""
     members = rows.groupBy(key).agg(F.count_distinct(member).alias("members"))
     counts = rows.groupBy(key, tag).agg(F.count_distinct(member).alias("n"))
-    return counts.join(members, key).where(F.col("n") * 2 >= F.col("members")).select(key, tag, "n")
+    return counts.join(members, key).where(F.col("n") * one_in >= F.col("members")).select(key, tag, "n")
 
 
 def snap(value: Column, anchors: list[int]) -> Column:

@@ -95,14 +95,6 @@ def stacked(tables: dict[str, DataFrame], kind: str = "kind") -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (t.withColumn(kind, F.lit(k)) for k, t in tables.items()))
 
 
-def neighbours(points: DataFrame, plane: str, limit: int) -> DataFrame:
-    """The nearest `limit` others of the same plane: id, other, distance, dx, dy. Planes must be small."""
-    other = points.select(plane, F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    pairs = points.join(other, plane).where("id <> other and x is not null and y is not null and ox is not null and oy is not null")
-    pairs = pairs.select("id", "other", (F.col("ox") - F.col("x")).alias("dx"), (F.col("oy") - F.col("y")).alias("dy")).withColumn("distance", F.hypot("dx", "dy"))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))).where(F.col("rank") <= limit)
-
-
 def tagged(rows: DataFrame, tags: Column, wanted: list[str]) -> DataFrame:
     """Rows with one of the wanted tags, in any case; no wanted tags pass all."""
     lower = [t.lower() for t in wanted if t.strip()]

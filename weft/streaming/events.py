@@ -30,7 +30,9 @@ def settled(cuts: DataFrame, horizon: Column, margin: int) -> DataFrame:
 def upserted(stream: DataFrame, path: str, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
     """Keeps the last row for each key under `path`: each micro-batch writes a new version, the newest number is current.
 
-    A batch that is run again writes the same version again, so restarts neither lose nor double rows.
+    A batch that is run again writes the same version again, so restarts neither lose nor double rows. A version is
+    deleted when the second after it is written. Each batch rewrites the table: meant for tables of current states, not
+    for logs.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -39,6 +41,8 @@ def upserted(stream: DataFrame, path: str, keys: list[str], order: list[str], ch
         else:
             batch = upsert.upsert(batch.limit(0), batch, keys, order)
         batch.write.mode("overwrite").parquet(f"{path}/v{number}")
+        old = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number - 2}")
+        old.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
 
