@@ -76,8 +76,8 @@ def quarters(position: Column, n: Column) -> Column:
 
 def trailing(rows: DataFrame, keys: list[str], at: str, seconds: int, size: str, out: str) -> DataFrame:
     """Adds the sum of `size` over a key's rows of the last `seconds` up to and with each row (a timestamp column `at`)."""
-    by = Window.partitionBy(*keys).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return rows.withColumn(out, F.sum(size).over(by))
+    by = ", ".join(f"`{k}`" for k in keys)
+    return rows.withColumn(out, F.expr(f"sum(`{size}`) OVER (PARTITION BY {by} ORDER BY `{at}` RANGE BETWEEN INTERVAL {seconds} SECONDS PRECEDING AND CURRENT ROW)"))
 
 
 def every_nth(rows: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
