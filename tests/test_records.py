@@ -6,7 +6,8 @@ import random
 from pyspark.sql import functions as F
 
 from weft.functions import predicates
-from weft.operators import intervals, joins, retrieval, upsert, windows
+from weft.functions import text as T
+from weft.operators import cleaning, graph, intervals, joins, retrieval, upsert, windows
 from tests.conftest import DATA
 from weft import catalog, registry  # noqa: F401
 
@@ -87,3 +88,37 @@ def test_gates(spark):
     assert [r[0] for r in s.select(predicates.summary_like(F.col("t"))).collect()] == [True, False, False, False]
     p = spark.createDataFrame([("dead", 1), ("?", 69), ("?", 70), ("alive", None)], "s string, seen int")
     assert [r[0] for r in p.select(predicates.state_of(F.col("s"), F.col("seen"), F.lit(100), ["dead", "alive"])).collect()] == ["dead", "dormant", "alive", "alive"]
+
+
+def test_injected_blocks(spark):
+    lines = ["body one", "https://a.b", "body two", "### ad", "copyright x", "tail"]
+    t = spark.createDataFrame([(1, "\n".join(lines)), (2, "clean"), (3, None), (4, "Licensed under X\nrest")], "id int, text string")
+    found = cleaning.injected(t, "id", "text", "(?i)licensed under", r"(?i)copyright|https?://|[#]{3}")
+    got = {r.id: r for r in found.withColumn("d", cleaning.injection_decision(F.col("cut"), F.col("share"))).collect()}
+    assert {i: (r.cut, r.tail, r.body, r.d) for i, r in got.items()} == {1: (4, 21, 27, "tail"), 2: (None, 0, 5, "none"), 4: (1, 20, 0, "whole")}
+    cut = t.join(found, "id").select("id", cleaning.before_line(F.col("text"), F.col("cut")))
+    assert rows(cut, "id") == [(1, "\n".join(lines[:3])), (2, "clean"), (4, "")]
+
+
+def test_texts_and_lists(spark):
+    t = spark.createDataFrame([("see\n [[load: a,, b ]]\nend",), ("none",), (None,), ("[[load:]]",)], "t string")
+    assert rows(t.select(T.load_ids(F.col("t")), T.without_commands(F.col("t"))), F.monotonically_increasing_id()) == [(["a", "b"], "see\nend"), (None, "none"), (None, None), ([], "")]
+    b = spark.createDataFrame([("a×3",), ("b × 12 ",), ("c",), ("×",)], "t string")
+    assert rows(b.select(*T.beat(F.col("t"))), F.monotonically_increasing_id()) == [("a", 3), ("b", 12), ("c", 1), ("×", 1)]
+    p = spark.createDataFrame([("a； b\n;c",), (None,)], "t string")
+    assert rows(p.select(T.as_list(F.col("t"))), F.monotonically_increasing_id()) == [(["a", "b", "c"],), ([],)]
+    assert rows(spark.createDataFrame([("****x ",), ("***x",)], "t string").select(T.behind_stars(F.col("t"))), F.monotonically_increasing_id()) == [("x",), (None,)]
+
+
+def test_aliases_edges_ledgers(spark):
+    a = spark.createDataFrame([("x", "A"), ("x", "B"), ("y", "A"), ("y", "A"), ("Bo", "A")], "alias string, owner string")
+    roster = spark.createDataFrame([("Bo",)], "name string")
+    assert rows(joins.alias_decisions(a, roster)) == [("Bo", "A", "propose"), ("x", "A", "conflict"), ("y", "A", "merge")]
+    edges = spark.createDataFrame([("g", "m", "has"), ("g", "l", "leads"), ("h", "m", "has")], "a string, b string, kind string")
+    groups = spark.createDataFrame([("g", ["n", None, "g", "n"])], "node string, members array<string>")
+    assert rows(graph.rebuilt(edges, groups, "has")) == [("g", "l", "leads"), ("g", "n", "has"), ("h", "m", "has")]
+    old = spark.createDataFrame([("d", 1, "aaaa"), ("d", 2, "bb"), ("d", 3, "c")], "d string, n int, t string")
+    new = spark.createDataFrame([("d", 3, "cccc"), ("d", 4, "dd")], "d string, n int, t string")
+    assert rows(upsert.ledger(old, new, ["d"], "n", "t", 8)) == [("d", 2, "bb"), ("d", 3, "cccc"), ("d", 4, "dd")]
+    left = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b")], "k string, o int, v string")
+    assert rows(joins.paired(left, left.where("o = 1"), "k", ["o"], "v")) == [("k", 1, "a", "a", True), ("k", 2, "b", None, False)]

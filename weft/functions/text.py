@@ -136,3 +136,44 @@ def clamped(value: Column, low: float, high: float) -> Column:
 def clipped(text: Column, most: int) -> Column:
     """The first `most` characters, with an ellipsis if there are more."""
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
+
+
+def load_ids(text: Column, name: str = "load") -> Column:
+    """The ids of the first command [[name: a, b]] in a text; null without one."""
+    body = F.regexp_extract(text, rf"\[\[{name}:([^\]]*)\]\]", 1)
+    ids = F.filter(F.transform(F.split(body, ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(text.rlike(rf"\[\[{name}:[^\]]*\]\]"), ids)
+
+
+def without_commands(text: Column, name: str = "load") -> Column:
+    """The text without lines that are such commands."""
+    return F.regexp_replace(text, rf"(?m)^[ \t]*\[\[{name}:[^\]]*\]\][ \t]*\n?", "")
+
+
+def without_ascii_words(text: Column) -> Column:
+    """The text without ASCII words of two letters or more; blanks are squeezed and trimmed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, "[A-Za-z]{2,}", ""), " +", " "))
+
+
+def beat(label: Column) -> tuple[Column, Column]:
+    """The symbol and the number of repeats (1 without one) of a label such as `a×3`."""
+    times = F.regexp_extract(label, r"×\s*(\d+)\s*$", 1)
+    return F.trim(F.regexp_replace(label, r"×\s*\d+\s*$", "")), F.coalesce(times.try_cast("int"), F.lit(1))
+
+
+def as_list(text: Column) -> Column:
+    """Parts between semicolons (of either width) and line ends, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[;；\n]"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def ideographs(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("[一-鿿]"))
+
+
+def behind_stars(line: Column, least: int = 4) -> Column:
+    """What follows `least` or more stars at a line's begin; null for other lines."""
+    return F.when(line.rlike(rf"^\s*\*{{{least},}}"), F.trim(F.regexp_extract(line, rf"^\s*\*{{{least},}}(.*)$", 1)))
+
+
+def first_number(text: Column) -> Column:
+    return F.regexp_extract(text, r"(\d{1,6})", 1).try_cast("int")

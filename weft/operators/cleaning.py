@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -107,3 +107,41 @@ def without_tail_block(rows: DataFrame, text: str, strong: str, weak: str, line_
             yield frame.assign(**{text: [x for x, _ in found], "n_tail": [n for _, n in found]})
 
     return rows.mapInPandas(step, rows.select("*", F.lit(0).cast("long").alias("n_tail")).schema)
+
+
+def stacked_words(rows: DataFrame, key: str, text: str, words: list[str], least: int = 40, same: int = 2, total: int = 4) -> DataFrame:
+    """key, line_no, finding: paragraphs of `least` characters or more with one of the words `same` times (repeat), or
+    else with `total` of them (density)."""
+    own = F.split("line", r"[^\p{L}\p{N}]+")
+    times = lambda word: F.size(F.filter(own, lambda x: x == F.lit(word)))
+    counts = F.array(*map(times, words))
+    found = lines(rows, key, text).where(F.length("line") >= least).withColumn("__n", counts)
+    finding = F.when(F.array_max("__n") >= same, "repeat").when(F.aggregate("__n", F.lit(0), lambda a, b: a + b) >= total, "density")
+    return found.select(key, "line_no", finding.alias("finding")).where("finding is not null")
+
+
+def injected(rows: DataFrame, key: str, text: str, anchor: str, marker: str, run: int = 2) -> DataFrame:
+    """key, cut (number of the line, null for none), tail and body (characters of lines from there on, and before), share.
+
+    The cut is the first line that matches `anchor`, or the first of `run` lines or more in a row that match `marker`.
+    """
+    by = Window.partitionBy(key).orderBy("line_no")
+    each = lines(rows, key, text).withColumns({"__a": F.col("line").rlike(anchor), "__m": F.col("line").rlike(marker)})
+    runs = each.withColumn("__run", F.sum(F.when(F.col("__m"), 0).otherwise(1)).over(by))
+    runs = runs.withColumn("__size", F.count_if(F.col("__m")).over(Window.partitionBy(key, "__run")))
+    at = F.min(F.when(F.col("__a") | (F.col("__m") & (F.col("__size") >= run)), F.col("line_no")))
+    cut = runs.groupBy(key).agg(at.alias("cut"))
+    parts = each.select(key, "line_no", F.length("line").alias("n")).join(cut, key)
+    sizes = parts.groupBy(key, "cut").agg(F.coalesce(F.sum(F.when(F.col("line_no") >= F.col("cut"), F.col("n"))), F.lit(0)).alias("tail"), F.sum("n").alias("all"))
+    return sizes.select(key, "cut", "tail", (F.col("all") - F.col("tail")).alias("body"), F.coalesce(F.try_divide("tail", "all"), F.lit(0.0)).alias("share"))
+
+
+def injection_decision(cut: Column, share: Column, whole: float = 0.8) -> Column:
+    """whole (most of the text is foreign), tail (cut it there), none."""
+    return F.when(cut.isNull(), "none").when(share >= whole, "whole").otherwise("tail")
+
+
+def before_line(text: Column, cut: Column) -> Column:
+    """The text before a line's number as cleaning.lines counts it; all of it for null."""
+    parts = F.split(text, "\n")
+    return F.when(cut.isNull(), text).otherwise(F.array_join(F.slice(parts, F.lit(1), cut.cast("int") - 1), "\n"))

@@ -37,3 +37,13 @@ def without(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def degrees(edges: DataFrame) -> DataFrame:
     return undirected(edges).groupBy("node", "kind").agg(F.count_distinct("other").alias("degree"), F.max("weight").alias("strongest"))
+
+
+def rebuilt(edges: DataFrame, groups: DataFrame, kind: str) -> DataFrame:
+    """Edges (a, b, kind) with all of this kind that begin at a group replaced by those to its members.
+
+    groups: node, members (array); nulls, repeats and the node itself make no edge.
+    """
+    kept = edges.join(groups.select(F.col("node").alias("a"), F.lit(kind).alias("kind")).distinct(), ["a", "kind"], "left_anti")
+    made = groups.select(F.col("node").alias("a"), F.explode("members").alias("b")).where("b is not null and a <> b").distinct()
+    return kept.select("a", "b", "kind").unionByName(made.select("a", "b", F.lit(kind).alias("kind")))

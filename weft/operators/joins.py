@@ -126,3 +126,20 @@ def first_of(rows: DataFrame, known: DataFrame, key: str, ways: list[list[str]])
     found = [F.col(f"__f{i}") for i in range(len(ways))]
     way = F.coalesce(*(F.when(c.isNotNull(), F.lit(i)) for i, c in enumerate(found)))
     return out.select(*rows.columns, F.coalesce(*found).alias("found"), way.alias("way"))
+
+
+def paired(left: DataFrame, right: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """Rows of both tables of a key, the n-th with the n-th: key, n, left_name, right_name, agrees; what one table lacks
+    is null and does not agree."""
+    numbered = lambda df, to: df.select(key, F.row_number().over(Window.partitionBy(key).orderBy(*order)).alias("n"), F.col(name).alias(to))
+    both = numbered(left, f"left_{name}").join(numbered(right, f"right_{name}"), [key, "n"], "full")
+    return both.withColumn("agrees", F.coalesce(F.col(f"left_{name}") == F.col(f"right_{name}"), F.lit(False)))
+
+
+def alias_decisions(aliases: DataFrame, roster: DataFrame) -> DataFrame:
+    """alias, owner, decision: merge for an alias with one owner that is no roster name, propose for one that is on the
+    roster, conflict for one with several owners (owner is then the first by name)."""
+    by = aliases.groupBy("alias").agg(F.min("owner").alias("owner"), F.count_distinct("owner").alias("n"))
+    known = roster.select(F.col("name").alias("alias"), F.lit(True).alias("known")).distinct()
+    decision = F.when(F.col("n") > 1, "conflict").when(F.col("known"), "propose").otherwise("merge")
+    return by.join(known, "alias", "left").select("alias", "owner", decision.alias("decision"))

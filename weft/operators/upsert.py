@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.operators import aggregates, dedup, windows
@@ -122,3 +122,23 @@ def restored(revisions: DataFrame, key: str, number: str, back: int, fields: lis
 def next_number(keys: DataFrame, rows: DataFrame, key: str, number: str) -> DataFrame:
     """The number behind a key's largest one, 1 for keys without rows."""
     return keys.join(rows.groupBy(key).agg(F.max(number).alias("__last")), key, "left").select(*keys.columns, (F.coalesce("__last", F.lit(0)) + 1).alias("next"))
+
+
+def allowed(table: DataFrame, changes: DataFrame, keys: list[str], order: list[str], known: DataFrame) -> DataFrame:
+    """upsert() of those changes whose keys are in `known`."""
+    return upsert(table, changes.join(known.select(*keys).distinct(), keys, "left_semi"), keys, order)
+
+
+def ledger(sections: DataFrame, changes: DataFrame, keys: list[str], number: str, text: str, most: int) -> DataFrame:
+    """Sections (keys, number, text) with changes in their places; of each key the newest numbers that have `most`
+    characters together, so that the oldest go first. A section that is longer alone goes too, with all before it."""
+    both = changes.select(*keys, number, text).unionByName(sections.join(changes, [*keys, number], "left_anti").select(*keys, number, text))
+    by = Window.partitionBy(*keys).orderBy(F.col(number).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("__used", F.sum(F.length(text)).over(by)).where(F.col("__used") <= most).drop("__used")
+
+
+def fingerprint(rows: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
+    """key, digest: a SHA-256 of a key's rows in order, to see whether they changed. A key's rows are in one row."""
+    line = F.concat_ws("|", *(F.coalesce(F.col(f).cast("string"), F.lit("-")) for f in fields))
+    by = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))).alias("all"))
+    return by.select(key, F.sha2(F.array_join(F.transform("all", lambda x: x["line"]), ";"), 256).alias("digest"))
