@@ -29,8 +29,8 @@ from weft.llm import common
 #: A subtree is a template's if it is on so many different pages of a host and, unless it is apart from the text, on this
 #: share of the different pages of the host, of one of its URL sections or of one of its layouts.
 LEAST_PAGES, LEAST_SHARE = 20, 0.6
-#: Templates up to which they are sent to all tasks: 16 MB.
-MOST_TEMPLATES = 2_000_000
+#: Templates up to which they are sent to all tasks: 2 MB.
+MOST_TEMPLATES = 200_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup.
