@@ -153,3 +153,31 @@ def test_near_copies_in_the_given_tables(spark):
         root[y] = x
     got = simhash.deduplicated(docs, radius=None).select(F.collect_set("doc_id")).first()[0]
     assert similar and sorted(got) == sorted({find(i) for i in ids})
+
+
+@pytest.mark.parametrize(("leaf", "sample"), [(64, 8192), (4, 512), (1, 64)])
+def test_learned_trees_lose_no_pair(spark, monkeypatch, leaf, sample):
+    """Deep trees, with leaves that grow on beyond the sample, over random and skewed fingerprints."""
+    monkeypatch.setattr(simhash, "LEAF", leaf)
+    monkeypatch.setattr(simhash, "SAMPLE", sample)
+    rng = random.Random(leaf)
+    values = {rng.getrandbits(64) for _ in range(1500)} | {rng.getrandbits(64) & 0xFF00FF00FF00FF00 | 0x1234 for _ in range(500)}
+    for x in list(values)[:400]:
+        values |= {x ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for _ in range(3)}
+    near = set()
+    for x in values:
+        for i in range(64):
+            for j in range(i, 64):
+                y = x ^ 1 << i ^ (1 << j if j > i else 0)
+                if x < y and y in values:
+                    near.add((x, y))
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    prints = spark.createDataFrame([(signed(v),) for v in values], "fingerprint long")
+    got = [tuple(r) for r in simhash.links(prints).collect()]
+    assert len(got) == len(set(got)) and {frozenset(p) for p in got} == {frozenset(map(signed, p)) for p in near} and len(near) > 500
+    a = np.array(sorted(values), np.uint64)
+    for tree in simhash.trees_of(prints, 2, 2):
+        row, where, visit = tree.places(a)
+        assert sorted(row[visit == 0]) == list(range(len(a))) and len(row) <= 14 * len(a)
+        assert not len(tree.vantage) or all(int(v) in values or v == 0 for v in tree.vantage)
+        assert np.bincount(np.unique(where[visit == 0], return_inverse=True)[1]).max() < len(a) / 4

@@ -191,9 +191,10 @@ def links(prints: DataFrame, radius: int = 2, parts: int = 2, mask: int = 2) ->
     differ, wide = F.col("a").bitwiseXOR(F.col("b")), 64 // parts
     near = F.bit_count(differ) <= radius
     once = (F.col("visit") > 0) | (F.col("a") < F.col("b"))
-    for part in range(parts - 1):  # an earlier tree has pairs that differ in at most one of its bits
-        bits = F.shiftrightunsigned(differ, part * wide).bitwiseAND(F.lit((1 << wide) - 1))
-        once = once & ((F.pmod("leaf", F.lit(parts)) <= part) | (F.bit_count(bits) > 1))
+    own = F.pmod("leaf", F.lit(parts))
+    for part in range(parts):  # a pair is left to the first tree in whose bits it differs by one at most
+        bits = F.bit_count(F.shiftrightunsigned(differ, part * wide).bitwiseAND(F.lit((1 << wide) - 1)))
+        once = once & F.when(own == part, bits <= 1).when(own > part, bits > 1).otherwise(True)
     apart = F.col("label_a") != F.col("label_b") if "label" in prints.columns else F.lit(True)
     return as_(walked, "a").join(as_(walked.where("visit = 0"), "b"), "leaf").where(near & once & apart).select("a", "b")
 
