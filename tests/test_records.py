@@ -122,3 +122,15 @@ def test_aliases_edges_ledgers(spark):
     assert rows(upsert.ledger(old, new, ["d"], "n", "t", 8)) == [("d", 2, "bb"), ("d", 3, "cccc"), ("d", 4, "dd")]
     left = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b")], "k string, o int, v string")
     assert rows(joins.paired(left, left.where("o = 1"), "k", ["o"], "v")) == [("k", 1, "a", "a", True), ("k", 2, "b", None, False)]
+
+
+def test_numbered_and_dispatched(spark):
+    rng = random.Random(9)
+    ids = rng.sample(range(-50, 300), 120)
+    t = spark.createDataFrame([(i, [None, "a", "b"][i % 3], i % 2 == 0, i % 7) for i in ids], "id long, k string, f boolean, p int")
+    for width in (1, 13, 10_000):
+        got = {r.id: r.n for r in windows.numbered(t, ["k", "f"], "id", "n", width).collect()}
+        assert got == {i: sum((j % 3, j % 2) == (i % 3, i % 2) and j <= i for j in ids) for i in ids}
+    done = windows.dispatch(t, "k", "p", "id", F.coalesce(F.col("k") != "b", F.lit(True))).collect()
+    best = {k: min((-(i % 7), i) for i in ids if [None, "a", "b"][i % 3] == k)[1] for k in (None, "a", "b")}
+    assert all(r.active == (r.k == "b" or r.id == best[r.k]) and r.winner == (None if r.active else best[r.k]) for r in done) and len(done) == 120

@@ -131,10 +131,9 @@ def masked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("alias_numbering", "SELECT c_custkey, c_mktsegment || '-' || row_number() OVER (PARTITION BY c_mktsegment, c_acctbal >= 0 ORDER BY c_custkey) || CASE WHEN c_acctbal >= 0 THEN 'f' ELSE 'e' END AS alias FROM customer")
 def alias_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("c_mktsegment", F.col("c_acctbal") >= 0).orderBy("c_custkey"))
-    return read(spark, sf_dir, "customer").select("c_custkey", F.concat("c_mktsegment", F.lit("-"), n, F.when(F.col("c_acctbal") >= 0, "f").otherwise("e")).alias("alias"))
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", (F.col("c_acctbal") >= 0).alias("full"))
+    rows = windows.numbered(rows, ["c_mktsegment", "full"], "c_custkey", "n")
+    return rows.select("c_custkey", F.concat("c_mktsegment", F.lit("-"), "n", F.when(F.col("full"), "f").otherwise("e")).alias("alias"))
 
 
 @query("window_specs", "SELECT source, lo, least(lo + 9, last) AS core_end, least(lo + 12, last) AS need FROM (SELECT source, last, unnest(range(first, last + 1, 10)) AS lo FROM (SELECT source, min(doc_id) AS first, max(doc_id) AS last FROM documents GROUP BY source))")

@@ -38,10 +38,29 @@ def run_lengths(rows: DataFrame, keys: list[str], order: list[str], symbol: str)
 
 
 def dispatch(rows: DataFrame, category: str, priority: str, name: str, exclusive: Column) -> DataFrame:
-    """Adds active and winner: in an exclusive category only the highest priority (then the first name) is active."""
-    order = Window.partitionBy(category).orderBy(F.col(priority).desc(), F.col(name))
-    ranked = rows.withColumn("__rank", F.row_number().over(order)).withColumn("winner", F.first(name).over(order))
-    return ranked.withColumn("active", ~exclusive | (F.col("__rank") == 1)).withColumn("winner", F.when(F.col("active"), F.lit(None)).otherwise(F.col("winner"))).drop("__rank")
+    """Adds active and winner: in an exclusive category only the highest priority (then the first name) is active.
+
+    A category's winner is an aggregate that is joined back, so no category is sorted in one task. Names tell the rows
+    of a category apart; priorities are numbers.
+    """
+    best = rows.groupBy(F.col(category).alias("__of")).agg(F.min(F.struct((-F.col(priority)).alias("p"), F.col(name).alias("n"))).getField("n").alias("__best"))
+    both = rows.join(best, rows[category].eqNullSafe(best["__of"])).drop("__of")
+    both = both.withColumn("active", ~exclusive | (F.col(name) == F.col("__best")))
+    return both.withColumn("winner", F.when(~F.col("active"), F.col("__best"))).drop("__best")
+
+
+def numbered(rows: DataFrame, keys: list[str], at: str, out: str, width: int = 10_000) -> DataFrame:
+    """Adds the number (from 1) of each row of a key along `at`, a number that tells a key's rows apart.
+
+    Rows are numbered within ranges of `width` numbers, from what all ranges before hold: a key's rows are in no single
+    task, only a row for each of its ranges.
+    """
+    cut = rows.withColumns({"__key": F.struct(*keys), "__range": F.floor(F.col(at) / width)})
+    held = cut.groupBy("__key", "__range").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    base = held.select("__key", "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inner = cut.withColumn("__in", F.row_number().over(Window.partitionBy("__key", "__range").orderBy(at)))
+    return inner.join(base, ["__key", "__range"]).withColumn(out, F.col("__before") + F.col("__in")).drop("__key", "__range", "__before", "__in")
 
 
 def top(rows: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:

@@ -8,30 +8,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def encoding_of(raw: bytes) -> str:
-    """bom, utf-8, gb18030 or unknown."""
-    if raw.startswith((b"\xef\xbb\xbf", b"\xff\xfe", b"\xfe\xff")):
-        return "bom"
+def read_bytes(raw: bytes) -> tuple[str, str]:
+    """The encoding (bom, utf-8, gb18030 or unknown) and the text: UTF-8, or else GB18030 without what does not decode."""
+    kind, text = "unknown", None
     for name in ("utf-8", "gb18030"):
         try:
-            raw.decode(name)
+            kind, text = name, raw.decode(name)
+            break
         except UnicodeDecodeError:
             continue
-        return name
-    return "unknown"
-
-
-def decoded(raw: bytes) -> str:
-    """UTF-8, or else GB18030 without what does not decode."""
-    try:
-        return raw.decode("utf-8-sig")
-    except UnicodeDecodeError:
-        return raw.decode("gb18030", "ignore")
+    if text is None:
+        text = raw.decode("gb18030", "ignore")
+    if raw.startswith((b"\xef\xbb\xbf", b"\xff\xfe", b"\xfe\xff")):
+        kind, text = "bom", text.removeprefix("\ufeff")
+    return kind, text
 
 
 @F.pandas_udf(StructType().add("encoding", "string").add("text", "string"))
 def _text(raw: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({"encoding": [encoding_of(x) for x in raw], "text": [decoded(x) for x in raw]})
+    return pd.DataFrame([read_bytes(x) for x in raw], columns=["encoding", "text"])
 
 
 def chapters(spark: SparkSession, path: str, skip: tuple[str, ...] = ()) -> DataFrame:
