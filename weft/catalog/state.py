@@ -46,7 +46,7 @@ def pending_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("budget_prefix", "SELECT source, doc_id, used::BIGINT AS used FROM (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id DESC) AS used FROM documents) WHERE used <= 32000")
 def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return budget.within(read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", (-F.col("doc_id")).alias("o")), ["source"], ["o"], "n_chars", 32_000).select("source", "doc_id", "used")
+    return budget.within(read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", (-F.col("doc_id")).alias("o")), ["source"], "o", "n_chars", 32_000).select("source", "doc_id", "used")
 
 
 @query("budget_plan")

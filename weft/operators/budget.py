@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.operators import windows
+
 
 def plan(blocks: DataFrame, key: str, budget: int, least: int = 200) -> DataFrame:
     """Adds taken (characters) and decision (kept, cut, dropped) to blocks (name, size, required, priority).
@@ -27,6 +29,6 @@ def plan(blocks: DataFrame, key: str, budget: int, least: int = 200) -> DataFram
     return blocks.groupBy(key).applyInPandas(step, blocks.select("*", F.lit(0).cast("long").alias("taken"), F.lit("").alias("decision")).schema)
 
 
-def within(rows: DataFrame, keys: list[str], order: list[str], size: str, budget: int) -> DataFrame:
-    """Rows in order as long as their sizes sum up to no more than the budget."""
-    return rows.withColumn("used", F.sum(size).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("used") <= budget)
+def within(rows: DataFrame, keys: list[str], at: str, size: str, budget: int) -> DataFrame:
+    """Rows along `at` (a number, unique for a key) as long as their sizes sum up to no more than the budget; adds used."""
+    return windows.running(rows, keys, at, F.col(size), "used").where(F.col("used") <= budget)

@@ -54,19 +54,23 @@ def batches(rows: DataFrame, group: str, order: str, size: str, most_items: int,
     return rows.groupBy(group).applyInPandas(step, rows.select("*", F.lit(0).alias("batch")).schema)
 
 
-def with_next(rows: DataFrame, group: str, at: str, width: int = 10_000) -> DataFrame:
-    """Adds next, the following `at` (a number) of a row's group, null for the last.
+def next_places(rows: DataFrame, group: str, at: str, width: int = 10_000) -> DataFrame:
+    """Slim rows with next, the following `at` (a number, unique in a group) of their group, null for the last.
 
     Rows follow each other in ranges of `width` numbers, each of which is in one task at most; the last of a range finds
-    the next range's first in a table of a row for each range. Only these two columns go through windows.
+    the next range's first in a table of a row for each range.
     """
-    slim = rows.select(group, at).withColumn("__range", F.floor(F.col(at) / width))
-    first = slim.groupBy(group, "__range").agg(F.min(at).alias("__first"))
-    first = first.withColumn("__beyond", F.lead("__first").over(Window.partitionBy(group).orderBy("__range"))).select(F.col(group).alias("__group"), "__range", "__beyond")
-    inner = slim.withColumn("__in", F.lead(at).over(Window.partitionBy(group, "__range").orderBy(at)))
-    both = inner.join(first, inner[group].eqNullSafe(first["__group"]) & (inner["__range"] == first["__range"]))
-    found = both.select(inner[at].alias(at), F.coalesce("__in", "__beyond").alias("next"))
-    return rows.join(found, at, "left")
+    cut = rows.withColumns({"__group": F.struct(group), "__range": F.floor(F.col(at) / width)})
+    first = cut.groupBy("__group", "__range").agg(F.min(at).alias("__first"))
+    first = first.select("__group", "__range", F.lead("__first").over(Window.partitionBy("__group").orderBy("__range")).alias("__beyond"))
+    inner = cut.withColumn("__in", F.lead(at).over(Window.partitionBy("__group", "__range").orderBy(at)))
+    return inner.join(first, ["__group", "__range"]).withColumn("next", F.coalesce("__in", "__beyond")).drop("__group", "__range", "__in", "__beyond")
+
+
+def with_next(rows: DataFrame, group: str, at: str, width: int = 10_000) -> DataFrame:
+    """Adds next (see next_places) to rows of any size, whose `at` is unique in all groups: only two columns go through
+    windows."""
+    return rows.join(next_places(rows.select(group, at), group, at, width).select(at, "next"), at, "left")
 
 
 def windows(spans: DataFrame, core: int, tail: int) -> DataFrame:
@@ -77,8 +81,8 @@ def windows(spans: DataFrame, core: int, tail: int) -> DataFrame:
 
 def from_cuts(cuts: DataFrame, key: str, cut: str, last: str) -> DataFrame:
     """Disjoint intervals that begin at the cuts and cover up to last: key, lo, hi."""
-    by = Window.partitionBy(key).orderBy(cut)
-    return cuts.select(key, cut, last).distinct().select(key, F.col(cut).alias("lo"), F.coalesce(F.lead(cut).over(by) - 1, F.col(last)).alias("hi"))
+    places = next_places(cuts.select(key, cut, last).distinct(), key, cut)
+    return places.select(key, F.col(cut).alias("lo"), F.coalesce(F.col("next") - 1, F.col(last)).alias("hi"))
 
 
 def coverage(intervals: DataFrame, key: str) -> DataFrame:

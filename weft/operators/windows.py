@@ -49,18 +49,25 @@ def dispatch(rows: DataFrame, category: str, priority: str, name: str, exclusive
     return both.withColumn("winner", F.when(~F.col("active"), F.col("__best"))).drop("__best")
 
 
-def numbered(rows: DataFrame, keys: list[str], at: str, out: str, width: int = 10_000) -> DataFrame:
-    """Adds the number (from 1) of each row of a key along `at`, a number that tells a key's rows apart.
+def running(rows: DataFrame, keys: list[str], at: str, size: Column, out: str, width: int = 10_000) -> DataFrame:
+    """Adds the sum of `size` (a number) over a key's rows up to and with each row, along `at`, a number that tells a
+    key's rows apart.
 
-    Rows are numbered within ranges of `width` numbers, from what all ranges before hold: a key's rows are in no single
+    Rows are summed within ranges of `width` numbers, from what all ranges before hold: a key's rows are in no single
     task, only a row for each of its ranges.
     """
-    cut = rows.withColumns({"__key": F.struct(*keys), "__range": F.floor(F.col(at) / width)})
-    held = cut.groupBy("__key", "__range").agg(F.count("*").alias("__n"))
+    cut = rows.withColumns({"__key": F.struct(*keys), "__range": F.floor(F.col(at) / width), "__size": size})
+    held = cut.groupBy("__key", "__range").agg(F.sum("__size").alias("__sum"))
     before = Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    base = held.select("__key", "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inner = cut.withColumn("__in", F.row_number().over(Window.partitionBy("__key", "__range").orderBy(at)))
-    return inner.join(base, ["__key", "__range"]).withColumn(out, F.col("__before") + F.col("__in")).drop("__key", "__range", "__before", "__in")
+    base = held.select("__key", "__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    by = Window.partitionBy("__key", "__range").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    inner = cut.withColumn("__in", F.sum("__size").over(by))
+    return inner.join(base, ["__key", "__range"]).withColumn(out, F.col("__before") + F.col("__in")).drop("__key", "__range", "__size", "__before", "__in")
+
+
+def numbered(rows: DataFrame, keys: list[str], at: str, out: str, width: int = 10_000) -> DataFrame:
+    """Adds the number (from 1) of each row of a key along `at`; see running."""
+    return running(rows, keys, at, F.lit(1).cast("long"), out, width)
 
 
 def top(rows: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
