@@ -28,6 +28,10 @@ from weft.llm import common
 Packing = list[list[int]]
 
 
+def fills(bins: Packing, lengths: list[int]) -> list[int]:
+    return [sum(map(lengths.__getitem__, b)) for b in bins]
+
+
 def best_fit(order: list[int], lengths: list[int], bins: Packing, capacity: int) -> Packing:
     """Puts each item of `order` into the bin with the least room that holds it, or into a new one.
 
@@ -35,8 +39,8 @@ def best_fit(order: list[int], lengths: list[int], bins: Packing, capacity: int)
     """
     at: dict[int, list[int]] = {}
     mask = 0
-    for b, members in enumerate(bins):
-        room = capacity - sum(lengths[i] for i in members)
+    for b, fill in enumerate(fills(bins, lengths)):
+        room = capacity - fill
         at.setdefault(room, []).append(b)
         mask |= 1 << room
     for i in order:
@@ -57,28 +61,33 @@ def best_fit(order: list[int], lengths: list[int], bins: Packing, capacity: int)
 
 def fitness(bins: Packing, lengths: list[int]) -> tuple[int, int]:
     """Smaller is better: bins, then the less even fill (sum of squares)."""
-    return len(bins), -sum(sum(lengths[i] for i in b) ** 2 for b in bins)
+    return len(bins), -sum(n * n for n in fills(bins, lengths))
 
 
 def crossover(into: Packing, giver: Packing, lengths: list[int], capacity: int, rng: random.Random) -> Packing:
     """A child of `into` with a random run of the giver's fullest bins, displaced items best-fitted by falling length."""
-    fullest = sorted(giver, key=lambda b: -sum(lengths[i] for i in b))[: max(1, len(giver) // 2)]
+    full = fills(giver, lengths)
+    fullest = [giver[b] for b in sorted(range(len(giver)), key=lambda b: -full[b])[: max(1, len(giver) // 2)]]
     first = rng.randrange(len(fullest))
     injected = fullest[first : first + max(1, len(fullest) // 3)]
     taken = {i for b in injected for i in b}
-    kept = [list(b) for b in into if taken.isdisjoint(b)]
-    held = taken.union(*kept)
-    displaced = sorted((i for b in into for i in b if i not in held), key=lambda i: -lengths[i])
-    return best_fit(displaced, lengths, kept + [list(b) for b in injected], capacity)
+    kept, broken = [], []
+    for b in into:
+        (kept if taken.isdisjoint(b) else broken).append(b)
+    displaced = sorted((i for b in broken for i in b if i not in taken), key=lambda i: -lengths[i])
+    return best_fit(displaced, lengths, [list(b) for b in kept + injected], capacity)
 
 
 def mutate(bins: Packing, lengths: list[int], capacity: int, rng: random.Random) -> Packing:
-    """Empties the two least filled bins and a few others and best-fits their items in a slightly shuffled order."""
-    ranked = sorted(bins, key=lambda b: sum(lengths[i] for i in b))
-    gone = ranked[:2] + rng.sample(ranked[2:], min(len(ranked[2:]), 3))
-    out = {id(b) for b in gone}
-    loose = sorted((i for b in gone for i in b), key=lambda i: -lengths[i] * rng.uniform(0.8, 1.2))
-    return best_fit(loose, lengths, [list(b) for b in bins if id(b) not in out], capacity)
+    """Empties the two least filled bins and a few others and best-fits their items in a slightly shuffled order.
+
+    `bins` are a packing of its own, whose lists are used again.
+    """
+    full = fills(bins, lengths)
+    ranked = sorted(range(len(bins)), key=full.__getitem__)
+    gone = {*ranked[:2], *rng.sample(ranked[2:], min(len(ranked[2:]), 3))}
+    loose = sorted((i for b in sorted(gone) for i in bins[b]), key=lambda i: -lengths[i] * rng.uniform(0.8, 1.2))
+    return best_fit(loose, lengths, [members for b, members in enumerate(bins) if b not in gone], capacity)
 
 
 def evolve(lengths: list[int], capacity: int, seeds: list[Packing], population: int, generations: int, seed: int) -> Packing:
@@ -88,17 +97,17 @@ def evolve(lengths: list[int], capacity: int, seeds: list[Packing], population:
     """
     rng = random.Random(seed)
     least = -(-sum(lengths) // capacity)
-    herd = list(seeds)
-    while len(herd) < population:
-        herd.append(best_fit(rng.sample(range(len(lengths)), len(lengths)), lengths, [], capacity))
-    herd.sort(key=lambda x: fitness(x, lengths))
+    made = list(seeds)
+    while len(made) < population:
+        made.append(best_fit(rng.sample(range(len(lengths)), len(lengths)), lengths, [], capacity))
+    herd = sorted(((fitness(x, lengths), x) for x in made), key=lambda x: x[0])
     for _ in range(generations):
-        if len(herd[0]) <= least or len(herd) < 2:
+        if len(herd[0][1]) <= least or len(herd) < 2:
             break
-        a, b = rng.sample(herd, 2)
+        (_, a), (_, b) = rng.sample(herd, 2)
         child = mutate(crossover(a, b, lengths, capacity, rng), lengths, capacity, rng)
-        herd = sorted([*herd, child], key=lambda x: fitness(x, lengths))[:population]
-    return herd[0]
+        herd = sorted([*herd, (fitness(child, lengths), child)], key=lambda x: x[0])[:population]
+    return herd[0][1]
 
 
 def _solution(bins: np.ndarray) -> Packing:
@@ -115,7 +124,7 @@ def _numbered(bins: Packing, n: int) -> np.ndarray:
     return out
 
 
-def pack(items: DataFrame, capacity: int = 4096, block_items: int = 2000, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 30) -> DataFrame:
+def pack(items: DataFrame, capacity: int = 4096, block_items: int = 2000, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 20) -> DataFrame:
     """uid, sequence_id, offset for each row of items (uid long, unique; length int in 1..capacity).
 
     items is read several times: pass a stored table. Rows of the full capacity are sequences of their own. No item
