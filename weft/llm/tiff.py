@@ -71,83 +71,85 @@ def pack_packbits(data: bytes) -> bytes:
     return bytes(out)
 
 
+#: The first bit and the width of the n-th code behind a clear code: from 9 to 12 bits, widening one code early.
+_WIDTHS = np.array([9 + sum(FIRST + n >= 1 << w for w in (9, 10, 11)) for n in range(1 << 13)])
+_BEGINS = np.concatenate([[0], np.cumsum(_WIDTHS)])
+_SINGLE = [bytes((i,)) for i in range(256)] + [b"", b""]
+
+
+def _codes(data: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """The codes from bit `begin` on, behind a clear code, up to the next clear or end code (with it) or bit `end`."""
+    n = int(np.searchsorted(_BEGINS, end - begin, "right")) - 1
+    at, width = begin + _BEGINS[:n], _WIDTHS[:n]
+    byte = at >> 3
+    three = data[byte] << 16 | data[byte + 1] << 8 | data[byte + 2]
+    codes = three >> (24 - (at & 7) - width) & ((1 << width) - 1)
+    stop = np.flatnonzero((codes == CLEAR) | (codes == END))
+    return codes[: stop[0] + 1] if len(stop) else codes
+
+
 def unpack_lzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, the high bit first, that widen one code early."""
-    table = [bytes((i,)) for i in range(256)] + [b"", b""]
+    """Codes of 9 to 12 bits, the high bit first, that widen one code early. Codes are cut out a table's length at once."""
+    wide = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
     out: list[bytes] = []
-    width, buffer, held, last = 9, 0, 0, None
-    for byte in data:
-        buffer = (buffer << 8) | byte
-        held += 8
-        if held < width:
-            continue
-        held -= width
-        code = buffer >> held
-        buffer &= (1 << held) - 1
-        if code == END:
+    at, end = 0, 8 * len(data)
+    while True:
+        found = _codes(wide, at, end)
+        if not len(found):
+            break
+        at += int(_BEGINS[len(found)])
+        codes = found.tolist()
+        last_code = codes.pop() if codes[-1] in (CLEAR, END) else None
+        if codes:
+            table = _SINGLE.copy()
+            last = table[codes[0]]
+            out.append(last)
+            size = FIRST
+            for code in codes[1:]:
+                if code < size:
+                    word = table[code]
+                    table.append(last + word[:1])
+                elif code == size:
+                    word = last + last[:1]
+                    table.append(word)
+                else:
+                    raise ValueError(f"LZW code {code} before its time")
+                size += 1
+                out.append(word)
+                last = word
+        if last_code != CLEAR:
             break
-        if code == CLEAR:
-            del table[FIRST:]
-            width, last = 9, None
-            continue
-        if last is None:
-            word = table[code]
-        else:
-            if code < len(table):
-                word = table[code]
-                table.append(last + word[:1])
-            elif code == len(table):
-                word = last + last[:1]
-                table.append(word)
-            else:
-                raise ValueError(f"LZW code {code} before its time")
-            if len(table) + 1 >= 1 << width and width < 12:
-                width += 1
-        out.append(word)
-        last = word
     return b"".join(out)
 
 
 def pack_lzw(data: bytes) -> bytes:
-    table: dict[bytes, int] = {bytes((i,)): i for i in range(256)}
-    out = bytearray()
-    width, buffer, held, new = 9, 0, 0, FIRST
-
-    def put(code: int) -> None:
-        nonlocal buffer, held
-        buffer = (buffer << width) | code
-        held += width
-        while held >= 8:
-            held -= 8
-            out.append(buffer >> held)
-            buffer &= (1 << held) - 1
-
-    put(CLEAR)
-    word = b""
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in table:
-            word = longer
+    """Strings are known by their code and the next byte; a full table is cleared. Codes become bits all at once."""
+    codes, table, new, word = [CLEAR], {}, FIRST, -1
+    for byte in data:
+        if word < 0:
+            word = byte
             continue
-        put(table[word])
+        longer = word << 8 | byte
+        known = table.get(longer)
+        if known is not None:
+            word = known
+            continue
+        codes.append(word)
         table[longer] = new
         new += 1
         if new >= 4094:
-            put(CLEAR)
-            table = {bytes((i,)): i for i in range(256)}
-            width, new = 9, FIRST
-        elif new >= 1 << width:  # the decoder's table is one entry behind
-            width += 1
-        word = data[i : i + 1]
-    if word:
-        put(table[word])
-        new += 1
-        if new >= 1 << width and width < 12:
-            width += 1
-    put(END)
-    if held:
-        out.append((buffer << (8 - held)) & 255)
-    return bytes(out)
+            codes.append(CLEAR)
+            table, new = {}, FIRST
+        word = byte
+    if word >= 0:
+        codes.append(word)
+    codes.append(END)
+    all_ = np.array(codes)
+    clear = np.maximum.accumulate(np.where(all_ == CLEAR, np.arange(len(all_)), -1))
+    width = _WIDTHS[np.arange(len(all_)) - 1 - np.concatenate([[-1], clear[:-1]])]
+    place = np.arange(12)
+    bits = all_[:, None] >> np.maximum(width[:, None] - 1 - place, 0) & 1
+    return np.packbits(bits[place < width[:, None]].astype(np.uint8)).tobytes()
 
 
 def pack(data: bytes, compression: int) -> bytes:
