@@ -24,9 +24,9 @@ def mark(rows: DataFrame, key: Column, order: list[str], group: list[str] | None
     keyed = rows.withColumns({"__key": key, "__order": F.struct(*order)})
     whole = F.struct(*(F.coalesce(F.col(n).cast("string"), F.lit("\0")) for n in names))  # nulls are equal to each other here
     keyed = keyed.withColumn("__whole", whole)
-    copies = keyed.groupBy("__whole").agg(F.count("*").alias("n"), F.min("__order").alias("__first")).where("n > 1")
+    copies = keyed.groupBy("__whole").agg(F.count("*").alias("__n"), F.min("__order").alias("__first")).where("__n > 1")
     found = joins.spread(keyed, copies, ["__whole"], "__order")
-    return found.withColumns({"n_copies": F.coalesce("n", F.lit(1).cast("long")), "keep": F.col("n").isNull() | (F.col("__order") == F.col("__first"))}).drop("__key", "__order", "__whole", "__first", "n")
+    return found.withColumns({"n_copies": F.coalesce("__n", F.lit(1).cast("long")), "keep": F.col("__n").isNull() | (F.col("__order") == F.col("__first"))}).drop("__key", "__order", "__whole", "__first", "__n")
 
 
 def merge_identical(rows: DataFrame, text: str, source: str, order: str) -> DataFrame:
