@@ -59,7 +59,7 @@ SCHEMA = "part int, block int, start long, n_ids long, width int, doc_ids array<
 def write_ids(docs: DataFrame, path: str, tokenizer: str, vocabulary_size: int, end_id: int, block_ids: int = BLOCK_IDS) -> None:
     """Writes the ids of every text, end_id behind each, in ascending doc_id order (nulls first).
 
-    A null text has the end id only. Rows with equal doc_id follow each other in any order. Other columns are not
+    A null text has the end id only. Rows with equal doc_id follow each other in the order of a hash. Other columns are not
     read. start is the ids of the part before the block. An empty table writes no block.
     """
     width = width_of(vocabulary_size)
@@ -88,7 +88,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, vocabulary_size: int,
         if held:
             yield done()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(common.fanout(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    # rows of one doc_id (or of none) are split by a hash of their texts, so that no id is in one task
+    keyed = docs.select(F.col("doc_id").cast("long"), "text").withColumn("h", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange(common.fanout(docs.sparkSession), "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
     with common.shuffles_deleted(docs.sparkSession):
         ordered.mapInPandas(run, SCHEMA).write.parquet(path)
 

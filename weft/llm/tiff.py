@@ -331,7 +331,7 @@ def media_features(media: DataFrame) -> DataFrame:
 
     Files become rows of pages (page_rows); a fold over these, which follow each other in their task, gives a row for
     each file. feature: pages, mean sample and entropy in bits a sample, of all pages' samples. A file that can't be
-    read whole has none of what is from its pages, and the error as its feature.
+    read whole has none of what is from its pages, and the error as its feature; a null or empty one has no row.
     """
     columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
