@@ -165,3 +165,74 @@ def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("i", "line")).where(F.trim("line") != "")
     by = Window.partitionBy("conv_id").orderBy("turn", "i")
     return lines.select("conv_id", F.row_number().over(by).alias("no"), F.md5("line").alias("line"))
+
+
+@query("block_text", "SELECT event_id, user_id AS doc_id, CASE WHEN length(line) > 80 THEN left(line, 80) || '…' ELSE line END AS line FROM events JOIN (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) ON doc_id = user_id AND i = event_id % 5 + 1")
+def block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("doc_id"), (F.col("event_id") % 5 + 1).alias("line_no"))
+    blocks = cleaning.lines(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return refs.join(blocks, ["doc_id", "line_no"]).select("event_id", "doc_id", T.clipped(F.col("line"), 80).alias("line"))
+
+
+@query("active_list", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority LIKE '1%' ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 25")
+def active_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "orders").where("o_orderstatus = 'O' and o_orderpriority like '1%'")
+    return rows.orderBy(F.col("o_orderdate").desc_nulls_last(), "o_orderkey").limit(25).select("o_orderkey")  # a top-k report
+
+
+@query("entity_cards", "SELECT conv_id, turn, name, CASE WHEN length(text) > 150 THEN left(text, 150) || '…' ELSE text END AS card FROM conversations JOIN (SELECT DISTINCT regexp_extract(trim(text), '^[^ ]+', 0) AS name FROM benchmark) ON contains(text, name) WHERE length(name) > 3")
+def entity_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = read(spark, sf_dir, "benchmark").select(F.regexp_extract(F.trim("text"), "^[^ ]+", 0).alias("name")).where(F.length("name") > 3).distinct()
+    found = joins.contained(read(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), names, "text", "name")
+    return found.select("conv_id", "turn", "name", T.clipped(F.col("text"), 150).alias("card"))
+
+
+@query("living_members", """SELECT o, coalesce(list(s ORDER BY n, s) FILTER (WHERE b >= 0), []) AS members, coalesce(list(s ORDER BY n, s) FILTER (WHERE b >= 0 AND b < 2000), []) AS notes FROM (SELECT l_orderkey AS o, l_suppkey AS s, min(l_linenumber) AS n FROM lineitem WHERE l_suppkey > 3 GROUP BY 1, 2) JOIN (SELECT s_suppkey, s_acctbal AS b FROM supplier) ON s_suppkey = s GROUP BY 1""")
+def living_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem").where("l_suppkey > 3").groupBy(F.col("l_orderkey").alias("o"), "l_suppkey").agg(F.min("l_linenumber").alias("n"))
+    lists = lines.groupBy("o").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "l_suppkey"))), lambda x: x["l_suppkey"]).alias("members"))
+    state = F.when(F.col("s_acctbal") < 0, "dead").when(F.col("s_acctbal") < 2000, "dormant").otherwise("alive")
+    states = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("member"), state.alias("state"))
+    return joins.living(lists, "members", states, ["dead"], ["dormant"], "o")
+
+
+@query("unmistakable_names", "WITH n AS (SELECT DISTINCT p_type AS name FROM part UNION SELECT DISTINCT p_brand FROM part UNION SELECT DISTINCT p_name FROM part UNION SELECT n_name FROM nation) SELECT name FROM n WHERE NOT EXISTS (SELECT 1 FROM n m WHERE m.name <> n.name AND (contains(m.name, n.name) OR contains(n.name, m.name)))")
+def unmistakable_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read(spark, sf_dir, "part")
+    names = part.select(F.col("p_type").alias("name")).union(part.select("p_brand")).union(part.select("p_name")).union(read(spark, sf_dir, "nation").select("n_name"))
+    return joins.unmistakable(names)
+
+
+@query("guessed_keys", "SELECT p_partkey, CASE WHEN contains(p_name, 'ring') OR contains(p_name, 'cold') THEN 'first' WHEN contains(p_name, 'widget') THEN 'second' END AS guess, trim(replace(replace(p_name, 'widget', ''), 'cold', '')) = '' AS only FROM part")
+def guessed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("p_name")
+    return read(spark, sf_dir, "part").select("p_partkey", T.guessed(name, {"first": ["ring", "cold"], "second": ["widget"]}).alias("guess"), T.made_of(name, ["cold", "widget"]).alias("only"))
+
+
+@query("cleaned_lists", "SELECT doc_id, list_filter(w, lambda x: x IN ('und', 'the', 'que', 'der', 'of'))[1:3] AS words FROM (SELECT doc_id, list_transform(list_sort(list_distinct(list_transform(list_filter(list_transform(generate_series(1, len(p)), lambda i: [p[i], printf('%09d', i)]), lambda x: trim(x[1]) <> '' AND list_position(p, x[1]) = x[2]::BIGINT), lambda x: [x[2], x[1]]))), lambda x: x[2]) AS w FROM (SELECT doc_id, string_split(text, ' ') AS p FROM documents WHERE length(text) < 3000))")
+def cleaned_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").where(F.length("text") < 3000)
+    return docs.select("doc_id", T.cleaned_list(F.split("text", " "), 3, ["und", "the", "que", "der", "of"]).alias("words"))
+
+
+_SIZED = "(SELECT p_partkey, p_brand, p_type, p_size, p_retailprice, row_number() OVER (PARTITION BY p_size ORDER BY p_retailprice, p_partkey) AS position FROM part)"
+
+
+@query("guarded_rerank", f"SELECT p_partkey, tier::INT AS tier, row_number() OVER (PARTITION BY p_size ORDER BY tier, position) AS new_rank FROM (SELECT *, CASE WHEN first = 'STANDARD' AND p_type = 'STANDARD' AND p_brand LIKE 'Brand#1%' THEN 0 WHEN first = 'STANDARD' AND p_type = 'STANDARD' THEN 1 ELSE 2 END AS tier FROM (SELECT *, first_value(p_type) OVER (PARTITION BY p_size ORDER BY position) AS first FROM {_SIZED}))")
+def guarded_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = retrieval.ranked(read(spark, sf_dir, "part"), ["p_size"], [F.col("p_retailprice"), F.col("p_partkey")], "position")
+    exact = (F.col("p_type") == "STANDARD") & F.col("p_brand").like("Brand#1%")
+    return retrieval.guarded_tiers(part, ["p_size"], "position", "p_type", F.lit("STANDARD"), exact).select("p_partkey", "tier", "new_rank")
+
+
+@query("near_ties", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY tied DESC, CASE WHEN tied THEN n END NULLS FIRST, CASE WHEN tied THEN o_orderkey END NULLS FIRST, o_totalprice DESC, n, o_orderkey) AS rank FROM (SELECT o_orderkey, o_custkey, o_totalprice, -length(o_orderpriority) AS n, o_totalprice >= max(o_totalprice) OVER (PARTITION BY o_custkey) - 50000 AS tied FROM orders)")
+def near_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders").withColumn("n", -F.length("o_orderpriority"))
+    return retrieval.near_ties(orders, ["o_custkey"], "o_totalprice", 50_000, [F.col("n"), F.col("o_orderkey")]).select("o_orderkey", "rank")
+
+
+@query("rendered_beats", "SELECT o_custkey, string_agg(o_orderstatus || CASE WHEN n > 1 THEN '×' || n ELSE '' END, ' → ' ORDER BY o_orderstatus) AS beats FROM (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1")
+def rendered_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = read(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("n"))
+    part = F.concat("o_orderstatus", F.when(F.col("n") > 1, F.concat(F.lit("×"), "n")).otherwise(""))
+    return counts.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list(part)), " → ").alias("beats"))

@@ -177,3 +177,26 @@ def behind_stars(line: Column, least: int = 4) -> Column:
 
 def first_number(text: Column) -> Column:
     return F.regexp_extract(text, r"(\d{1,6})", 1).try_cast("int")
+
+
+def guessed(text: Column, words: dict[str, list[str]]) -> Column:
+    """The first key that has one of its words in the text; null for none."""
+    out = F.lit(None).cast("string")
+    for key, own in reversed(words.items()):
+        out = F.when(F.exists(F.array(*map(F.lit, own)), lambda w: F.contains(text, w)), key).otherwise(out)
+    return out
+
+
+def cleaned_list(values: Column, most: int, allowed: list[str] | None = None) -> Column:
+    """Trimmed values without blanks and repeats, of the allowed ones if any are named, `most` at most."""
+    found = F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
+    if allowed is not None:
+        found = F.filter(found, lambda x: x.isin(*allowed))
+    return F.slice(found, 1, most)
+
+
+def made_of(text: Column, words: list[str]) -> Column:
+    """Whether nothing is left of a text without the words, the longest first."""
+    for w in sorted(words, key=lambda w: (-len(w), w)):
+        text = F.replace(text, F.lit(w), F.lit(""))
+    return F.trim(text) == ""

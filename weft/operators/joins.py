@@ -143,3 +143,23 @@ def alias_decisions(aliases: DataFrame, roster: DataFrame) -> DataFrame:
     known = roster.select(F.col("name").alias("alias"), F.lit(True).alias("known")).distinct()
     decision = F.when(F.col("n") > 1, "conflict").when(F.col("known"), "propose").otherwise("merge")
     return by.join(known, "alias", "left").select("alias", "owner", decision.alias("decision"))
+
+
+def living(lists: DataFrame, members: str, states: DataFrame, dead: list[str], noted: list[str], key: str) -> DataFrame:
+    """key, members without those whose state (states: member, state) is a dead one, and notes: those with a noted state.
+
+    Members without a state stay. Order is kept; a null list is an empty one; a key has one row.
+    """
+    each = lists.select(key, F.posexplode(members).alias("at", "member")).join(states.select("member", "state"), "member", "left")
+    kept = each.where(~F.coalesce(F.col("state").isin(*dead), F.lit(False)))
+    ordered = lambda test: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("at", "member")))), lambda x: x["member"])
+    by = kept.groupBy(key).agg(ordered(F.lit(True)).alias("kept"), ordered(F.col("state").isin(*noted)).alias("notes"))
+    empty = F.array().cast(dict(lists.dtypes)[members])
+    return lists.select(key).join(by, key, "left").select(key, F.coalesce("kept", empty).alias(members), F.coalesce("notes", empty).alias("notes"))
+
+
+def unmistakable(names: DataFrame) -> DataFrame:
+    """name: those of names that no other one contains, and that contain no other one. Repeated names are one."""
+    own = names.select("name").where("name is not null").distinct()
+    met = contained(own.withColumnRenamed("name", "text"), own.withColumnRenamed("name", "phrase")).where("text <> phrase")
+    return own.join(met.select(F.explode(F.array("text", "phrase")).alias("name")).distinct(), "name", "left_anti")

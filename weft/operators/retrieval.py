@@ -125,3 +125,20 @@ def assigned(scores: DataFrame, key: str, slot: str, candidate: str, score: str)
 
     rows = scores.select(key, slot, candidate, score).where(F.col(score).isNotNull())
     return rows.groupBy(key).applyInPandas(step, rows.schema)
+
+
+def guarded_tiers(rows: DataFrame, keys: list[str], position: str, kind: str, wanted: Column, exact: Column) -> DataFrame:
+    """tiers() for keys whose first row by position is of the wanted kind; the others keep their order, in tier 2."""
+    first = rows.groupBy(*keys).agg(F.min_by(kind, position).alias("__kind"))
+    both = rows.join(first, keys).withColumn("__same", F.coalesce(F.col("__kind") == wanted, F.lit(False)))
+    found = tiers(both, keys, position, F.col("__same") & exact, F.col("__same") & (F.col(kind) == wanted))
+    return found.drop("__kind", "__same")
+
+
+def near_ties(rows: DataFrame, keys: list[str], score: str, gap: float, breakers: list[Column]) -> DataFrame:
+    """Adds rank: rows whose score is at most `gap` below the best of their keys by the breakers (the
+    smallest first), then the rest by score and these."""
+    top = rows.groupBy(*keys).agg(F.max(score).alias("__top"))
+    both = rows.join(top, keys).withColumn("__tied", F.col(score) >= F.col("__top") - gap)
+    tied = [F.when(F.col("__tied"), b) for b in breakers]
+    return ranked(both, keys, [F.col("__tied").desc(), *tied, F.col(score).desc(), *breakers]).drop("__top", "__tied")
