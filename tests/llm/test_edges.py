@@ -181,3 +181,10 @@ def test_learned_trees_lose_no_pair(spark, monkeypatch, leaf, sample):
         assert sorted(row[visit == 0]) == list(range(len(a))) and len(row) <= 14 * len(a)
         assert not len(tree.vantage) or all(int(v) in values or v == 0 for v in tree.vantage)
         assert np.bincount(np.unique(where[visit == 0], return_inverse=True)[1]).max() < len(a) / 4
+
+
+def test_counts_of_many_tasks(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 17}" for j in range(30))) for i in range(40)], "uid long, text string")
+    once = simhash.rareness(docs.repartition(1), 5)
+    monkeypatch.setattr(simhash, "MOST_TASKS", 3)
+    assert simhash.rareness(docs.repartition(10), 5) == once and len(once) == simhash.BUCKETS and any(once)

@@ -91,7 +91,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, vocabulary_size: int,
     # rows of one doc_id (or of none) are split by a hash of their texts, so that no id is in one task
     keyed = docs.select(F.col("doc_id").cast("long"), "text").withColumn("h", F.xxhash64("text"))
     ordered = keyed.repartitionByRange(common.fanout(docs.sparkSession), "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
-    with common.shuffles_deleted(docs.sparkSession):
+    with common.writing(docs.sparkSession):
         ordered.mapInPandas(run, SCHEMA).write.parquet(path)
 
 

@@ -31,25 +31,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Spark then deletes a query's shuffle files when the query ends, not when the driver next collects its garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of queries that write tables: shuffle files are deleted when the query ends, not when the driver next collects
+#: its garbage; batches for Python hold 16 MB at most, so that long texts don't come by the ten thousand.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
 @contextlib.contextmanager
-def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
-    """Queries that run within leave no shuffle files behind."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def writing(spark: SparkSession) -> Iterator[None]:
+    """Runs what is within under WRITING, and then restores the session's settings."""
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and rereads it: cuts lineage, survives lost executors, runs df once."""
     path = fresh_path(df.sparkSession, name)
-    with shuffles_deleted(df.sparkSession):
+    with writing(df.sparkSession):
         df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.stored_at = path

@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -265,22 +266,38 @@ def _shingles(parts: list[bytes], words: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh32_intdigest, spans), np.uint32))
 
 
+#: Tasks whose counts are summed in one step; those of more tasks in two.
+MOST_TASKS = 512
+
+
 def rareness(docs: DataFrame, words: int) -> bytes:
-    """A byte for each bucket of shingle hashes: eight times the binary logarithm of the shingles in it, over all rows."""
+    """A byte for each bucket of shingle hashes: eight times the binary logarithm of the shingles in it, over all rows.
+
+    Each task gives its counts in blocks of buckets, which are summed block by block.
+    """
+    lanes = math.isqrt(tasks) if (tasks := docs.rdd.getNumPartitions()) > MOST_TASKS else 1
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros(BUCKETS, np.int64)
         for frame in common.sliced(frames, 2000):
             if len(frame):
                 n += np.bincount(np.concatenate([shingles(text, words) for text in frame.text]) & np.uint32(BUCKETS - 1), minlength=BUCKETS)
-        yield pd.DataFrame({"block": range(BUCKETS // ROW), "counts": [x.astype("<u4").tobytes() for x in n.reshape(-1, ROW)]})
+        yield pd.DataFrame({"block": range(BUCKETS // ROW), "lane": TaskContext.get().partitionId() % lanes, "counts": [x.astype("<u4").tobytes() for x in n.reshape(-1, ROW)]})
+
+    def total(counts: pd.Series) -> np.ndarray:
+        return sum(np.frombuffer(x, "<u4" if len(x) == 4 * ROW else "<i8").astype(np.int64) for x in counts)
+
+    def lane(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame[:1].assign(counts=[total(frame.counts).astype("<i8").tobytes()])
 
     def levels(frame: pd.DataFrame) -> pd.DataFrame:
-        n = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in frame.counts)
-        return pd.DataFrame({"block": frame.block[:1], "levels": [(8 * np.log2(np.maximum(n, 1))).astype(np.uint8).tobytes()]})
+        return pd.DataFrame({"block": frame.block[:1], "levels": [(8 * np.log2(np.maximum(total(frame.counts), 1))).astype(np.uint8).tobytes()]})
 
-    with common.shuffles_deleted(docs.sparkSession):
-        found = docs.select("text").mapInPandas(count, "block int, counts binary").groupBy("block").applyInPandas(levels, "block int, levels binary").collect()
+    with common.writing(docs.sparkSession):
+        held = docs.select("text").mapInPandas(count, "block int, lane int, counts binary")
+        if lanes > 1:
+            held = held.groupBy("block", "lane").applyInPandas(lane, held.schema)
+        found = held.groupBy("block").applyInPandas(levels, "block int, levels binary").collect()
     of = {r.block: bytes(r.levels) for r in found}
     return b"".join(of.get(i, bytes(ROW)) for i in range(BUCKETS // ROW))
 

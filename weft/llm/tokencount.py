@@ -57,7 +57,8 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_id
             yield pd.DataFrame(list(rows(True)), columns=columns)
 
     made = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "file int, block long, ids binary, ordinal long, doc_ids array<long>")
-    made.write.parquet(path)
+    with common.writing(docs.sparkSession):
+        made.write.parquet(path)
 
 
 #: Bytes up to which a plain file is read by one task.

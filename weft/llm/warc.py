@@ -62,14 +62,14 @@ def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", html.alias("payload")).withColumn("payload_digest", F.sha2("payload", 256))
     heads = common.stored(rows.select("page_id", "url", "payload_digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.monotonically_increasing_id().alias("uid")), "warc-heads")
-    with common.shuffles_deleted(pages.sparkSession):
+    with common.writing(pages.sparkSession):
         rows.groupBy("payload_digest").agg(F.first("payload").alias("payload"), F.count("*").alias("copies")).write.parquet(f"{path}/payloads")
     order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id"), F.col("uid"))
     elected = heads.groupBy("payload_digest").agg(F.min(order).alias("held"), F.count("*").alias("copies")).where("copies > 1")
     found = common.salted_join(heads, elected.select("payload_digest", F.col("held.page_id").alias("held_by"), F.col("held.uid").alias("held_uid"), "copies"), "payload_digest", "uid")
     revisit = F.col("held_uid").isNotNull() & (F.col("held_uid") != F.col("uid")) & (F.col("payload_bytes") >= least_shared)
     typed = found.select("page_id", "url", "uid", "payload_digest", "payload_bytes", F.coalesce("copies", F.lit(1).cast("long")).alias("copies"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("held_by")).alias("refers_to"), F.when(revisit, F.col("held_uid")).alias("refers_uid"))
-    with common.shuffles_deleted(pages.sparkSession):
+    with common.writing(pages.sparkSession):
         typed.select("page_id", "payload_digest", "copies", _header(date).alias("header")).write.parquet(f"{path}/headers")
     common.discard(heads)
 
