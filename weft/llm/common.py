@@ -9,6 +9,7 @@ import uuid
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -125,15 +126,17 @@ def few_or_joined(rows: DataFrame, keys: DataFrame, on: str, how: str) -> DataFr
 #: An ASCII letter before ASCII punctuation other than the apostrophe: always a border between two pre-tokens.
 _BORDER = re.compile(r"([A-Za-z])([!-&(-/:-@\[-`{-~])")
 #: Words whose ids one Python worker keeps, and characters of the longest of them.
-CACHED_WORDS, CACHED_CHARS = 300_000, 64
+CACHED_WORDS, CACHED_CHARS = 600_000, 64
+#: New words that are encoded as one text.
+JOINED_WORDS = 200
 
 
 class WordEncoder:
     """Whole-text ids of the `word_bpe` vocabulary, the same as `Tokenizer.encode(text, add_special_tokens=False)`.
 
     That tokenizer drops white space and never joins pre-tokens, so the ids of a text are the ids of its
-    blank-separated words in turn. Each distinct word of a batch is encoded once by the tokenizers library and
-    kept as little-endian unsigned 32-bit bytes; a text is then one bytes.join. Texts with "<|" may hold a special
+    blank-separated words in turn. Each distinct word of a batch is encoded once by the tokenizers library, many of them
+    as one text, and kept as little-endian unsigned 32-bit bytes; a text is then one bytes.join. Texts with "<|" may hold a special
     token's name, which can span a border, and are cut at blanks and line ends only.
     """
 
@@ -151,16 +154,32 @@ class WordEncoder:
         known = self.kept
         new = [w for w in set().union(*split) if w not in known]
         if new:
-            ids = [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
             if len(known) + len(new) > CACHED_WORDS:
                 known = dict(known)  # full: these words serve this batch only
-            known.update(zip(new, ids, strict=True))
+            plain = [w for w in new if w.isprintable() and "<" not in w]
+            known.update(zip(plain, self._together(plain), strict=True))
+            odd = [w for w in new if w not in known]
+            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True))
         out = [b"".join(map(known.__getitem__, words)) for words in split]
         for w in new:
             if len(w) > CACHED_CHARS:
                 del known[w]
         return out
 
+    def _together(self, words: list[str]) -> list[bytes]:
+        """The ids of words without blanks: of many in one text, cut where each word begins."""
+        parts = [words[at : at + JOINED_WORDS] for at in range(0, len(words), JOINED_WORDS)]
+        out: list[bytes] = []
+        for part, e in zip(parts, self.tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            data = array("I", e.ids).tobytes()
+            begins = np.fromiter((begin for begin, _ in e.offsets), np.int64, len(data) // 4)
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            at = 0
+            for cut in (4 * np.searchsorted(begins, ends)).tolist():
+                out.append(data[at:cut])
+                at = cut
+        return out
+
     @staticmethod
     def _cut(text: str) -> list[str]:
         return (text if "<|" in text else _BORDER.sub(r"\1 \2", text)).replace("\n", " ").split(" ")
