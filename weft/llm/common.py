@@ -196,6 +196,11 @@ def encoder(path: str, special_as_text: bool = False) -> WordEncoder:
     return _encoders[key]
 
 
+def forget_words() -> None:
+    """Drops this worker's tokenizers and their words: Spark uses workers again, and other work needs the memory."""
+    _encoders.clear()
+
+
 def sliced(frames: Iterator, rows: int = 2000) -> Iterator:
     """Batches of at most `rows` rows."""
     for frame in frames:

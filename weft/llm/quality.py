@@ -81,6 +81,7 @@ def with_statistics(docs: DataFrame, name: str) -> DataFrame:
 
     @F.pandas_udf(fields)
     def measure(texts: pd.Series) -> pd.DataFrame:
+        common.forget_words()
         return measured(texts)
 
     return docs.withColumn(name, measure("text"))

@@ -278,6 +278,7 @@ def rareness(docs: DataFrame, words: int) -> bytes:
     lanes = math.isqrt(tasks) if (tasks := docs.rdd.getNumPartitions()) > MOST_TASKS else 1
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.forget_words()
         n = np.zeros(BUCKETS, np.int64)
         for frame in common.sliced(frames, 2000):
             if len(frame):
@@ -331,6 +332,7 @@ def features(docs: DataFrame, words: int, similarity: float) -> DataFrame:
         return xxhash.xxh3_128_digest(b" ".join(parts)), fingerprint, n, int(m0), int(m1), float(level.mean()), first.astype(np.uint32).view(np.int32)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.forget_words()
         names = ["digest", "fingerprint", "n", "m0", "m1", "central", "prefix"]
         for frame in common.sliced(frames, 500):
             found = pd.DataFrame([one(text) for text in frame.text], columns=names)
