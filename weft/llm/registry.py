@@ -1,8 +1,8 @@
-"""The queries opN_<name> of this subpackage by name; none can be written in SQL alone."""
+"""The queries opN_<name> of this subpackage by name, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from weft.llm import bitpack, html, mixing, packing, quality, sharding, simhash, tiff, tokencount, warc
+from weft.llm import audit, bitpack, html, mixing, online, packing, quality, sharding, simhash, tiff, tokencount, warc, whitening
 
 QUERIES = {f.__name__: f for f in (
     packing.op1_best_fit_packing,
@@ -15,5 +15,8 @@ QUERIES = {f.__name__: f for f in (
     simhash.op8_simhash_near_duplicates,
     bitpack.op9_bit_packed_ids,
     html.op10_site_template_removal,
+    audit.op11_filter_interactions,
+    whitening.op12_svd_whitening,
+    online.op13_bounded_space_packing,
 )}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op11_filter_interactions": audit.OP11_SQL}
