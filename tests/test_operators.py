@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from weft.operators import aggregates, budget, cleaning, dedup, graph, intervals, joins, retrieval, sequences, upsert, windows
+from weft.operators import aggregates, budget, cleaning, dedup, dictionary, graph, intervals, joins, retrieval, sequences, upsert, windows
 
 
 def rows(df, *order):
@@ -47,7 +47,7 @@ def test_lookup_order_and_contained(spark):
     assert rows(joins.lookup(ask, "id", [a, b], ["v"])) == [(1, "one", 0), (2, "dos", 1)]
     texts = spark.createDataFrame([(1, "xx the quick brown fox jumps"), (2, "the quick brown"), (3, None)], "id int, text string")
     phrases = spark.createDataFrame([(7, "he quick brown fox j"), (8, "too short")], "pid int, phrase string")
-    assert rows(joins.contained(texts, phrases).select("id", "pid")) == [(1, 7)]
+    assert rows(dictionary.contained(texts, phrases).select("id", "pid")) == [(1, 7)]
 
 
 def test_contained_phrases_of_any_length(spark):
@@ -57,7 +57,8 @@ def test_contained_phrases_of_any_length(spark):
     left = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     right = spark.createDataFrame(list(enumerate(phrases)), "pid int, phrase string")
     want = sorted((i, j) for i, t in enumerate(texts) for j, p in enumerate(phrases) if t is not None and p is not None and p in t)
-    assert rows(joins.contained(left, right).select("id", "pid"), "id", "pid") == want and len(want) > 100
+    for way in (dictionary.contained, dictionary.anchored):
+        assert rows(way(left, right).select("id", "pid"), "id", "pid") == want and len(want) > 100
 
 
 def test_marks_and_neighbours(spark):

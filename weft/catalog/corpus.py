@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.catalog.tables import read
 from weft.functions import text as T
-from weft.operators import cleaning, dedup, intervals, joins, sequences, style, windows
+from weft.operators import cleaning, dedup, dictionary, intervals, joins, sequences, style, windows
 from weft.registry import query
 
 
@@ -60,7 +60,7 @@ def bigram_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("leak_scan", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "benchmark").withColumnRenamed("text", "phrase")
-    return joins.contained(_documents(spark, sf_dir).select("doc_id", "text"), items).select("doc_id", "item_id")
+    return dictionary.contained(_documents(spark, sf_dir).select("doc_id", "text"), items).select("doc_id", "item_id")
 
 
 _CLASS = r"""CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '(?i)^\s*(licen[sc]ed under|copyright|all rights reserved|\(c\)).*$') THEN 'licence' WHEN regexp_matches(line, '(?i)^\s*(https?://|www\.)\S+\s*$') THEN 'link' WHEN regexp_matches(line, '^[^\p{L}\p{N}]*$') THEN 'junk' ELSE 'body' END"""
@@ -144,6 +144,7 @@ def window_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("arcs_from_cuts", "SELECT source, doc_id AS lo, coalesce(lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) - 1, last) AS hi FROM (SELECT source, doc_id, max(doc_id) OVER (PARTITION BY source) AS last, text FROM documents) WHERE length(text) > 3000")
 def arcs_from_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source's documents as its chapters: one of over 3,000 characters begins an arc, the others follow in it."""
     rows = _documents(spark, sf_dir).select("source", "doc_id", F.length("text").alias("n"))
     last = rows.groupBy("source").agg(F.max("doc_id").alias("last"))
     return intervals.from_cuts(rows.where("n > 3000").join(last, "source"), "source", "doc_id", "last")

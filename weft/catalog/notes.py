@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.catalog.tables import read
 from weft.functions import text as T
-from weft.operators import cleaning, graph, joins, retrieval, upsert
+from weft.operators import cleaning, dictionary, graph, joins, retrieval, upsert
 from weft.registry import query
 
 _TURNS = r"(SELECT conv_id, turn, coalesce(text, '') || chr(10) || '[[load: ' || conv_id || ', ,' || turn || ' ]]' || chr(10) || 'end' AS t FROM conversations)"
@@ -122,10 +122,11 @@ def settings_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.allowed(part, changes, ["p_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber"], part.where("p_partkey % 4 = 0"))
 
 
-@query("member_edges", """WITH old AS (SELECT DISTINCT 'o' || l_orderkey AS a, 's' || l_suppkey AS b, CASE WHEN l_linenumber = 1 THEN 'leads' ELSE 'has' END AS kind FROM lineitem WHERE l_orderkey % 5 = 0)
+@query("member_edges", """WITH old AS (SELECT DISTINCT 'o' || l_orderkey AS a, 's' || l_suppkey AS b, CASE WHEN l_linenumber = 1 THEN 'leads' ELSE 'has' END AS kind FROM lineitem)
 SELECT a, b, kind FROM old WHERE NOT (kind = 'has' AND a IN (SELECT 'o' || l_orderkey FROM lineitem WHERE l_orderkey % 10 = 0)) UNION ALL SELECT DISTINCT 'o' || l_orderkey, 's' || (l_suppkey + 1), 'has' FROM lineitem WHERE l_orderkey % 10 = 0""")
 def member_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").withColumn("a", F.concat(F.lit("o"), "l_orderkey"))
+    """All orders' edges to suppliers, of which every tenth order has its members made anew."""
+    lines = read(spark, sf_dir, "lineitem").withColumn("a", F.concat(F.lit("o"), "l_orderkey"))
     old = lines.select("a", F.concat(F.lit("s"), "l_suppkey").alias("b"), F.when(F.col("l_linenumber") == 1, "leads").otherwise("has").alias("kind")).distinct()
     groups = lines.where("l_orderkey % 10 = 0").groupBy(F.col("a").alias("node")).agg(F.collect_list(F.concat(F.lit("s"), F.col("l_suppkey") + 1)).alias("members"))
     return graph.rebuilt(old, groups, "has")
@@ -147,6 +148,7 @@ def voice_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stage_context", "SELECT user_id, string_agg(stage || ':' || n, ' > ' ORDER BY stage) AS stages FROM (SELECT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 5 AS stage, count(*) AS n FROM events GROUP BY 1, 2) WHERE stage < 4 GROUP BY 1")
 def stage_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was before the stage that is being written, the fifth: earlier stages only, as the layer has them."""
     day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
     stages = read(spark, sf_dir, "events").groupBy("user_id", F.floor(day / 5).alias("stage")).agg(F.count("*").alias("n")).where("stage < 4")
     parts = F.array_sort(F.collect_list(F.struct("stage", F.concat_ws(":", "stage", "n").alias("part"))))
@@ -183,13 +185,13 @@ def active_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("entity_cards", "SELECT conv_id, turn, name, CASE WHEN length(text) > 150 THEN left(text, 150) || '…' ELSE text END AS card FROM conversations JOIN (SELECT DISTINCT regexp_extract(trim(text), '^[^ ]+', 0) AS name FROM benchmark) ON contains(text, name) WHERE length(name) > 3")
 def entity_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = read(spark, sf_dir, "benchmark").select(F.regexp_extract(F.trim("text"), "^[^ ]+", 0).alias("name")).where(F.length("name") > 3).distinct()
-    found = joins.contained(read(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), names, "text", "name")
+    found = dictionary.contained(read(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), names, "text", "name")
     return found.select("conv_id", "turn", "name", T.clipped(F.col("text"), 150).alias("card"))
 
 
-@query("living_members", """SELECT o, coalesce(list(s ORDER BY n, s) FILTER (WHERE b >= 0), []) AS members, coalesce(list(s ORDER BY n, s) FILTER (WHERE b >= 0 AND b < 2000), []) AS notes FROM (SELECT l_orderkey AS o, l_suppkey AS s, min(l_linenumber) AS n FROM lineitem WHERE l_suppkey > 3 GROUP BY 1, 2) JOIN (SELECT s_suppkey, s_acctbal AS b FROM supplier) ON s_suppkey = s GROUP BY 1""")
+@query("living_members", """SELECT o, coalesce(list(s ORDER BY n, s) FILTER (WHERE b >= 0), []) AS members, coalesce(list(s ORDER BY n, s) FILTER (WHERE b >= 0 AND b < 2000), []) AS notes FROM (SELECT l_orderkey AS o, l_suppkey AS s, min(l_linenumber) AS n FROM lineitem GROUP BY 1, 2) JOIN (SELECT s_suppkey, s_acctbal AS b FROM supplier) ON s_suppkey = s GROUP BY 1""")
 def living_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem").where("l_suppkey > 3").groupBy(F.col("l_orderkey").alias("o"), "l_suppkey").agg(F.min("l_linenumber").alias("n"))
+    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o"), "l_suppkey").agg(F.min("l_linenumber").alias("n"))
     lists = lines.groupBy("o").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "l_suppkey"))), lambda x: x["l_suppkey"]).alias("members"))
     state = F.when(F.col("s_acctbal") < 0, "dead").when(F.col("s_acctbal") < 2000, "dormant").otherwise("alive")
     states = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("member"), state.alias("state"))
@@ -209,10 +211,10 @@ def guessed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", T.guessed(name, {"first": ["ring", "cold"], "second": ["widget"]}).alias("guess"), T.made_of(name, ["cold", "widget"]).alias("only"))
 
 
-@query("cleaned_lists", "SELECT doc_id, list_filter(w, lambda x: x IN ('und', 'the', 'que', 'der', 'of'))[1:3] AS words FROM (SELECT doc_id, list_transform(list_sort(list_distinct(list_transform(list_filter(list_transform(generate_series(1, len(p)), lambda i: [p[i], printf('%09d', i)]), lambda x: trim(x[1]) <> '' AND list_position(p, x[1]) = x[2]::BIGINT), lambda x: [x[2], x[1]]))), lambda x: x[2]) AS w FROM (SELECT doc_id, string_split(text, ' ') AS p FROM documents WHERE length(text) < 3000))")
+@query("cleaned_lists", """SELECT d.doc_id, CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(list(w ORDER BY i) FILTER (WHERE w IS NOT NULL), [])[1:3] END AS words FROM documents d LEFT JOIN (SELECT doc_id, w, min(i) AS i
+FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents) WHERE w IN ('und', 'the', 'que', 'der', 'of') GROUP BY 1, 2) USING (doc_id) GROUP BY 1""")
 def cleaned_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").where(F.length("text") < 3000)
-    return docs.select("doc_id", T.cleaned_list(F.split("text", " "), 3, ["und", "the", "que", "der", "of"]).alias("words"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.cleaned_list(F.split("text", " "), 3, ["und", "the", "que", "der", "of"]).alias("words"))
 
 
 _SIZED = "(SELECT p_partkey, p_brand, p_type, p_size, p_retailprice, row_number() OVER (PARTITION BY p_size ORDER BY p_retailprice, p_partkey) AS position FROM part)"

@@ -86,18 +86,20 @@ def next_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("chunk_sync", """WITH chunks AS (SELECT doc_id, i, md5(line) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE doc_id % 4 < 3))
 SELECT doc_id, i::INT AS i, line FROM chunks WHERE doc_id % 7 > 0 AND doc_id % 5 > 0 UNION ALL SELECT doc_id, 0, md5(text) FROM documents WHERE doc_id % 5 = 0 AND doc_id % 7 > 0""")
 def chunk_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of chunks brought up to date: three of four documents are in it, every fifth document is new or changed, and
+    every seventh is gone. The table has one state only, so ids stand for these three groups."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     chunks = docs.where("doc_id % 4 < 3").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("line", F.md5("line"))
     new = docs.where("doc_id % 5 = 0").select("doc_id", F.lit(0).alias("i"), F.md5("text").alias("line"))
     return upsert.replaced(chunks, new, docs.where("doc_id % 7 > 0"), "doc_id")
 
 
-@query("name_resolution", """WITH known AS (SELECT 'nation' AS kind, n_name AS name, n_nationkey::BIGINT AS id FROM nation UNION ALL SELECT 'supplier', s_name, s_suppkey FROM supplier UNION ALL SELECT 'customer', c_name, c_custkey FROM customer WHERE c_custkey < 100),
+@query("name_resolution", """WITH known AS (SELECT 'nation' AS kind, n_name AS name, n_nationkey::BIGINT AS id FROM nation UNION ALL SELECT 'supplier', s_name, s_suppkey FROM supplier UNION ALL SELECT 'customer', c_name, c_custkey FROM customer),
 asked AS (SELECT DISTINCT name FROM (SELECT n_name AS name FROM nation UNION ALL SELECT 'The ' || n_name FROM nation UNION ALL SELECT 'X' || s_suppkey FROM supplier))
 SELECT name, kind, id, TRUE AS exact FROM asked JOIN known USING (name) UNION ALL SELECT a.name, k.kind, k.id, FALSE FROM asked a JOIN known k ON right(a.name, 3) = right(k.name, 3) WHERE length(a.name) >= 5 AND length(k.name) >= 5 AND a.name NOT IN (SELECT name FROM known)""")
 def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = lambda name, prefix, key: read(spark, sf_dir, name).select(F.col(f"{prefix}_name").alias("name"), F.col(key).cast("long").alias("id"))
-    tables = {"nation": table("nation", "n", "n_nationkey"), "supplier": table("supplier", "s", "s_suppkey"), "customer": table("customer", "c", "c_custkey").where("id < 100")}
+    tables = {"nation": table("nation", "n", "n_nationkey"), "supplier": table("supplier", "s", "s_suppkey"), "customer": table("customer", "c", "c_custkey")}
     nations = tables["nation"].select("name")
     asked = nations.union(nations.select(F.concat(F.lit("The "), "name"))).union(tables["supplier"].select(F.concat(F.lit("X"), "id")))
     return joins.resolved(asked, tables)
@@ -139,19 +141,25 @@ _SCORES = f"(SELECT slot, vec_id, label = slot AS positive, round(list_cosine_si
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector against the first one of every label, a stated set of queries."""
     rows = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
-    anchors = rows.groupBy(F.col("label").alias("slot")).agg(F.min_by("vector", "vec_id").alias("vector"), F.min("vec_id").alias("anchor_id"))
-    found = retrieval.nearest(anchors.withColumnRenamed("slot", "query_id"), rows.withColumnRenamed("vec_id", "row_id"), 1_000_000)
-    scored = found.select(F.col("query_id").alias("slot"), F.col("row_id").alias("vec_id"), "score")
-    return scored.join(rows.select("vec_id", "label"), "vec_id").join(anchors.select("slot", "anchor_id"), "slot").where("vec_id <> anchor_id").select("slot", "vec_id", (F.col("label") == F.col("slot")).alias("positive"), "score")
+    anchors = rows.groupBy(F.col("label").alias("query_id")).agg(F.min_by("vector", "vec_id").alias("vector"), F.min("vec_id").alias("anchor"))
+    found = retrieval.scored(anchors, rows, ["vec_id", "label"]).join(anchors.select("query_id", "anchor"), "query_id").where("vec_id <> anchor")
+    return found.select(F.col("query_id").alias("slot"), "vec_id", (F.col("label") == F.col("query_id")).alias("positive"), "score")
 
 
-@query("evidence_grounded", "SELECT conv_id, turn, TRUE AS whole, length(e) >= 4 AND c AS excerpt, FALSE AS foreign_text FROM (SELECT conv_id, turn, regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') AS e, TRUE AS c FROM conversations) WHERE length(e) >= 30")
+_PLAIN = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+
+
+def _grounded_sql(evidence: str) -> str:
+    parts = f"list_filter(list_transform(string_split_regex({evidence}, '\\.{{3,}}|…+'), lambda x: {_PLAIN.format('x')}), lambda x: length(x) >= 4)"
+    return f"len({parts}) > 0 AND len(list_filter({parts}, lambda x: NOT contains(p, x))) = 0"
+
+
+@query("evidence_grounded", f"SELECT conv_id, turn, {_grounded_sql('text')} AS whole, {_grounded_sql("left(text, 20) || ' ... ' || right(text, 10)")} AS excerpt, {_grounded_sql("left(text, 20) || '… qqzzqqzz'")} AS foreign_text FROM (SELECT conv_id, turn, text, {_PLAIN.format('text')} AS p FROM conversations)")
 def evidence_grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    rows = read(spark, sf_dir, "conversations").where(F.length(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "")) >= 30)
     excerpt = F.concat(F.substring("text", 1, 20), F.lit(" ... "), F.right("text", F.lit(10)))
     foreign = F.concat(F.substring("text", 1, 20), F.lit("… qqzzqqzz"))
-    return rows.select("conv_id", "turn", predicates.grounded(t, t).alias("whole"), predicates.grounded(excerpt, t).alias("excerpt"), predicates.grounded(foreign, t).alias("foreign_text"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", predicates.grounded(t, t).alias("whole"), predicates.grounded(excerpt, t).alias("excerpt"), predicates.grounded(foreign, t).alias("foreign_text"))
 
 
 @query("text_gates", """SELECT conv_id, turn, length(t) >= 15 AND NOT contains(t, 'the') AND t NOT LIKE '{%' AND t NOT LIKE '[%' AS summary, length(left(t, 3)) < 2 OR contains(left(t, 3), 'Th') AS placeholder, contains(t, 'what ') OR t LIKE 'How%' OR (regexp_matches(t, '[?？]$') AND length(t) <= 60) AS question FROM (SELECT *, trim(text) AS t FROM conversations)""")

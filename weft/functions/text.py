@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+STRING = StringType()
 
 
 def without_space(text: Column) -> Column:

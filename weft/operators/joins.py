@@ -1,4 +1,4 @@
-"""Joins: look-ups in order, first match of several tables, anti-joins, intervals, containment."""
+"""Joins: look-ups in order, first match of several tables, anti-joins, intervals, names."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.operators import dictionary
+
 
 def lookup(requests: DataFrame, key: str, tables: list[DataFrame], values: list[str]) -> DataFrame:
     """Each request with the values of the first table that has its key, and `found_in` (from 0); others are left out."""
@@ -37,10 +39,6 @@ def absent(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right.select(*keys).distinct(), keys, "left_anti")
 
 
-#: Rows up to which a counted table of keys is broadcast.
-MOST_BROADCAST = 500_000
-
-
 def spread(rows: DataFrame, one: DataFrame, keys: list[str], by: str, how: str = "left", ways: int = 16) -> DataFrame:
     """rows joined with `one`, which has at most a row for each key, so that a frequent key is in `ways` tasks, not one.
 
@@ -51,37 +49,6 @@ def spread(rows: DataFrame, one: DataFrame, keys: list[str], by: str, how: str =
     return dealt.join(every, [*keys, "__way"], how).drop("__way")
 
 
-def contained(texts: DataFrame, phrases: DataFrame, text: str = "text", phrase: str = "phrase") -> DataFrame:
-    """Pairs of rows where the text contains the phrase; phrases may be of any length, an empty one is in every text.
-
-    A phrase of four words or more has its second and third word in the text as whole words: texts' pairs of words are
-    matched with these, and shorter phrases' first characters (up to four) with the texts' runs of as many. Only hashes
-    of texts and phrases go through these joins; rows with a match come back by their hash, and are tested exactly.
-    Keys are broadcast if they are few. Nulls are in no pair. Equal rows are all returned.
-    """
-    known = phrases.where(F.col(phrase).isNotNull()).withColumn("__p", F.xxhash64(phrase))
-    rows = texts.where(F.col(text).isNotNull()).withColumn("__t", F.xxhash64(text))
-    blank = r"[ \t\n\x0B\f\r]+"
-    pair = lambda words, i: F.xxhash64(F.try_element_at(words, i), F.try_element_at(words, i + 1))
-    split = known.select("__p", F.col(phrase).alias("x"), F.split(F.trim(phrase), blank).alias("w"))
-    long = split.where(F.size("w") >= 4).select("__p", pair(F.col("w"), F.lit(2)).alias("__key")).distinct()
-    short = split.where(F.size("w") < 4).select("__p", F.least(F.length("x"), F.lit(4)).alias("__n"), F.substring("x", 1, 4).alias("__key")).distinct()
-    body = rows.select("__t", F.col(text).alias("x"))
-    words = F.split("x", blank)
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: pair(words, i)))
-    hits = [body.select("__t", F.explode(pairs).alias("__key")).join(_few(long), "__key")]
-    for (n,) in short.select("__n").distinct().collect():  # 0 to 4
-        runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("x") - n + 1, F.lit(1))), lambda i: F.substring(F.col("x"), i, F.lit(n))))  # noqa: B023
-        hits.append(body.select("__t", F.explode(runs).alias("__key")).join(_few(short.where(F.col("__n") == n)), "__key"))
-    met = reduce(DataFrame.unionByName, (h.select("__t", "__p") for h in hits)).distinct()
-    found = rows.join(met, "__t").join(_few(known), "__p").where(F.contains(text, phrase))
-    return found.select(*texts.columns, *(c for c in phrases.columns if c not in texts.columns))
-
-
-def _few(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if table.count() <= MOST_BROADCAST else table
-
-
 def both_known(edges: DataFrame, members: DataFrame, group: str, ends: tuple[str, str], name: str) -> DataFrame:
     """Edges whose two ends are members of the edge's group, without self-edges and repeats."""
     out = edges.where(F.col(ends[0]) != F.col(ends[1]))
@@ -161,5 +128,5 @@ def living(lists: DataFrame, members: str, states: DataFrame, dead: list[str], n
 def unmistakable(names: DataFrame) -> DataFrame:
     """name: those of names that no other one contains, and that contain no other one. Repeated names are one."""
     own = names.select("name").where("name is not null").distinct()
-    met = contained(own.withColumnRenamed("name", "text"), own.withColumnRenamed("name", "phrase")).where("text <> phrase")
+    met = dictionary.contained(own.withColumnRenamed("name", "text"), own.withColumnRenamed("name", "phrase")).where("text <> phrase")
     return own.join(met.select(F.explode(F.array("text", "phrase")).alias("name")).distinct(), "name", "left_anti")

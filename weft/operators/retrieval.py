@@ -28,27 +28,64 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine",
     broadcast in blocks by a hash of their id, as many as their counted numbers need: rows are scanned once a block.
     """
     asked = queries.select("query_id", "vector", *([tenant] if tenant else [])).where("vector is not null")
-    n, numbers = _dimensions(asked)
     kinds = dict(queries.dtypes)["query_id"], dict(rows.dtypes)["row_id"]
     fields = f"query_id {kinds[0]}, row_id {kinds[1]}, score double"
-    if not n:
-        return ranked(rows.sparkSession.createDataFrame([], fields), ["query_id"], [F.col("score").desc(), F.col("row_id")])
-    blocks = -(-numbers // BLOCK_NUMBERS)
-    parts = [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else asked for i in range(blocks)]
-    found = reduce(DataFrame.unionByName, (_scanned(part, rows, k, metric, tenant, fields) for part in parts))
+    parts = _blocks(asked)
+    found = reduce(DataFrame.unionByName, (_scanned(part, rows, k, metric, tenant, fields) for part in parts)) if parts else rows.sparkSession.createDataFrame([], fields)
     return ranked(found, ["query_id"], [F.col("score").desc(), F.col("row_id")]).where(F.col("rank") <= k)
 
 
-def _scanned(queries: DataFrame, rows: DataFrame, k: int, metric: str, tenant: str | None, fields: str) -> DataFrame:
-    held = queries.toPandas()  # a block
-    sizes = held.vector.map(len)
-    sent = rows.sparkSession.sparkContext.broadcast([(own.query_id.to_numpy(), np.array(own.vector.tolist(), float), own[tenant].to_numpy() if tenant else None) for _, own in held.groupby(sizes)])
+def _blocks(asked: DataFrame) -> list[DataFrame]:
+    """The queries in blocks by a hash of their id, so many that each block's numbers can be sent to every task."""
+    n, numbers = _dimensions(asked)
+    blocks = -(-numbers // BLOCK_NUMBERS)
+    return [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else asked for i in range(blocks)] if n else []
 
-    def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-        if metric == "cosine":
-            scale = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
-            return np.divide(q @ x.T, scale, out=np.zeros(scale.shape), where=scale > 0).round(6)
-        return np.array([1 / (1 + np.sqrt(((x - v) ** 2).sum(1))) for v in q]).round(6)
+
+def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """A row for each query: cosine (0 for a zero vector), or 1 / (1 + L2 distance)."""
+    if metric == "cosine":
+        scale = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
+        return np.divide(q @ x.T, scale, out=np.zeros(scale.shape), where=scale > 0).round(6)
+    return np.array([1 / (1 + np.sqrt(((x - v) ** 2).sum(1))) for v in q]).round(6)
+
+
+def scored(queries: DataFrame, rows: DataFrame, keep: list[str], metric: str = "cosine") -> DataFrame:
+    """query_id, the columns `keep` of rows, score: every row against each of a few stated queries, in one scan a block.
+
+    Vectors of a dimension that a query doesn't have, and null ones, have no score for it. All scores come out: aggregate
+    them, or take nearest().
+    """
+    asked = queries.select("query_id", "vector").where("vector is not null")
+    kinds = dict(rows.dtypes)
+    fields = ", ".join(["query_id " + dict(queries.dtypes)["query_id"], *(f"{c} {kinds[c]}" for c in keep), "score double"])
+
+    def scan(block: DataFrame) -> DataFrame:
+        sent = rows.sparkSession.sparkContext.broadcast(_by_dimension(block.toPandas()))
+
+        def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                size = frame.vector.map(lambda v: -1 if v is None else len(v))
+                for ids, q, _ in sent.value:
+                    own = frame[size == q.shape[1]]
+                    if len(own):
+                        at = _scores(q, np.array(own.vector.tolist(), float), metric)
+                        every = pd.concat([own[keep]] * len(ids), ignore_index=True)
+                        every.insert(0, "query_id", np.repeat(ids, len(own)))
+                        yield every.assign(score=at.ravel())
+
+        return rows.select(*keep, "vector").mapInPandas(step, fields)
+
+    parts = [scan(b) for b in _blocks(asked)]
+    return reduce(DataFrame.unionByName, parts) if parts else rows.sparkSession.createDataFrame([], fields)
+
+
+def _by_dimension(held: pd.DataFrame, tenant: str | None = None) -> list[tuple]:
+    return [(own.query_id.to_numpy(), np.array(own.vector.tolist(), float), own[tenant].to_numpy() if tenant else None) for _, own in held.groupby(held.vector.map(len))]
+
+
+def _scanned(queries: DataFrame, rows: DataFrame, k: int, metric: str, tenant: str | None, fields: str) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast(_by_dimension(queries.toPandas(), tenant))  # a block
 
     def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # by the queries' dimension: ids, row ids, scores
@@ -58,7 +95,7 @@ def _scanned(queries: DataFrame, rows: DataFrame, k: int, metric: str, tenant: s
                 own = frame[size == q.shape[1]]
                 if not len(own):
                     continue
-                at = scores(q, np.array(own.vector.tolist(), float))
+                at = _scores(q, np.array(own.vector.tolist(), float), metric)
                 if owner is not None:
                     at[owner[:, None] != own[tenant].to_numpy()[None, :]] = -np.inf
                 rid = np.broadcast_to(own.row_id.to_numpy(), at.shape)
