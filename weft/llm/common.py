@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import contextlib
 import re
-import tempfile
-import uuid
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -13,60 +10,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weft.storage import WRITING, discard, fresh_path, shared_dir, stored, writing  # noqa: F401  what operators call common.*
+
 #: The six ASCII white-space bytes that separate words: space and 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one of a local session without it."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        at = getattr(spark, "_weft_dir", None) or f"file://{tempfile.mkdtemp(prefix='weft-')}"
-        spark._weft_dir = at
-    return at.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-#: Settings of queries that write tables: shuffle files are deleted when the query ends, not when the driver next collects
-#: its garbage; batches for Python hold 16 MB at most, so that long texts don't come by the ten thousand.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
-
-
-@contextlib.contextmanager
-def writing(spark: SparkSession) -> Iterator[None]:
-    """Runs what is within under WRITING, and then restores the session's settings."""
-    before = {k: spark.conf.get(k, None) for k in WRITING}
-    for k, v in WRITING.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and rereads it: cuts lineage, survives lost executors, runs df once."""
-    path = fresh_path(df.sparkSession, name)
-    with writing(df.sparkSession):
-        df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
-    table.stored_at = path
-    return table
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes what stored() wrote for these tables, which nothing reads any more."""
-    for table in tables:
-        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_at)
-        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def spare(df: DataFrame, name: str) -> str:
     """`name`, or `name` with a number behind it, that no column of df has (in any case)."""
     taken = {c.lower() for c in df.columns}
