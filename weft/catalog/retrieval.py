@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.catalog.tables import read
 from weft.functions import vector
-from weft.operators import graph, retrieval
+from weft.operators import graph, retrieval, vectors
 from weft.registry import query
 
 _PAIRS = "SELECT q.vec_id AS query_id, r.vec_id AS row_id, {score} AS score FROM embeddings q JOIN embeddings r ON q.label = r.label WHERE q.vec_id % 50 = 0"
@@ -98,3 +98,67 @@ def graph_without(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _edges(spark, sf_dir)
     gone = edges.select(F.col("a").alias("node")).where("node like 'c1%'").union(edges.select("b").where("b in ('s1', 's2', 's3')"))
     return graph.without(edges, gone).select("a", "b", "weight")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"))
+
+
+_FIRST_FIT = """(WITH RECURSIVE e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+near AS MATERIALIZED (SELECT a.i, list(b.i) FILTER (WHERE b.i < a.i AND round(list_cosine_similarity(a.v, b.v), 6) >= 0.3) AS js FROM e a, e b GROUP BY 1),
+fold AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS labels UNION ALL SELECT near.i, list_append(labels, coalesce(list_min(list_transform(js, lambda j: labels[j])), near.i)) FROM fold JOIN near ON near.i = fold.i + 1),
+named AS (SELECT unnest(labels) AS label, generate_subscripts(labels, 1) AS i FROM fold WHERE i = (SELECT max(i) FROM e))
+SELECT e.vec_id, f.vec_id AS cluster, e.v FROM named JOIN e USING (i) JOIN e f ON f.i = named.label)"""
+
+
+@query("first_fit_clusters", f"SELECT vec_id, cluster FROM {_FIRST_FIT}")
+def first_fit_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the vectors of this table are nearly random: at 0.80 each would be alone
+    return vectors.first_fit(_vectors(spark, sf_dir), 0.3).select(F.col("row_id").alias("vec_id"), "cluster")
+
+
+@query("cluster_cohesion", f"WITH c AS MATERIALIZED {_FIRST_FIT} SELECT n.cluster, n.n, round(s, 6) AS avg_sim FROM (SELECT cluster, count(*) AS n FROM c GROUP BY 1) n LEFT JOIN (SELECT a.cluster, avg(list_cosine_similarity(a.v, b.v)) AS s FROM c a JOIN c b ON a.cluster = b.cluster AND a.vec_id < b.vec_id GROUP BY 1) USING (cluster)")
+def cluster_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir)
+    return vectors.cohesion(vectors.first_fit(rows, 0.3), rows).withColumn("avg_sim", F.round("avg_sim", 6))
+
+
+def _indexed_knn(spark: SparkSession, sf_dir: str, exact: bool) -> DataFrame:
+    rows = _vectors(spark, sf_dir)
+    queries = rows.where("row_id % 50 = 0").withColumnRenamed("row_id", "query_id")
+    return vectors.searched(queries, vectors.indexed(rows, buckets=16), 10, probes=12, exact=exact).select("query_id", "row_id", "score")
+
+
+@query("indexed_knn_exact", _RANKED.format(pairs=_COSINE.replace("q.label = r.label", "TRUE"), k=10))
+def indexed_knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _indexed_knn(spark, sf_dir, True)
+
+
+@query("indexed_knn")
+def indexed_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate: its recall against the exact search is measured in tests/test_vectors.py."""
+    return _indexed_knn(spark, sf_dir, False)
+
+
+_DAMAGE = "CASE WHEN vec_id % 17 = 4 THEN 'null' WHEN vec_id % 11 = 3 THEN 'ragged' WHEN vec_id % 13 = 5 THEN 'dimension' WHEN vec_id % 19 = 6 THEN 'zero' WHEN vec_id % 23 = 7 THEN 'not finite' END"
+
+
+def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings packed, some of them damaged in each of the ways that decoded() tells apart, and read back."""
+    rows, v = read(spark, sf_dir, "embeddings"), F.col("embedding")
+    zero, far = F.transform(v, lambda x: F.lit(0.0).cast("float")), F.transform(v, lambda x, i: F.when(i == 1, F.lit(float("inf"))).otherwise(x).cast("float"))
+    blob = vectors.packed(F.when(F.expr(f"{_DAMAGE} = 'zero'"), zero).when(F.expr(f"{_DAMAGE} = 'not finite'"), far).otherwise(v))
+    damage = F.expr(_DAMAGE)
+    cut = F.when(damage == "null", None).when(damage == "ragged", F.expr("substring(blob, 1, octet_length(blob) - 1)")).when(damage == "dimension", F.expr("substring(blob, 5)")).otherwise(F.col("blob"))
+    return vectors.decoded(rows.select("vec_id", blob.alias("blob")).withColumn("blob", cut), "blob", 64)
+
+
+@query("packed_vectors", f"SELECT vec_id, p AS problem, CASE WHEN p IS NULL THEN round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) END AS norm, CASE WHEN p IS NULL THEN round(list_sum(embedding::DOUBLE[]), 6) END AS total FROM (SELECT *, {_DAMAGE} AS p FROM embeddings)")
+def packed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = F.when(F.col("problem").isNull(), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 6))
+    return _decoded(spark, sf_dir).select("vec_id", "problem", F.round("norm", 6).alias("norm"), total.alias("total"))
+
+
+@query("vector_quarantine", f"SELECT coalesce({_DAMAGE}, 'ok') AS problem, count(*) AS n FROM embeddings GROUP BY 1")
+def vector_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.quarantine_counts(_decoded(spark, sf_dir))
