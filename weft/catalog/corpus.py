@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.catalog.tables import read
 from weft.functions import text as T
-from weft.operators import cleaning, dedup, dictionary, intervals, joins, sequences, style, windows
+from weft.operators import cleaning, dedup, dictionary, intervals, joins, sequences, style, templates, windows
 from weft.registry import query
 
 
@@ -198,6 +198,20 @@ def sequence_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.clustered(days, "user_id", "day", "a").select("user_id", "day", "cluster", "attached")
 
 
+def _day_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's days as sequences of what happened, purchases as their cores, with a tag for each event's value and number."""
+    events = read(spark, sf_dir, "events").withColumn("day", F.to_date("ts").cast("string"))
+    tags = F.array(F.when(F.col("value") > 100, "high").otherwise("low"), F.concat(F.lit("k"), F.col("event_id") % 3))
+    by = events.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type", tags.alias("tags")))).alias("e"))
+    days = by.select("user_id", "day", F.transform("e", lambda x: x["event_type"]).alias("a"), F.transform("e", lambda x: x["tags"]).alias("tags"))
+    return templates.members(days.withColumn("cores", F.filter(F.array_distinct("a"), lambda x: x == "purchase")), "user_id", "day", "a", "tags", "cores")
+
+
+@query("skeleton_templates")
+def skeleton_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.templates(_day_members(spark, sf_dir), "user_id", "day")
+
+
 @query("repeated_tail")
 def repeated_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.without_repeated_tail(_documents(spark, sf_dir).select("doc_id", "text"), "text").select("doc_id", "n_cut", F.length("text").alias("chars"))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.catalog.tables import read
+from weft.operators import windows
 from weft.registry import query
+from weft.streaming import arcs, guard
 from weft.streaming import events as E
-from weft.streaming import guard
 
 
 @query("windowed_usage", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2, 3")
@@ -25,3 +26,10 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repetition_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream_id"), F.posexplode(F.split("text", "\n")).alias("seq", "chunk"))
     return guard.guarded_batch(lines.withColumn("seq", F.col("seq").cast("long"))).groupBy("stream_id").agg(F.count("*").alias("chunks"), F.max("stopped").alias("stopped"))
+
+
+@query("live_arcs")
+def live_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language's documents as the chapters of a book, those with a licence line or a link as cuts: the fold of the stream."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("book"), F.col("text").rlike("(?i)licen[sc]ed under|https?://").alias("cut"))
+    return arcs.arcs_of(windows.numbered(docs, ["book"], "doc_id", "place").select("book", "place", "cut"), 2, 5)
