@@ -86,3 +86,19 @@ def test_beyond_the_bound_phrases_are_joined(spark, monkeypatch):
 def test_unmistakable(spark):
     names = spark.createDataFrame([("Ann",), ("Anna",), ("Bob",), ("Bob",), (None,)], "name string")
     assert [r.name for r in joins.unmistakable(names).collect()] == ["Bob"]
+
+
+def test_counted_and_findings(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [words(rng, rng.randrange(0, 30)).replace("b a", "b\na") for _ in range(50)] + ["aaaa aaa", "", None, "x😀 aa\n😀aa"]
+    phrases = ["aa", "a", "b c", "cab", "😀", "zz", "abc a"]
+    rows, known = spark.createDataFrame(list(enumerate(texts)), "id int, text string"), spark.createDataFrame([(p, k) for p in phrases for k in "xy"] + [("", "x"), (None, "x")], "phrase string, kind string")
+    want = {(i, p, t.count(p), t.index(p)) for i, t in enumerate(texts) if t for p in phrases if p in t}
+    found = dictionary.findings(rows, "id", "text", known, "phrase", around=3).collect()
+    assert {(r.id, r.phrase, r.n, r["first"]) for r in found} == want and len(found) == 2 * len(want)
+    for r in found:
+        t = texts[r.id]
+        assert r.line_no == t[: r["first"]].count("\n") + 1
+        assert r.context == t[max(0, r["first"] - 3) : r["first"] + len(r.phrase) + 3].replace("\n", " ")
+    monkeypatch.setattr(dictionary, "MOST_CHARS", 1)
+    assert {(r.id, r.phrase, r.n, r["first"]) for r in dictionary.counted(rows, "text", known, "phrase").collect()} == want

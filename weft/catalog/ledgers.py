@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.catalog.tables import read
 from weft.operators import aliases, budget, cleaning, gaps, replay
+from weft.plans import layers
 from weft.registry import query
 
 _LINES = "(SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations)"
@@ -86,3 +87,26 @@ def plan_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cleaned, _ = cleaning.inline(F.col("text"), (cleaning.Rule("link", _LINKS),))
     return replay.drift(plan(F.col("text")), plan(cleaned), ["doc_id", "action"], "d")
+
+
+_LAYER = """{name}_rest AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY relevant DESC, place) AS r, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS p, bool_or(relevant) OVER (PARTITION BY conv_id) AS any_relevant FROM {name}_rows WHERE NOT must AND line <> ''),
+{name} AS (SELECT conv_id, '{title}' || chr(10) || string_agg(line, chr(10) ORDER BY rank, place) AS content FROM (SELECT conv_id, 0 AS rank, place, line FROM {name}_rows WHERE must AND line <> '' UNION ALL SELECT conv_id, CASE WHEN any_relevant THEN r ELSE p END, place, line FROM {name}_rest WHERE (any_relevant AND relevant AND r <= {most}) OR (NOT any_relevant AND p <= {fallback})) GROUP BY 1)"""
+
+
+@query("layered_prompt", f"""WITH q AS (SELECT conv_id, max(turn) AS last, regexp_extract(trim(arg_min(text, turn)), '^[^ ]+', 0) AS word FROM conversations GROUP BY 1),
+turns_rows AS (SELECT conv_id, turn = last AS must, contains(text, word) AS relevant, turn AS place, role || ': ' || left(text, 200) AS line FROM conversations JOIN q USING (conv_id)),
+notes_rows AS (SELECT conv_id, FALSE AS must, contains(line, word) AS relevant, i AS place, left(line, 120) AS line FROM q JOIN (SELECT doc_id AS conv_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) USING (conv_id)),
+{_LAYER.format(name="turns", title="[turns]", most=4, fallback=2)}, {_LAYER.format(name="notes", title="[notes]", most=5, fallback=2)},
+b AS (SELECT conv_id, t.content AS t, n.content AS n, least(length(t.content), 700) AS tn FROM turns t FULL JOIN notes n USING (conv_id)),
+c AS (SELECT *, CASE WHEN length(n) <= 700 - coalesce(tn, 0) THEN length(n) WHEN 700 - coalesce(tn, 0) >= 100 THEN 700 - coalesce(tn, 0) ELSE 0 END AS nn FROM b)
+SELECT conv_id, md5(concat_ws(chr(10) || chr(10), CASE WHEN nn > 0 THEN left(n, nn) END, CASE WHEN tn > 0 THEN left(t, tn) END)) AS digest, CASE WHEN n IS NULL THEN NULL WHEN nn = length(n) THEN 'kept' WHEN nn > 0 THEN 'cut' ELSE 'dropped' END AS notes FROM c""")
+def layered_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each conversation its last turn, the turns and the lines of the document of its number that have its first word,
+    in 700 characters, the turns first."""
+    turns = read(spark, sf_dir, "conversations")
+    asked = turns.groupBy("conv_id").agg(F.max("turn").alias("last"), F.regexp_extract(F.trim(F.min_by("text", "turn")), "^[^ ]+", 0).alias("word"))
+    own = turns.join(asked, "conv_id").select("conv_id", (F.col("turn") == F.col("last")).alias("must"), F.contains("text", "word").cast("int").alias("relevance"), F.col("turn").alias("place"), F.concat("role", F.lit(": "), F.substring("text", 1, 200)).alias("line"))
+    lines = cleaning.lines(read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "conv_id").join(asked, "conv_id", "left_semi"), "conv_id", "text").join(asked, "conv_id")
+    notes = lines.select("conv_id", F.lit(False).alias("must"), F.contains("line", "word").cast("int").alias("relevance"), F.col("line_no").cast("long").alias("place"), F.substring("line", 1, 120).alias("line"))
+    both = [layers.Layer("turns", "[turns]", own, 90, 20, 4, 2), layers.Layer("notes", "[notes]", notes, 50, 10, 5, 2)]
+    return layers.prompt(both, "conv_id", 700).select("conv_id", F.md5("prompt").alias("digest"), F.element_at("decisions", "notes").alias("notes"))

@@ -30,3 +30,9 @@ def dictionary_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = _names(spark, sf_dir).select(F.col("name").alias("original"), F.concat(F.lit("<"), F.length("name"), F.lit(">")).alias("alias"))
     found = dictionary.replaced(read(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], mapping)
     return found.select("doc_id", F.length("text").alias("chars"), F.md5("text").alias("digest"), "touched")
+
+
+@query("phrase_findings", f"""SELECT doc_id, name, n::INT AS n, first::INT AS first, (length(left(text, first)) - length(replace(left(text, first), chr(10), '')) + 1)::INT AS line_no, replace(substring(text, greatest(first - 12, 0) + 1, first - greatest(first - 12, 0) + length(name) + 12), chr(10), ' ') AS context
+FROM (SELECT doc_id, text, name, (length(text) - length(replace(text, name, ''))) // length(name) AS n, instr(text, name) - 1 AS first FROM documents JOIN {_LONG} ON contains(text, name))""")
+def phrase_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.findings(read(spark, sf_dir, "documents"), "doc_id", "text", _names(spark, sf_dir), "name")

@@ -32,16 +32,17 @@ def beat_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", symbol.alias("symbol"), times.alias("times"))
 
 
-@query("listed_parts", "SELECT p_partkey, list_filter(string_split(p_name, ' '), lambda x: x <> '') AS parts FROM part")
+@query("listed_parts", "SELECT conv_id, turn, list_filter(list_transform(string_split_regex(coalesce(text, ''), '[;；\n]'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM conversations")
 def listed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = F.translate(F.concat(F.lit("； "), "p_name", F.lit(" ;")), " ", "\n")
-    return read(spark, sf_dir, "part").select("p_partkey", T.as_list(mixed).alias("parts"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.as_list(F.col("text")).alias("parts"))
 
 
-@query("script_counts", "SELECT n_nationkey, 2 AS ideographs, n_name AS behind FROM nation")
+@query("script_counts", r"""SELECT doc_id, len(regexp_extract_all(text, '[一-鿿]')) AS ideographs, len(regexp_extract_all(text, '\p{Latin}')) AS latin, len(regexp_extract_all(text, '[À-ÿ]')) AS accented, len(regexp_extract_all(text, '\p{Cyrillic}')) AS cyrillic, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*[#*$%&|]{4,}'))) AS ruled_lines FROM documents""")
 def script_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat(F.lit(" ***** "), "n_name", F.lit(" "))
-    return read(spark, sf_dir, "nation").select("n_nationkey", T.ideographs(F.concat(F.lit("汉"), "n_name", F.lit("字。"))).alias("ideographs"), T.behind_stars(line).alias("behind"))
+    """Letters of each script, and lines that begin with a rule of symbols, of whole documents."""
+    t, n = F.col("text"), lambda p: F.regexp_count("text", F.lit(p))
+    ruled = F.size(F.filter(F.split(t, "\n"), lambda x: x.rlike(r"^\s*[#*$%&|]{4,}")))
+    return read(spark, sf_dir, "documents").select("doc_id", T.ideographs(t).alias("ideographs"), n(r"\p{IsLatin}").alias("latin"), n("[À-ÿ]").alias("accented"), n(r"\p{IsCyrillic}").alias("cyrillic"), ruled.alias("ruled_lines"))
 
 
 @query("number_offsets", "SELECT CASE WHEN d > 30 THEN 31 WHEN d < -30 THEN -31 ELSE d END::INT AS shift, count(*) AS n FROM (SELECT TRY_CAST(nullif(regexp_extract(text, '(\\d{1,6})', 1), '') AS INT) - doc_id % 100 AS d FROM documents) WHERE d IS NOT NULL GROUP BY 1")
@@ -65,8 +66,8 @@ SELECT doc_id, i, line, regexp_matches(line, '{_ANCHOR}') AS a, regexp_matches(l
 _DECIDED = f"(SELECT *, CASE WHEN cut IS NULL THEN 'none' WHEN tail >= 0.8 * whole THEN 'whole' ELSE 'tail' END AS decision FROM {_FOUND})"
 
 
-def _injected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cleaning.injected(read(spark, sf_dir, "documents"), "doc_id", "text", _ANCHOR, _MARKER)
+def _injected(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    found = cleaning.injected(read(spark, sf_dir, "documents"), "doc_id", "text", _ANCHOR, _MARKER, keep=keep)
     return found.withColumn("decision", cleaning.injection_decision(F.col("cut"), F.col("share")))
 
 
@@ -77,14 +78,12 @@ def injected_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("injection_survey", f"SELECT source, decision, count(*) AS n, sum(tail)::BIGINT AS characters FROM {_DECIDED} JOIN documents USING (doc_id) GROUP BY 1, 2")
 def injection_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = read(spark, sf_dir, "documents").select("doc_id", "source")
-    return _injected(spark, sf_dir).join(sources, "doc_id").groupBy("source", "decision").agg(F.count("*").alias("n"), F.sum("tail").alias("characters"))
+    return _injected(spark, sf_dir, "source").groupBy("source", "decision").agg(F.count("*").alias("n"), F.sum("tail").alias("characters"))
 
 
 @query("injection_cut", f"SELECT doc_id, md5(CASE WHEN cut IS NULL THEN text ELSE array_to_string(string_split(text, chr(10))[:cut - 1], chr(10)) END) AS digest FROM {_FOUND} JOIN documents USING (doc_id)")
 def injection_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.join(_injected(spark, sf_dir).select("doc_id", "cut"), "doc_id").select("doc_id", F.md5(cleaning.before_line(F.col("text"), F.col("cut"))).alias("digest"))
+    return _injected(spark, sf_dir, "text").select("doc_id", F.md5(cleaning.before_line(F.col("text"), F.col("cut"))).alias("digest"))
 
 
 @query("paired_rows", """SELECT k, n, a AS left_name, b AS right_name, coalesce(a = b, FALSE) AS agrees FROM (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n, l_returnflag AS a FROM lineitem WHERE l_linenumber < 5)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 STRING = StringType()
+#: A phrase's number, its hits, and where the first one begins.
+COUNTED = StructType().add("i", IntegerType()).add("n", IntegerType()).add("first", IntegerType())
 
 
 def without_space(text: Column) -> Column:

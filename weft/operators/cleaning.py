@@ -120,20 +120,21 @@ def stacked_words(rows: DataFrame, key: str, text: str, words: list[str], least:
     return found.select(key, "line_no", finding.alias("finding")).where("finding is not null")
 
 
-def injected(rows: DataFrame, key: str, text: str, anchor: str, marker: str, run: int = 2) -> DataFrame:
-    """key, cut (number of the line, null for none), tail and body (characters of lines from there on, and before), share.
+def injected(rows: DataFrame, key: str, text: str, anchor: str, marker: str, run: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, cut (number of the line, null for none), tail and body (characters of lines from there on, and before), share, and
+    the columns `keep` of rows. Null texts are left out.
 
-    The cut is the first line that matches `anchor`, or the first of `run` lines or more in a row that match `marker`.
+    The cut is the first line that matches `anchor`, or the first of `run` lines or more in a row that match `marker`. A text
+    is split once, and its lines become a string of a digit each, in which the cut is a match: nothing leaves the row.
     """
-    by = Window.partitionBy(key).orderBy("line_no")
-    each = lines(rows, key, text).withColumns({"__a": F.col("line").rlike(anchor), "__m": F.col("line").rlike(marker)})
-    runs = each.withColumn("__run", F.sum(F.when(F.col("__m"), 0).otherwise(1)).over(by))
-    runs = runs.withColumn("__size", F.count_if(F.col("__m")).over(Window.partitionBy(key, "__run")))
-    at = F.min(F.when(F.col("__a") | (F.col("__m") & (F.col("__size") >= run)), F.col("line_no")))
-    cut = runs.groupBy(key).agg(at.alias("cut"))
-    parts = each.select(key, "line_no", F.length("line").alias("n")).join(cut, key)
-    sizes = parts.groupBy(key, "cut").agg(F.coalesce(F.sum(F.when(F.col("line_no") >= F.col("cut"), F.col("n"))), F.lit(0)).alias("tail"), F.sum("n").alias("all"))
-    return sizes.select(key, "cut", "tail", (F.col("all") - F.col("tail")).alias("body"), F.coalesce(F.try_divide("tail", "all"), F.lit(0.0)).alias("share"))
+    digit = lambda x: F.when(x.rlike(anchor), 2).otherwise(0) + F.when(x.rlike(marker), 1).otherwise(0)
+    kept = [c for c in keep if c != key]
+    split = rows.where(F.col(text).isNotNull()).select(key, *kept, F.split(text, "\n").alias("__lines"))
+    at = F.regexp_instr(F.array_join(F.transform("__lines", lambda x: digit(x).cast("string")), ""), F.lit(rf"[23]|[13]{{{run}}}"))
+    placed = split.select(key, *kept, F.nullif(at, F.lit(0)).alias("cut"), F.transform("__lines", F.length).alias("__n"))
+    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda n, x: n + x)
+    sizes = placed.select(key, *kept, "cut", F.when(F.col("cut").isNull(), 0).otherwise(total(F.slice("__n", F.coalesce("cut", F.lit(1)), F.size("__n")))).alias("tail"), total("__n").alias("all"))
+    return sizes.select(key, *kept, "cut", "tail", (F.col("all") - F.col("tail")).alias("body"), F.coalesce(F.try_divide("tail", "all"), F.lit(0.0)).alias("share"))
 
 
 def injection_decision(cut: Column, share: Column, whole: float = 0.8) -> Column:

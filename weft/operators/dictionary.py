@@ -108,6 +108,44 @@ def anchored(texts: DataFrame, phrases: DataFrame, text: str = "text", phrase: s
     return found.select(*texts.columns, *(c for c in phrases.columns if c not in texts.columns))
 
 
+def _counts(own: Automaton, text: str) -> list[tuple[int, int, int]]:
+    """Phrase number, hits that don't overlap (the leftmost first), begin of the first, for each phrase in a text."""
+    n: dict[int, list[int]] = {}
+    if len(own):
+        for last, (i, size) in own.iter(text):
+            if i not in n:
+                n[i] = [1, last + 1 - size, last]
+            elif last - size >= n[i][2]:
+                n[i][0] += 1
+                n[i][2] = last
+    return [(i, times, first) for i, (times, first, _) in n.items()]
+
+
+def counted(texts: DataFrame, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
+    """texts with a row for each distinct phrase that is in them: phrase, n (hits that don't overlap) and first (where the
+    first one begins, in characters from 0). Nulls and empty phrases are in no row."""
+    spark, words = texts.sparkSession, held(phrases, phrase)
+    if words is None:
+        rest = F.length(text) - F.length(F.replace(text, F.col(phrase), F.lit("")))
+        found = anchored(texts, phrases.select(phrase).where(F.col(phrase) != "").distinct(), text, phrase)
+        return found.withColumns({"n": (rest / F.length(phrase)).cast("int"), "first": F.instr(text, F.col(phrase)) - 1})
+    numbers = spark.createDataFrame([(i, p) for i, p in enumerate(words)], f"__i int, `{phrase}` string")
+    hits = F.explode(scanner(spark, words, _counts, ArrayType(T.COUNTED))(F.col(text)))
+    found = texts.withColumn("__h", hits).select(*texts.columns, F.col("__h.i").alias("__i"), "__h.n", "__h.first")
+    return found.join(F.broadcast(numbers), "__i").drop("__i")
+
+
+def findings(texts: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str, around: int = 12) -> DataFrame:
+    """key, the columns of phrases, n, first, line_no (from 1) and context (the first hit with `around` characters on either
+    side, line ends as blanks) of every phrase in every text. A phrase with several rows of phrases is found once for each."""
+    found = counted(texts.select(key, F.col(text).alias("__text")), "__text", phrases, phrase)
+    begin = F.greatest(F.col("first") - around, F.lit(0))
+    context = F.substring("__text", begin + 1, F.col("first") - begin + F.length(phrase) + around)
+    line = F.length(F.substring("__text", F.lit(1), F.col("first"))) - F.length(F.replace(F.substring("__text", F.lit(1), F.col("first")), F.lit("\n"), F.lit(""))) + 1
+    told = found.select(key, phrase, "n", "first", line.alias("line_no"), F.translate(context, "\n", " ").alias("context"))
+    return told.join(phrases, phrase) if phrases.columns != [phrase] else told
+
+
 def _spans(own: Automaton, text: str) -> list[tuple[int, int, int]]:
     """start, end, phrase number of the hits that are replaced: longer phrases first (numbers ascend as lengths fall), of
     one phrase the leftmost, none over another."""

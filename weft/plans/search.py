@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators import retrieval
+from weft.operators import dictionary, retrieval
 
 
 def hybrid(queries: DataFrame, rows: DataFrame, tenant: str, channel: int = 20, share: float = 0.3, most: int = 10, exact: Column | None = None) -> DataFrame:
@@ -20,8 +20,13 @@ def hybrid(queries: DataFrame, rows: DataFrame, tenant: str, channel: int = 20,
     near = retrieval.nearest(queries, rows, channel, "cosine", tenant)
     near = retrieval.above_share(near, ["query_id"], "score", share).select("query_id", "row_id", "rank")
     asked = queries.select("query_id", tenant, *(F.col(c).alias(f"q_{c}") for c in queries.columns if c not in ("query_id", tenant, "vector")))
-    hits = rows.drop("vector").join(asked, tenant).withColumn("hits", F.size(F.split(F.lower("text"), F.lower("q_word"), -1)) - 1).where((F.col("q_word") != "") & (F.col("hits") > 0))
-    words = retrieval.ranked(hits, ["query_id"], [F.col("hits").desc(), F.col("row_id")]).where(F.col("rank") <= channel).select("query_id", "row_id", "rank")
+    # a query's rows depend on its tenant and word only: each text is read once for all words, and the best rows of a word
+    # are found before queries come in
+    wanted = asked.select(tenant, F.lower("q_word").alias("__word")).where("__word <> ''").distinct()
+    hits = dictionary.counted(rows.select("row_id", tenant, F.lower("text").alias("__text")), "__text", wanted, "__word").drop("__text", "first")
+    hits = hits.join(wanted, [tenant, "__word"], "left_semi")
+    best = retrieval.ranked(hits, [tenant, "__word"], [F.col("n").desc(), F.col("row_id")]).where(F.col("rank") <= channel)
+    words = asked.select("query_id", tenant, F.lower("q_word").alias("__word")).join(best, [tenant, "__word"]).select("query_id", "row_id", "rank")
     both = retrieval.fused([near, words], ["query_id", "row_id"])
     known = both.join(rows.drop("vector"), "row_id").join(asked.drop(tenant), "query_id")
     found = known.select("query_id", "row_id", "score", F.when(exact if exact is not None else F.lit(False), 0).otherwise(1).alias("tier"))
