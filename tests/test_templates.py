@@ -64,6 +64,13 @@ def test_templates_are_their_definition(spark, seed):
     got = {(r.k, r.cluster): (r.members, r.skeleton, [(p.phase, [(b.beat, b.signature, [tuple(v) for v in b.variants]) for b in p.beats]) for p in r.phases or []]) for r in found}
     assert got == nested(rows) and len(found) == len(got)
     assert any(m > 2 for m, _, _ in got.values())
+    pages = {(r.k, r.cluster): r.report for r in templates.rendered(templates.templates(templates.members(spark.createDataFrame(rows, SCHEMA), "k", "day", "a", "tags", "cores"), "k", "day"), "k").collect()}
+    for (k, n), (size, skeleton, phases) in got.items():
+        page = [f"## {k}-{n + 1}", f"{size} × {' → '.join(skeleton) or '—'}"]
+        for phase, beats in phases:
+            ways = ["；".join(f"**{src}**{'*' if core else ''}{'：' + '、'.join(tags) if tags else ''}" for src, _, tags, core in w) or "—" for _, _, w in beats]
+            page += [f"### {phase}", "\n".join(f"- **{b}** → {w}" for (b, _, _), w in zip(beats, ways, strict=True))]
+        assert pages[k, n] == "\n\n".join(page)
 
 
 def test_registered_templates_hold_every_day(spark):

@@ -36,7 +36,7 @@ def folded(rows, threshold, leaders):
 
 
 @pytest.mark.parametrize("against", ["members", "leaders"])
-@pytest.mark.parametrize("block", [7, 50, 2048])
+@pytest.mark.parametrize("block", [30, 2048])
 def test_first_fit_is_the_sequential_fold(spark, against, block):
     rows = some()
     table = spark.createDataFrame(rows, "row_id long, vector array<double>").repartition(3)

@@ -146,3 +146,29 @@ def before_line(text: Column, cut: Column) -> Column:
     """The text before a line's number as cleaning.lines counts it; all of it for null."""
     parts = F.split(text, "\n")
     return F.when(cut.isNull(), text).otherwise(F.array_join(F.slice(parts, F.lit(1), cut.cast("int") - 1), "\n"))
+
+
+def restarts(rows: DataFrame, book: str, seq: str, number: str, delta: int) -> DataFrame:
+    """rows with usual (the commonest seq - number of the book, of equally common ones the smallest) and restarted: the
+    number inside is more than `delta` further behind than usual, as in a sequel that counts anew. Rows without a number
+    haven't restarted. Offsets are counted, and a row for each book comes back."""
+    offset = F.col(seq) - F.col(number)
+    counts = rows.where(offset.isNotNull()).groupBy(book, offset.alias("__o")).agg(F.count("*").alias("__n"))
+    usual = counts.groupBy(book).agg(F.min(F.struct((-F.col("__n")).alias("n"), F.col("__o").alias("o"))).getField("o").alias("usual"))
+    return rows.join(usual, book, "left").withColumn("restarted", F.coalesce(offset - F.col("usual") > delta, F.lit(False)))
+
+
+def cleaned_name(name: Column) -> Column:
+    """The name without control characters, with single blanks, trimmed; null if that is the same, or nothing."""
+    new = F.trim(F.regexp_replace(F.regexp_replace(name, r"[\x00-\x1F\x7F]", ""), r"\s{2,}", " "))
+    return F.when((new != "") & (new != name) & name.rlike(r"[\x00-\x1F\x7F]"), new)
+
+
+def renames(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """key, old, new, state of rows whose name is to be cleaned: rename, or taken if another row has the new name or gets it
+    too (the first by key gets it if no one has it)."""
+    wanted = rows.select(key, F.col(name).alias("old"), cleaned_name(F.col(name)).alias("new")).where("new is not null")
+    first = wanted.groupBy("new").agg(F.min(key).alias("__first"))
+    there = rows.select(F.col(name).alias("new"), F.lit(True).alias("__there")).distinct()
+    both = wanted.join(first, "new").join(there, "new", "left")
+    return both.select(key, "old", "new", F.when(F.col("__there").isNotNull() | (F.col(key) != F.col("__first")), "taken").otherwise("rename").alias("state"))

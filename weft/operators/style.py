@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.operators import dictionary
+
 
 @dataclass(frozen=True)
 class StyleRule:
@@ -64,3 +66,18 @@ def score(found: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
 
 def grade(points: Column) -> Column:
     return F.when(points >= 90, "A").when(points >= 75, "B").when(points >= 55, "C").otherwise("D")
+
+
+def probed(texts: DataFrame, key: str, text: str, probes: DataFrame, hanging: list[str], tail: int = 60) -> DataFrame:
+    """key, chars, paragraphs, closed (ends in a sentence mark), hangs (a hanging mark in the last `tail` characters), hits: an
+    array of (beat, words, n, first) for each beat with a word in the text: how many of its words, how often all of them,
+    and where the first one is, in hundredths of the text. probes: beat, word; each text is read once for all words."""
+    t = F.col(text)
+    own = texts.where(t.isNotNull()).select(key, t.alias("__t"))
+    found = dictionary.counted(own, "__t", probes, "word").withColumn("__at", F.floor(F.col("first") * 100 / F.length("__t")).cast("int"))
+    by = found.select(key, "word", "n", "__at").join(probes.select("beat", "word").distinct(), "word").groupBy(key, "beat").agg(F.count("*").alias("words"), F.sum("n").alias("n"), F.min("__at").alias("first"))
+    hits = by.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("beat", "words", "n", "first"))).alias("hits"))
+    end = F.right("__t", F.lit(tail))
+    marks = F.array(*map(F.lit, hanging)) if hanging else F.array().cast("array<string>")
+    facts = own.select(key, F.length("__t").alias("chars"), F.size(F.filter(F.split("__t", "\n\n"), lambda p: F.trim(p) != "")).alias("paragraphs"), F.rtrim(F.translate("__t", "\n", " ")).rlike(r"[.!?。！？]$").alias("closed"), F.exists(marks, lambda m: F.contains(end, m)).alias("hangs"))
+    return facts.join(hits, key, "left").withColumn("hits", F.coalesce("hits", F.array().cast(dict(hits.dtypes)["hits"])))

@@ -83,3 +83,13 @@ def templates(found: DataFrame, key: str, order: str) -> DataFrame:
     named = phases.withColumn("phase", F.element_at(F.array(*map(F.lit, PHASES)), F.col("__p") + 1))
     nested = named.groupBy(key, "cluster").agg(ordered("__p", "phase", "beats").alias("phases"))
     return groups.join(nested, [key, "cluster"], "left")
+
+
+def rendered(found: DataFrame, key: str) -> DataFrame:
+    """key, cluster, report: a page of Markdown for each template of templates(), for somebody who has to judge it."""
+    way = lambda v: F.concat(F.lit("**"), v["src"].cast("string"), F.lit("**"), F.when(v["core"], "*").otherwise(""), F.when(F.size(v["tags"]) > 0, F.concat(F.lit("："), F.array_join(v["tags"], "、"))).otherwise(""))
+    beat = lambda b: F.concat(F.lit("- **"), b["beat"], F.lit("** → "), F.coalesce(F.nullif(F.array_join(F.transform(b["variants"], way), "；"), F.lit("")), F.lit("—")))
+    part = lambda p: F.concat(F.lit("### "), p["phase"], F.lit("\n\n"), F.array_join(F.transform(p["beats"], beat), "\n"))
+    head = F.concat(F.lit("## "), F.col(key).cast("string"), F.lit("-"), F.col("cluster") + 1, F.lit("\n\n"), F.col("members"), F.lit(" × "), F.coalesce(F.nullif(F.array_join("skeleton", " → "), F.lit("")), F.lit("—")))
+    parts = F.transform(F.coalesce("phases", F.array().cast(dict(found.dtypes)["phases"])), part)
+    return found.select(key, "cluster", F.array_join(F.concat(F.array(head), parts), "\n\n").alias("report"))
