@@ -66,3 +66,8 @@ def test_snap_and_cache_counts(spark):
     hit, miss = aggregates.cache_counts(F.col("h"), F.col("m"), F.col("p"))
     got = spark.createDataFrame([(3, None, 10), (None, None, 10), (3, 1, 10), (12, None, 10)], "h int, m int, p int").select(hit, miss).collect()
     assert [tuple(r) for r in got] == [(3, 7), (0, 0), (3, 1), (12, 0)]
+
+
+def test_paragraphs_are_trimmed_of_blanks_only(spark):
+    found = spark.createDataFrame([("0a0 \n 1b1\n\n  \n2c2",)], "t string").select(T.paragraphs(F.col("t")).alias("p")).first().p
+    assert found == ["0a0", "1b1", "2c2"]

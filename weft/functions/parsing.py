@@ -7,9 +7,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
+from weft.functions import text as T
+
 _FENCE = re.compile(r"```[A-Za-z]*\s*(.*?)```", re.S)
 #: Full-width punctuation and curly quotes that stand for JSON's own.
 _PLAIN = str.maketrans({"“": '"', "”": '"', "：": ":", "，": ",", "｛": "{", "｝": "}", "［": "[", "］": "]"})
@@ -116,3 +119,25 @@ def parsed(text: pd.Series) -> pd.Series:
 def number_of(text: pd.Series) -> pd.Series:
     """numeral of each text."""
     return pd.Series([numeral(x) for x in text], dtype="Int64")
+
+
+def text_list(data: Column, field: str, most: int | None = None) -> Column:
+    """The texts of a JSON field that is a list, or one text with separators: trimmed, without blanks, `most` at most."""
+    raw = F.get_json_object(data, f"$.{field}")
+    listed = F.coalesce(F.from_json(F.when(raw.startswith("["), raw), "array<string>"), T.as_list(F.when(~raw.startswith("["), raw)))
+    out = F.filter(F.transform(listed, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    return F.slice(out, 1, most) if most else out
+
+
+def actions(data: Column, field: str, most: int = 8) -> Column:
+    """An array of (action, what) of a JSON list of objects with desc (or description) and action, or of plain texts, which are
+    hints; those without a text are left out."""
+    item = lambda x: F.struct(F.coalesce(F.nullif(F.trim(F.get_json_object(x, "$.action")), F.lit("")), F.lit("hint")).alias("action"), F.trim(F.when(x.startswith("{"), F.coalesce(F.get_json_object(x, "$.desc"), F.get_json_object(x, "$.description"))).otherwise(x)).alias("what"))
+    return F.slice(F.filter(F.transform(text_list(data, field), item), lambda a: F.coalesce(a["what"], F.lit("")) != ""), 1, most)
+
+
+def entities(data: Column, field: str, kinds: list[str], most: int = 12) -> Column:
+    """An array of (kind, name, owner) of a JSON list of objects: those with a name and an allowed kind (character if none)."""
+    text = lambda x, f: F.nullif(F.trim(F.get_json_object(x, f"$.{f}")), F.lit(""))
+    item = lambda x: F.struct(F.lower(F.coalesce(text(x, "kind"), F.lit("character"))).alias("kind"), text(x, "name").alias("name"), text(x, "owner").alias("owner"))
+    return F.slice(F.filter(F.transform(text_list(data, field), item), lambda e: e["name"].isNotNull() & e["kind"].isin(*kinds)), 1, most)

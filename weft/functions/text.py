@@ -66,7 +66,7 @@ def repeated_gram_share(text: Column, n: int) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """Trimmed lines that are not blank."""
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def summary(text: Column, limit: int = 220, least: int = 10) -> Column:

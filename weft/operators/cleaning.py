@@ -172,3 +172,12 @@ def renames(rows: DataFrame, key: str, name: str) -> DataFrame:
     there = rows.select(F.col(name).alias("new"), F.lit(True).alias("__there")).distinct()
     both = wanted.join(first, "new").join(there, "new", "left")
     return both.select(key, "old", "new", F.when(F.col("__there").isNotNull() | (F.col(key) != F.col("__first")), "taken").otherwise("rename").alias("state"))
+
+
+def trimmed_tail(text: Column, noise: str, most: int = 60) -> Column:
+    """text without what follows the first match of noise, if that is no more than `most` characters and something stays; a
+    comma or colon that is then the last becomes a full stop. Null where nothing is to be cut."""
+    at = F.regexp_instr(text, F.lit(noise))
+    kept = F.rtrim(F.substring(text, F.lit(1), at - 1))
+    closed = F.when(kept.rlike("[,;:，、；：]$"), F.concat(F.regexp_replace(kept, "[,;:，、；：]+$", ""), F.lit("."))).otherwise(kept)
+    return F.when((at > 0) & (kept != "") & (F.length(text) - at + 1 <= most), closed)
