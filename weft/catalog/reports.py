@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weft.catalog import corpus
 from weft.catalog.tables import read
 from weft.functions import text as T
-from weft.operators import cleaning, style, templates
+from weft.operators import cleaning, intervals, sequences, style, templates, windows
 from weft.registry import query
 
 _NUMBER = "TRY_CAST(nullif(regexp_extract(text, '(\\d{1,6})', 1), '') AS INT)"
@@ -46,3 +46,23 @@ def text_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("template_report")
 def template_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.rendered(corpus.skeleton_templates(spark, sf_dir), "user_id")
+
+
+@query("sequence_diagnosis")
+def sequence_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of each user's days, in weeks: how much their sequences have in common."""
+    days = corpus._symbols(read(spark, sf_dir, "events").where("user_id is not null").withColumn("day", F.to_date("ts")), "user_id", "day")
+    return sequences.diagnosed(days.withColumn("week", F.weekofyear("day")), "user_id", "a", "week")
+
+
+_CHAPTERS = "(SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, o_totalprice FROM orders)"
+
+
+@query("segmented_orders", f"""WITH p AS (SELECT o_custkey, i AS lo, i + CASE WHEN o_totalprice > 300000 THEN 3 ELSE 1 END AS hi FROM {_CHAPTERS} WHERE o_totalprice > 200000), c AS (SELECT c.o_custkey, i, min(lo) AS lo FROM {_CHAPTERS} c LEFT JOIN p ON p.o_custkey = c.o_custkey AND i BETWEEN lo AND hi GROUP BY 1, 2)
+SELECT o_custkey, i, dense_rank() OVER (PARTITION BY o_custkey ORDER BY coalesce(lo, i)) AS segment FROM c""")
+def segmented_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as chapters; a dear one proposes a segment of itself and the next one or three."""
+    rows = windows.numbered(read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_orderkey", "i")
+    far = F.when(F.col("o_totalprice") > 300_000, 3).otherwise(1)
+    proposals = rows.where("o_totalprice > 200000").select("o_custkey", F.col("i").alias("lo"), (F.col("i") + far).alias("hi"))
+    return intervals.segmented(rows, proposals, "o_custkey", "i")

@@ -175,3 +175,34 @@ def arc_report(arcs: DataFrame, key: str, least: int, most: int) -> DataFrame:
     """For each key: arcs, their mean length, how many are shorter or longer than wanted, and places they cover."""
     n = F.col("hi") - F.col("lo") + 1
     return arcs.groupBy(key).agg(F.count("*").alias("arcs"), F.avg(n).alias("mean"), F.count(F.when(n < least, 1)).alias("short"), F.count(F.when(n > most, 1)).alias("long"), F.sum(n).alias("covered"))
+
+
+def segmented(places: DataFrame, proposals: DataFrame, key: str, at: str, begun: DataFrame | None = None) -> DataFrame:
+    """key, at, segment (from 1, along the places): places in the proposed interval (lo, hi) that begins first, of equal ones the
+    longest; a place that none covers is a segment of its own, and so no place of a key is lost. Proposals that end before
+    they begin are none.
+
+    begun: places (key, at, segment) that have their segment from an earlier run, which keep it; the others are numbered on
+    from a key's largest one.
+    """
+    open_ = places.select(key, at).distinct()
+    if begun is not None:
+        open_ = open_.join(begun.select(key, at), [key, at], "left_anti")
+    own = lambda lo, back: F.struct(lo.cast("long").alias("lo"), back.cast("long").alias("back"))
+    covered = proposals.where("lo <= hi").select(key, own(F.col("lo"), -F.col("hi")).alias("__p"), F.explode(F.sequence("lo", "hi")).alias(at))
+    first = covered.groupBy(key, at).agg(F.min("__p").alias("__p"))
+    owned = open_.join(first, [key, at], "left").withColumn("__p", F.coalesce("__p", own(F.col(at), F.lit(1))))
+    heads = owned.groupBy(key, "__p").agg(F.min(at).alias("__head"))
+    out = owned.join(running_number(heads, key, "__head"), [key, "__p"])
+    if begun is None:
+        return out.select(key, at, F.col("__n").alias("segment"))
+    last = begun.groupBy(key).agg(F.max("segment").alias("__last"))
+    new = out.join(last, key, "left").select(key, at, (F.col("__n") + F.coalesce("__last", F.lit(0))).alias("segment"))
+    return begun.select(key, at, F.col("segment").cast("long").alias("segment")).unionByName(new)
+
+
+def running_number(rows: DataFrame, key: str, at: str) -> DataFrame:
+    """rows with __n, their number along `at` within the key, in ranges of it: no window over a whole key."""
+    from weft.operators import windows as W
+
+    return W.numbered(rows, [key], at, "__n")
