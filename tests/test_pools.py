@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from weft.functions import parsing
-from weft.operators import cleaning, graph, pools
+from weft.functions import text as T
+from weft.operators import cleaning, graph, pools, upsert
 
 ENTRY = "id int, name string, aliases array<string>, category string, genre string, status string, reference_only boolean"
 
@@ -63,3 +64,17 @@ def test_restarts_and_renames(spark):
     assert {(r.book, r.seq): (r.usual, r.restarted) for r in cleaning.restarts(rows, "book", "seq", "no", 100).collect()} == {("a", 10): (2, False), ("a", 11): (2, False), ("a", 12): (2, False), ("a", 300): (2, True), ("a", 13): (2, False), ("b", 1): (None, False)}
     names = spark.createDataFrame([(1, "a\x07b"), (2, "a\x01b"), (3, "x\x02y"), (4, "xy"), (5, "fine  name"), (6, "\x03"), (7, "p\x7f  q"), (8, None)], "id int, n string")
     assert sorted((r.id, r.new, r.state) for r in cleaning.renames(names, "id", "n").collect()) == [(1, "ab", "rename"), (2, "ab", "taken"), (3, "xy", "taken"), (7, "p q", "rename")]
+
+
+def test_transitions_in_order(spark):
+    allowed = {"new": ["open"], "open": ["done", "new"], "done": []}
+    asked = [(1, 2, "done"), (1, 1, "open"), (1, 3, "open"), (2, 1, "done"), (3, 1, "open"), (3, 2, None), (None, 1, "open")]
+    states = spark.createDataFrame([(3, "done"), (4, "open"), (5, None)], "k int, state string")
+    found = upsert.transitioned(states, spark.createDataFrame(asked, "k int, seq int, to string"), "k", ["seq"], allowed, "new").collect()
+    assert {r.k: (r.state, r.applied, r.rejected) for r in found} == {1: ("done", 2, 1), 2: ("new", 0, 1), 3: ("done", 0, 2), 4: ("open", 0, 0), 5: ("new", 0, 0)}
+
+
+def test_labelled_texts(spark):
+    rows = spark.createDataFrame([("Ann", None, 3), (" ", "x" * 9, None), (None, None, None)], "a string, b string, c int")
+    found = [r.x for r in rows.select(T.labelled([("name", F.col("a")), ("", F.col("b")), ("n", F.col("c"))], " | ", 5).alias("x")).collect()]
+    assert found == ["name: Ann | n: 3", "xxxxx…", ""]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weft.catalog import corpus
 from weft.catalog.tables import read
 from weft.functions import text as T
-from weft.operators import cleaning, intervals, sequences, style, templates, windows
+from weft.operators import cleaning, intervals, sequences, style, templates, upsert, windows
 from weft.registry import query
 
 _NUMBER = "TRY_CAST(nullif(regexp_extract(text, '(\\d{1,6})', 1), '') AS INT)"
@@ -66,3 +66,24 @@ def segmented_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     far = F.when(F.col("o_totalprice") > 300_000, 3).otherwise(1)
     proposals = rows.where("o_totalprice > 200000").select("o_custkey", F.col("i").alias("lo"), (F.col("i") + far).alias("hi"))
     return intervals.segmented(rows, proposals, "o_custkey", "i")
+
+
+_ALLOWED = {"signup": ["view", "click"], "view": ["click", "purchase", "error"], "click": ["view", "purchase"], "purchase": ["view"], "error": ["signup"]}
+_GOOD = " OR ".join(f"(split_part(a, '|', 1) = '{a}' AND t IN ({', '.join(repr(x) for x in b)}))" for a, b in _ALLOWED.items())
+
+
+@query("state_transitions", f"""SELECT user_id, split_part(r, '|', 1) AS state, split_part(r, '|', 2)::INT AS applied, n - split_part(r, '|', 2)::INT AS rejected FROM (SELECT user_id, count(*)::INT AS n,
+list_reduce(list_prepend('signup|0', list(event_type ORDER BY ts, event_id)), lambda a, t: CASE WHEN {_GOOD} THEN t || '|' || (split_part(a, '|', 2)::INT + 1) ELSE a END) AS r FROM events GROUP BY 1)""")
+def state_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as requests for the state that they name, of which only some may follow each other."""
+    events = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("to"))
+    none = spark.createDataFrame([], f"user_id {dict(events.dtypes)['user_id']}, state string")
+    return upsert.transitioned(none, events, "user_id", ["ts", "event_id"], _ALLOWED, "signup")
+
+
+@query("profile_texts", "SELECT c_custkey, concat_ws('; ', 'name: ' || c_name, CASE WHEN c_acctbal > 0 THEN 'balance: ' || c_acctbal::BIGINT END, CASE WHEN n_name LIKE 'A%' THEN 'home: ' || n_name END, lower(c_mktsegment)) AS profile FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def profile_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    home = F.when(F.col("n_name").like("A%"), F.col("n_name")).otherwise(" ")
+    parts = [("name", F.col("c_name")), ("balance", F.when(F.col("c_acctbal") > 0, F.rint("c_acctbal").cast("long"))), ("home", home), ("", F.lower("c_mktsegment"))]
+    return rows.select("c_custkey", T.labelled(parts).alias("profile"))

@@ -205,3 +205,15 @@ def made_of(text: Column, words: list[str]) -> Column:
     for w in sorted(words, key=lambda w: (-len(w), w)):
         text = F.replace(text, F.lit(w), F.lit(""))
     return F.trim(text) == ""
+
+
+def labelled(parts: list[tuple[str, Column]], sep: str = "; ", cap: int | None = None) -> Column:
+    """`label: value` of each part whose value isn't null or blank, in order; a part without a label is its value alone. Arrays are
+    their elements with commas; a value is cut to `cap` characters with an ellipsis. Empty where nothing is said."""
+
+    def said(label: str, value: Column) -> Column:
+        text = F.trim(value)
+        text = clipped(text, cap) if cap else text
+        return F.when(text != "", F.concat(F.lit(f"{label}: " if label else ""), text))
+
+    return F.array_join(F.array_compact(F.array(*(said(label, value.cast("string")) for label, value in parts))), sep)

@@ -142,3 +142,23 @@ def fingerprint(rows: DataFrame, key: str, order: list[str], fields: list[str])
     line = F.concat_ws("|", *(F.coalesce(F.col(f).cast("string"), F.lit("-")) for f in fields))
     by = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))).alias("all"))
     return by.select(key, F.sha2(F.array_join(F.transform("all", lambda x: x["line"]), ";"), 256).alias("digest"))
+
+
+def transitioned(states: DataFrame, requests: DataFrame, key: str, order: list[str], allowed: dict[str, list[str]], first: str) -> DataFrame:
+    """key, state, applied, rejected of every key: its requests (a state `to`) in order, each applied if it is allowed from the state
+    that the ones before it led to, and else left out.
+
+    Keys begin with their state (states: key, state), or with `first`; those with requests only are there too, and null
+    states are `first`. A key's requests are folded within its row, so they must fit one: they are what was asked of one record.
+    """
+    table = F.create_map(*(x for a, b in allowed.items() for x in (F.lit(a), F.array(*map(F.lit, b)))))
+    asked = requests.where(F.col(key).isNotNull()).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, "to"))), lambda x: x["to"]).alias("__to"))
+    both = states.select(key, "state").join(asked, key, "full").withColumn("__to", F.coalesce("__to", F.array().cast("array<string>")))
+    begin = F.struct(F.coalesce("state", F.lit(first)).alias("state"), F.lit(0).alias("applied"))
+
+    def step(now: Column, to: Column) -> Column:
+        good = F.coalesce(F.array_contains(F.try_element_at(table, now["state"]), to), F.lit(False))
+        return F.struct(F.when(good, to).otherwise(now["state"]).alias("state"), (now["applied"] + good.cast("int")).alias("applied"))
+
+    done = both.withColumn("__end", F.aggregate("__to", begin, step))
+    return done.select(key, F.col("__end.state").alias("state"), F.col("__end.applied").alias("applied"), (F.size("__to") - F.col("__end.applied")).alias("rejected"))
