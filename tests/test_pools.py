@@ -78,3 +78,26 @@ def test_labelled_texts(spark):
     rows = spark.createDataFrame([("Ann", None, 3), (" ", "x" * 9, None), (None, None, None)], "a string, b string, c int")
     found = [r.x for r in rows.select(T.labelled([("name", F.col("a")), ("", F.col("b")), ("n", F.col("c"))], " | ", 5).alias("x")).collect()]
     assert found == ["name: Ann | n: 3", "xxxxx…", ""]
+
+
+def test_cleaning_plan(spark):
+    from weft.plans import cleaning as plans
+
+    body = "A fine line that ends well.\n" * 3
+    texts = {
+        1: "Chapter 1\n" + body,
+        2: "Chapter 2\n" + body + "Licensed under X\nbuy it now",
+        3: "Chapter 3\nshort\nlicensed under X\n" + "foreign words " * 20,
+        4: "Chapter 4\n" + body + "and then he",
+        500: "Chapter 1\n" + body,
+        6: "Chapter 6\n" + body,
+        7: None,
+    }
+    names = {6: "0006\x07 six"}
+    rows = spark.createDataFrame([("b", k, names.get(k, f"{k:04}"), t) for k, t in texts.items()], "book string, seq int, name string, text string")
+    planned = plans.plan(rows, "seq", "book", "seq", "name", "text", T.first_number(F.col("text")), "(?i)licensed under", "https?://")
+    assert {r.seq: (r.action, r.rule, r.cut, r.end) for r in planned.collect()} == {
+        1: ("none", "none", None, "clean"), 2: ("A", "tail", 5, "clean"), 3: ("B", "foreign", None, None), 4: ("none", "none", None, "truncated"), 500: ("B", "restart", None, None), 6: ("R", "name", None, "clean"),
+    }
+    assert tuple(plans.overview(planned, "book").first()) == ("b", 6, 1, 2, 1, 1, 26)
+    assert {r.defect: r.places for r in plans.defects(planned, "book", "seq").collect()} == {"tail": [2], "foreign": [3], "restart": [500], "name": [6], "truncated": [4]}

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.catalog import corpus
+from weft.catalog.notes import _ANCHOR, _DECIDED, _MARKER
 from weft.catalog.tables import read
 from weft.functions import text as T
 from weft.operators import cleaning, intervals, sequences, style, templates, upsert, windows
+from weft.plans import cleaning as plans
 from weft.registry import query
 
 _NUMBER = "TRY_CAST(nullif(regexp_extract(text, '(\\d{1,6})', 1), '') AS INT)"
@@ -87,3 +89,33 @@ def profile_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = F.when(F.col("n_name").like("A%"), F.col("n_name")).otherwise(" ")
     parts = [("name", F.col("c_name")), ("balance", F.when(F.col("c_acctbal") > 0, F.rint("c_acctbal").cast("long"))), ("home", home), ("", F.lower("c_mktsegment"))]
     return rows.select("c_custkey", T.labelled(parts).alias("profile"))
+
+
+_RESTARTED = f"""(WITH o AS (SELECT doc_id, source, doc_id - {_NUMBER} AS o FROM documents), u AS (SELECT source, arg_min(o, (-n, o)) AS usual FROM (SELECT source, o, count(*) AS n FROM o WHERE o IS NOT NULL GROUP BY 1, 2) GROUP BY 1)
+SELECT doc_id, coalesce(o - usual > 100, FALSE) AS restarted FROM o LEFT JOIN u USING (source))"""
+_LAST = r"""CASE WHEN l IS NULL THEN 'empty' WHEN regexp_matches(l, '(?i)(to be continued|stay tuned|see you|thanks for reading)') THEN 'author_talk' WHEN regexp_matches(trim(l), '[.!?…"''”’)\]]$') THEN 'clean' ELSE 'truncated' END"""
+_PLAN = f"""(WITH d AS (SELECT f.doc_id, source, text, cut, tail, restarted, decision, regexp_matches(left(text, 60), '[\\x00-\\x1F\\x7F]') AND trim(regexp_replace(regexp_replace(left(text, 60), '[\\x00-\\x1F\\x7F]', '', 'g'), '\\s{{2,}}', ' ', 'g')) <> '' AS named FROM {_DECIDED} f JOIN documents USING (doc_id) JOIN {_RESTARTED} USING (doc_id)),
+r AS (SELECT *, CASE WHEN restarted THEN 'restart' WHEN decision = 'whole' THEN 'foreign' WHEN decision = 'tail' THEN 'tail' WHEN named THEN 'name' ELSE 'none' END AS rule FROM d),
+e AS (SELECT *, list_filter(string_split(CASE WHEN rule = 'tail' THEN array_to_string(string_split(text, chr(10))[:cut - 1], chr(10)) ELSE text END, chr(10)), lambda x: trim(x) <> '')[-1] AS l FROM r)
+SELECT doc_id, source, CASE WHEN rule IN ('restart', 'foreign') THEN 'B' WHEN rule = 'tail' THEN 'A' WHEN rule = 'name' THEN 'R' ELSE 'none' END AS action, rule, CASE WHEN rule = 'tail' THEN cut END::INT AS cut, CASE WHEN rule = 'tail' THEN tail ELSE 0 END::BIGINT AS tail, CASE WHEN rule NOT IN ('restart', 'foreign') THEN {_LAST} END AS "end" FROM e)"""
+
+
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the chapters of their sources, named by their first 60 characters."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", "source", "text", F.substring("text", 1, 60).alias("name"))
+    return plans.plan(rows, "doc_id", "source", "doc_id", "name", "text", T.first_number(F.col("text")), _ANCHOR, _MARKER)
+
+
+@query("cleaning_plan", f"SELECT * FROM {_PLAN}")
+def cleaning_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir).select("doc_id", "source", "action", "rule", "cut", "tail", "end")
+
+
+@query("plan_overview", f"""SELECT source, count(*) AS texts, count(*) FILTER (WHERE action = 'A') AS cut, count(*) FILTER (WHERE action = 'B') AS quarantined, count(*) FILTER (WHERE action = 'R') AS renamed, count(*) FILTER (WHERE "end" = 'truncated') AS truncated, sum(tail)::BIGINT AS characters FROM {_PLAN} GROUP BY 1""")
+def plan_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.overview(_plan(spark, sf_dir), "source")
+
+
+@query("defect_sets", f"""SELECT source, defect, list(DISTINCT doc_id ORDER BY doc_id) AS places FROM (SELECT source, doc_id, rule AS defect FROM {_PLAN} WHERE rule <> 'none' UNION ALL SELECT source, doc_id, 'truncated' FROM {_PLAN} WHERE "end" = 'truncated') GROUP BY 1, 2""")
+def defect_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.defects(_plan(spark, sf_dir), "source", "doc_id")

@@ -128,7 +128,7 @@ def injected(rows: DataFrame, key: str, text: str, anchor: str, marker: str, run
     is split once, and its lines become a string of a digit each, in which the cut is a match: nothing leaves the row.
     """
     digit = lambda x: F.when(x.rlike(anchor), 2).otherwise(0) + F.when(x.rlike(marker), 1).otherwise(0)
-    kept = [c for c in keep if c != key]
+    kept = [*dict.fromkeys(c for c in keep if c != key)]
     split = rows.where(F.col(text).isNotNull()).select(key, *kept, F.split(text, "\n").alias("__lines"))
     at = F.regexp_instr(F.array_join(F.transform("__lines", lambda x: digit(x).cast("string")), ""), F.lit(rf"[23]|[13]{{{run}}}"))
     placed = split.select(key, *kept, F.nullif(at, F.lit(0)).alias("cut"), F.transform("__lines", F.length).alias("__n"))
