@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.catalog.tables import read
-from weft.operators import dictionary
+from weft.operators import casting, dictionary
 from weft.registry import query
 
 _NAMES = "(SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS name FROM benchmark)"
@@ -36,3 +36,34 @@ def dictionary_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT doc_id, text, name, (length(text) - length(replace(text, name, ''))) // length(name) AS n, instr(text, name) - 1 AS first FROM documents JOIN {_LONG} ON contains(text, name))""")
 def phrase_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.findings(read(spark, sf_dir, "documents"), "doc_id", "text", _names(spark, sf_dir), "name")
+
+
+_SLOTS = f"(SELECT lang AS book, name AS alias, CASE WHEN name = min(name) OVER (PARTITION BY lang) THEN 'protagonist' ELSE 'part' END AS kind, length(name) AS first FROM {_LONG}, (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) WHERE length(name) >= 7)"
+
+
+@query("arc_casts", f"""WITH s AS MATERIALIZED {_SLOTS} SELECT book, arc, alias, kind, rank FROM (SELECT *, row_number() OVER (PARTITION BY book, arc ORDER BY kind <> 'protagonist', first, alias) AS rank
+FROM (SELECT s.*, doc_id AS arc FROM documents JOIN s ON lang = book AND (kind = 'protagonist' OR (contains(text, alias) AND regexp_matches(text, alias || '([^0-9]|$)'))))) WHERE rank <= 6""")
+def arc_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the arcs of their language's book, whose parts are long words of benchmark."""
+    docs = read(spark, sf_dir, "documents").select(F.col("lang").alias("book"), F.col("doc_id").alias("arc"), "text").where("book is not null")
+    names = _names(spark, sf_dir).where(F.length("name") >= 7)
+    first = names.agg(F.min("name").alias("least"))
+    kinds = names.join(F.broadcast(first), F.col("name") == F.col("least"), "left").select(F.col("name").alias("alias"), F.when(F.col("least").isNotNull(), "protagonist").otherwise("part").alias("kind"), F.length("name").alias("first"))
+    books = docs.groupBy("book").agg(F.count("*").alias("n"))
+    slots = books.withColumn("__k", F.lit(1)).join(kinds.withColumn("__k", F.lit(1)), "__k").select("book", "alias", "kind", "first")
+    return casting.arc_casts(docs, slots, 6)
+
+
+_TRAITS = ["altruism", "honor", "mercy", "resolve"]
+_V = [f"CASE WHEN vec_id % 7 <> {i} THEN embedding[{i + 1}]::DOUBLE * 80 END" for i in range(4)]
+_W = [f"coalesce(least(greatest(round_even({v}, 0), -10), 10), 0)" for v in _V]
+_T = [w if i % 2 == 0 else f"CASE WHEN abs({w}) > 4 THEN sign({w}) ELSE {w} END" for i, w in enumerate(_W)]
+
+
+@query("settled_traits", f"SELECT vec_id, {', '.join(f'({t})::INT AS {n}' for t, n in zip(_T, _TRAITS, strict=True))}, ({' + '.join(f'CASE WHEN abs({v}) > 10 THEN 1 ELSE 0 END' for v in _V)})::INT AS clamped, ({' + '.join(f'CASE WHEN abs({w}) > 4 THEN 1 ELSE 0 END' for w in _W[1::2])})::INT AS inferred, ({' + '.join(f'CASE WHEN {v} IS NULL THEN 1 ELSE 0 END' for v in _V)})::INT AS missing FROM embeddings")
+def settled_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four numbers of each vector as traits, the second and fourth of them inferred, one of some missing."""
+    value = lambda i: F.when(F.col("vec_id") % 7 != i, F.get("embedding", F.lit(i)).cast("double") * 80)
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.create_map(*(x for i, n in enumerate(_TRAITS) for x in (F.lit(n), value(i)))).alias("v"), F.create_map(*(x for i, n in enumerate(_TRAITS) for x in (F.lit(n), F.lit("slot" if i % 2 else "text")))).alias("b"))
+    found = casting.settled_traits(rows, "vec_id", _TRAITS, "v", "b")
+    return found.select("vec_id", *(F.element_at("traits", n).alias(n) for n in _TRAITS), "clamped", "inferred", "missing")
