@@ -56,7 +56,7 @@ def arc_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TRAITS = ["altruism", "honor", "mercy", "resolve"]
 _V = [f"CASE WHEN vec_id % 7 <> {i} THEN embedding[{i + 1}]::DOUBLE * 80 END" for i in range(4)]
-_W = [f"coalesce(least(greatest(round_even({v}, 0), -10), 10), 0)" for v in _V]
+_W = [f"CASE WHEN {v} IS NULL THEN 0 ELSE least(greatest(round_even({v}, 0), -10), 10) END" for v in _V]
 _T = [w if i % 2 == 0 else f"CASE WHEN abs({w}) > 4 THEN sign({w}) ELSE {w} END" for i, w in enumerate(_W)]
 
 

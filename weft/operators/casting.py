@@ -31,7 +31,7 @@ def arc_casts(arcs: DataFrame, slots: DataFrame, most: int = 8) -> DataFrame:
 def settled_trait(value: Column, basis: Column, limit: int = 10, inferred: int = 4) -> Column:
     """A trait's value within ±limit, 0 for none; one beyond ±inferred that doesn't come from the text is ±1: what is only
     inferred may not be extreme."""
-    v = F.coalesce(F.least(F.greatest(F.rint(value), F.lit(-limit)), F.lit(limit)), F.lit(0)).cast("int")
+    v = F.when(value.isNull(), 0).otherwise(F.least(F.greatest(F.rint(value), F.lit(-limit)), F.lit(limit)).cast("int"))
     return F.when((F.coalesce(basis, F.lit("text")) != "text") & (F.abs(v) > inferred), F.signum(v).cast("int")).otherwise(v)
 
 
@@ -42,9 +42,9 @@ def settled_traits(rows: DataFrame, key: str, names: list[str], values: str, bas
     count = lambda test: sum((F.when(test(n), 1).otherwise(0) for n in names), F.lit(0))
     there = F.coalesce(F.size(values), F.lit(0)) > 0
     traits = F.create_map(*(x for n in names for x in (F.lit(n), settled_trait(value(n), basis(n)))))
-    within = lambda n: F.least(F.greatest(value(n), F.lit(-10)), F.lit(10))
+    far = lambda n: (F.coalesce(basis(n), F.lit("text")) != "text") & (F.abs(F.rint(value(n))) > 4)
     return rows.select(
         key, F.when(there, traits).alias("traits"), F.when(there, count(lambda n: F.abs(value(n)) > 10)).otherwise(0).alias("clamped"),
-        F.when(there, count(lambda n: (F.coalesce(basis(n), F.lit("text")) != "text") & (F.abs(F.rint(within(n))) > 4))).otherwise(0).alias("inferred"),
+        F.when(there, count(far)).otherwise(0).alias("inferred"),
         F.when(there, count(lambda n: value(n).isNull())).otherwise(0).alias("missing"),
     )
