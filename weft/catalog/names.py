@@ -38,7 +38,9 @@ def phrase_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.findings(read(spark, sf_dir, "documents"), "doc_id", "text", _names(spark, sf_dir), "name")
 
 
-_SLOTS = f"(SELECT lang AS book, name AS alias, CASE WHEN name = min(name) OVER (PARTITION BY lang) THEN 'protagonist' ELSE 'part' END AS kind, length(name) AS first FROM {_LONG}, (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) WHERE length(name) >= 7)"
+#: The languages of documents, whose books have these parts.
+_BOOKS = ["de", "en", "es", "fr"]
+_SLOTS = f"(SELECT lang AS book, name AS alias, CASE WHEN name = min(name) OVER (PARTITION BY lang) THEN 'protagonist' ELSE 'part' END AS kind, length(name) AS first FROM (SELECT name, unnest({_BOOKS}) AS lang FROM {_LONG} WHERE length(name) >= 7))"
 
 
 @query("arc_casts", f"""WITH s AS MATERIALIZED {_SLOTS} SELECT book, arc, alias, kind, rank FROM (SELECT *, row_number() OVER (PARTITION BY book, arc ORDER BY kind <> 'protagonist', first, alias) AS rank
@@ -49,8 +51,7 @@ def arc_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = _names(spark, sf_dir).where(F.length("name") >= 7)
     first = names.agg(F.min("name").alias("least"))
     kinds = names.join(F.broadcast(first), F.col("name") == F.col("least"), "left").select(F.col("name").alias("alias"), F.when(F.col("least").isNotNull(), "protagonist").otherwise("part").alias("kind"), F.length("name").alias("first"))
-    books = docs.groupBy("book").agg(F.count("*").alias("n"))
-    slots = books.withColumn("__k", F.lit(1)).join(kinds.withColumn("__k", F.lit(1)), "__k").select("book", "alias", "kind", "first")
+    slots = kinds.withColumn("book", F.explode(F.lit(_BOOKS)))
     return casting.arc_casts(docs, slots, 6)
 
 
