@@ -58,7 +58,7 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_id
 
     made = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "file int, block long, ids binary, ordinal long, doc_ids array<long>")
     with common.writing(docs.sparkSession):
-        made.write.parquet(path)
+        made.write.option("parquet.block.size", 16 << 20).parquet(path)  # blocks are large: a row group of 32 of them is enough
 
 
 #: Bytes up to which a plain file is read by one task.
@@ -95,6 +95,7 @@ def count_tokens(blocks: DataFrame, end_id: int, id_bytes: int = 2) -> DataFrame
     kind = f"<u{id_bytes}"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.forget_words()
         for frame in common.sliced(frames, 8):
             out = []
             for row in frame.itertuples(index=False):
