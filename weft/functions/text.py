@@ -9,6 +9,8 @@ from pyspark.sql.types import IntegerType, StringType, StructType
 STRING = StringType()
 #: A phrase's number, its hits, and where the first one begins.
 COUNTED = StructType().add("i", IntegerType()).add("n", IntegerType()).add("first", IntegerType())
+#: The same with the line and the context of the first one.
+FOUND = StructType([*COUNTED.fields]).add("line_no", IntegerType()).add("context", STRING)
 
 
 def without_space(text: Column) -> Column:

@@ -30,7 +30,7 @@ def closure(pairs: DataFrame, alias: str = "alias", host: str = "host") -> DataF
     while open_ and not (open_ == before and taken > open_):
         ahead = steps.select(F.col("alias").alias("to"), F.col("to").alias("__to"), F.col("hops").alias("__hops"), F.col("low").alias("__low"), "done").withColumnRenamed("done", "__done")
         # a place that is no alias with one host is an end
-        moved = joins.spread(steps.where("not done"), ahead, ["to"], "alias")
+        moved = joins.spread(steps.where("not done"), ahead, ["to"], "alias", ways=4)
         ends = F.col("__to").isNull()
         moved = moved.select("alias", F.coalesce("__to", "to").alias("to"), (F.col("hops") + F.coalesce("__hops", F.lit(0))).alias("hops"), F.least("low", F.coalesce("__low", "low")).alias("low"), (ends | F.coalesce("__done", F.lit(False))).alias("done"))
         below, steps = steps, storage.stored(steps.where("done").unionByName(moved), "alias-steps")

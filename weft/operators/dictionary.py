@@ -7,6 +7,7 @@ hashes of words and first characters (`anchored`), so that no task holds it.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 from functools import reduce
 
@@ -138,12 +139,18 @@ def counted(texts: DataFrame, text: str, phrases: DataFrame, phrase: str) -> Dat
 def findings(texts: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str, around: int = 12) -> DataFrame:
     """key, the columns of phrases, n, first, line_no (from 1) and context (the first hit with `around` characters on either
     side, line ends as blanks) of every phrase in every text. A phrase with several rows of phrases is found once for each."""
-    found = counted(texts.select(key, F.col(text).alias("__text")), "__text", phrases, phrase)
-    begin = F.greatest(F.col("first") - around, F.lit(0))
-    context = F.substring("__text", begin + 1, F.col("first") - begin + F.length(phrase) + around)
-    line = F.length(F.substring("__text", F.lit(1), F.col("first"))) - F.length(F.replace(F.substring("__text", F.lit(1), F.col("first")), F.lit("\n"), F.lit(""))) + 1
-    told = found.select(key, phrase, "n", "first", line.alias("line_no"), F.translate(context, "\n", " ").alias("context"))
-    return told.join(phrases, phrase) if phrases.columns != [phrase] else told
+    spark, words = texts.sparkSession, held(phrases, phrase)
+    if words is None:
+        raise ValueError(f"phrases have more than {MOST_CHARS} characters: use counted()")
+
+    def told(own: Automaton, value: str) -> list[tuple[int, int, int, int, str]]:
+        ends = [i for i, c in enumerate(value) if c == "\n"]
+        return [(i, n, at, bisect_left(ends, at) + 1, value[max(0, at - around) : at + len(words[i]) + around].replace("\n", " ")) for i, n, at in _counts(own, value)]
+
+    numbers = spark.createDataFrame([(i, p) for i, p in enumerate(words)], f"__i int, `{phrase}` string")
+    found = texts.select(key, F.explode(scanner(spark, words, told, ArrayType(T.FOUND))(F.col(text))).alias("__h")).select(key, F.col("__h.i").alias("__i"), "__h.n", "__h.first", "__h.line_no", "__h.context")
+    named = found.join(F.broadcast(numbers), "__i").drop("__i")
+    return named.join(phrases, phrase) if phrases.columns != [phrase] else named
 
 
 def _spans(own: Automaton, text: str) -> list[tuple[int, int, int]]:
