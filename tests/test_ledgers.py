@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from weft import storage
 from weft.operators import aliases, budget, gaps, replay
 
 
@@ -81,6 +82,17 @@ def test_long_chains_and_hubs_take_few_rounds(spark):
     assert found.agg(F.max("hops")).first()[0] == 10_001
 
 
+def test_closure_stores_few_tables(spark, monkeypatch):
+    """Each table costs the driver a write: cycles end as soon as chains of their length, and no round stores what is settled."""
+    sizes = []
+    monkeypatch.setattr(aliases.storage, "stored", lambda df, name, f=storage.stored: sizes.append(df.count()) or f(df, name))
+    ring = [(i, (i + 1) % 16) for i in range(16)] + [(100, 3), (101, 100)]
+    chains = [(1000 + 10 * i + k, 999 + 10 * i + k) for i in range(200) for k in range(1, 4)]
+    found = aliases.closure(spark.createDataFrame(ring + chains, "alias long, host long")).collect()
+    assert {r.alias: (r.root, r.hops, r.status) for r in found} == chased(ring + chains)
+    assert len(sizes) <= 7 and sizes[-1] < 30
+
+
 def test_alias_closure_of_nothing(spark):
     assert aliases.closure(spark.createDataFrame([], "alias string, host string")).count() == 0
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft import storage
-from weft.operators import joins
 
 
 def closure(pairs: DataFrame, alias: str = "alias", host: str = "host") -> DataFrame:
@@ -17,27 +18,30 @@ def closure(pairs: DataFrame, alias: str = "alias", host: str = "host") -> DataF
     with itself, repeated ones and nulls are left out.
 
     In each round an alias takes the place that its host has come to, so the part that it has behind it doubles: a chain
-    of n names takes log2(n) rounds. Hosts with very many aliases are dealt over several tasks. Each round is stored.
+    of n names takes log2(n) rounds, and so does a cycle. An alias whose smallest place so far is itself has gone round
+    its cycle and names it; whatever has passed that name leads there. A round stores only what was still open before it.
+    Hosts with very many aliases are for adaptive execution, which splits the large side of a skewed join.
     """
     known = pairs.select(F.col(alias).alias("alias"), F.col(host).alias("host")).where("alias is not null and host is not null and alias <> host")
-    by = storage.stored(known.groupBy("alias").agg(F.min("host").alias("host"), (F.min("host") != F.max("host")).alias("several")), "alias-hosts")
-    several = by.where("several").select("alias", F.col("alias").alias("root"), F.lit(0).cast("long").alias("hops"), F.lit("conflict").alias("status"))
-    steps = by.where("not several").select("alias", F.col("host").alias("to"), F.lit(1).cast("long").alias("hops"), F.least("alias", "host").alias("low"))
-    steps = storage.stored(steps.withColumn("done", F.lit(False)), "alias-steps")
-    # a round ends some chain if one is still open, so what no round ends any more is cycles and what leads to them: these
-    # are gone round when the steps taken are as many as the names
-    taken, before, open_ = 1, -1, steps.count()
-    while open_ and not (open_ == before and taken > open_):
-        ahead = steps.select(F.col("alias").alias("to"), F.col("to").alias("__to"), F.col("hops").alias("__hops"), F.col("low").alias("__low"), "done").withColumnRenamed("done", "__done")
-        # a place that is no alias with one host is an end
-        moved = joins.spread(steps.where("not done"), ahead, ["to"], "alias", ways=4)
-        ends = F.col("__to").isNull()
-        moved = moved.select("alias", F.coalesce("__to", "to").alias("to"), (F.col("hops") + F.coalesce("__hops", F.lit(0))).alias("hops"), F.least("low", F.coalesce("__low", "low")).alias("low"), (ends | F.coalesce("__done", F.lit(False))).alias("done"))
-        below, steps = steps, storage.stored(steps.where("done").unionByName(moved), "alias-steps")
-        storage.discard(below)
-        taken, before, open_ = 2 * taken, open_, steps.where("not done").count()
-    merged = steps.where("done").select("alias", F.col("to").alias("root"), "hops", F.lit("merged").alias("status"))
-    # where the others stand now is on the cycle, all names of which that place has seen
-    smallest = steps.select(F.col("alias").alias("to"), F.col("low").alias("root"))
-    endless = joins.spread(steps.where("not done").select("alias", "to"), smallest, ["to"], "alias").select("alias", "root", F.lit(None).cast("long").alias("hops"), F.lit("cycle").alias("status"))
-    return several.unionByName(merged).unionByName(endless)
+    by = known.groupBy("alias").agg(F.min("host").alias("host"), (F.min("host") != F.max("host")).alias("several"))
+    # to: where the alias has come to; low: the smallest place on the way, without the alias itself
+    first = by.select("alias", F.when(F.col("several"), F.col("alias")).otherwise(F.col("host")).alias("to"), F.when(F.col("several"), 0).otherwise(1).cast("long").alias("hops"), F.col("host").alias("low"), F.when(F.col("several"), "conflict").otherwise("open").alias("status"))
+    rounds = [storage.stored(first, "alias-steps")]
+    while (left := _left(rounds[-1]))[0]:
+        now = rounds[-1].where("status = 'open'")
+        if left[1]:
+            named = now.where("low = alias").select(F.col("alias").alias("low"), F.lit("cycle").alias("__status"))
+            now = now.join(named, "low", "left").select("alias", F.when(F.col("__status").isNull(), F.col("to")).otherwise(F.col("low")).alias("to"), "hops", "low", F.coalesce("__status", "status").alias("status"))
+        ahead = reduce(DataFrame.unionByName, [*(r.where("status <> 'open'") for r in rounds), now])
+        ahead = ahead.select(F.col("alias").alias("to"), F.col("to").alias("__to"), F.col("hops").alias("__hops"), F.col("low").alias("__low"), F.col("status").alias("__status"))
+        # a place that is no alias is an end, and so is one with several hosts
+        status = F.when(F.col("__status").isin("open", "cycle"), F.col("__status")).otherwise("merged")
+        moved = now.where("status = 'open'").join(ahead, "to", "left").select("alias", F.coalesce("__to", "to").alias("to"), (F.col("hops") + F.coalesce("__hops", F.lit(0))).alias("hops"), F.least("low", F.coalesce("__low", "low")).alias("low"), status.alias("status"))
+        rounds.append(storage.stored(moved.unionByName(now.where("status <> 'open'")) if left[1] else moved, "alias-steps"))
+    settled = reduce(DataFrame.unionByName, (r.where("status <> 'open'") for r in rounds))
+    return settled.select("alias", F.col("to").alias("root"), F.when(F.col("status") != "cycle", F.col("hops")).alias("hops"), "status")
+
+
+def _left(steps: DataFrame) -> tuple[int, int]:
+    """Aliases that are still open, and how many of these have come to themselves."""
+    return tuple(steps.where("status = 'open'").agg(F.count("*"), F.count(F.when(F.col("low") == F.col("alias"), 1))).first())
