@@ -1,4 +1,6 @@
 import random
+import time
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
@@ -273,3 +275,25 @@ def test_lifecycle_of_paraphrases(spark):
 def test_budget(spark):
     blocks = spark.createDataFrame([("q", "a", 500, True, 0), ("q", "b", 400, False, 9), ("q", "c", 300, False, 5), ("q", "d", 50, False, 1)], "k string, name string, size long, required boolean, priority int")
     assert [(r.name, r.decision, r.taken) for r in budget.plan(blocks, "k", 1000, 200).orderBy("name").collect()] == [("a", "kept", 500), ("b", "kept", 400), ("c", "dropped", 0), ("d", "kept", 50)]
+
+
+def test_tail_bounds_are_those_of_difflib():
+    rng = random.Random(5)
+    for _ in range(400):
+        letters = rng.choice(["ab", "abcd", "abcdefgh \U0001f600é"])
+        a, b = ("".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in "ab")
+        b = "".join(c for c in a if rng.random() < 0.9) + b[:5] if rng.random() < 0.5 else b
+        blocks = sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+        common = sequences.common_length(a, b)
+        assert dedup._matching(a, b) == blocks <= common
+        assert dedup._common_lengths(a, [b, "", a]).tolist() == [common, 0, len(a)]
+
+
+def test_tails_of_long_paragraphs_take_seconds(spark):
+    rng = random.Random(6)
+    long = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(20_000)) for _ in range(8)]
+    edited = [p[:900] + "Z" + p[902:] for p in long[:3]]
+    t = spark.createDataFrame([(1, "\n".join(long)), (2, "\n".join(long + edited))], "id int, text string").coalesce(1)
+    began = time.monotonic()
+    assert rows(dedup.without_repeated_tail(t, "text").select("id", "n_cut")) == [(1, 0), (2, 3)]
+    assert time.monotonic() - began < 60

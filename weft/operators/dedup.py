@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,19 +74,73 @@ def latest_alike(name: str, others: Iterable[str], least: float = 0.85, contain:
     return None
 
 
+def _common_lengths(a: str, others: list[str]) -> np.ndarray:
+    """The length of the longest common subsequence of a with each of others, none of which has a line end.
+
+    All others are one number, a bit for each character and a zero bit behind each text, so one pass over a serves all.
+    """
+    codes = np.frombuffer("".join(x + "\n" for x in others).encode("utf-32-le"), np.uint32)
+    number = lambda bits: int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    whole = rest = number(codes != 10)
+    at = {c: number(codes == ord(c)) for c in set(a)}
+    for c in a:
+        hit = rest & at[c]
+        if hit:
+            rest = ((rest + hit) | (rest - hit)) & whole
+    bits = np.unpackbits(np.frombuffer(rest.to_bytes(-(-len(codes) // 8), "little"), np.uint8), bitorder="little")
+    sizes = np.array([len(x) for x in others])
+    return sizes - np.add.reduceat(bits[: len(codes)], np.cumsum(sizes + 1) - sizes - 1, dtype=np.int64)
+
+
+def _matching(a: str, b: str) -> int:
+    """The characters in SequenceMatcher's matching blocks of a and b, without junk: the longest common run, the earliest in
+    a and then in b, and what is on either side of it likewise."""
+    x, y = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (a, b))
+    total, open_ = 0, [(0, len(x), 0, len(y))]
+    while open_:
+        alo, ahi, blo, bhi = open_.pop()
+        part = y[blo:bhi]
+        where = {c: np.flatnonzero(part == c) for c in np.unique(x[alo:ahi])}
+        best, i0, j0, before = 0, alo, blo, np.zeros(bhi - blo + 1, np.int32)
+        for i in range(alo, ahi):
+            now, hits = np.zeros_like(before), where[x[i]]
+            if len(hits):
+                runs = now[hits + 1] = before[hits] + 1
+                if (k := runs.max()) > best:
+                    best = int(k)
+                    i0, j0 = i - best + 1, blo + int(hits[runs.argmax()]) - best + 1
+            before = now
+        if best:
+            total += best
+            open_ += [w for w in ((alo, i0, blo, j0), (i0 + best, ahi, j0 + best, bhi)) if w[0] < w[1] and w[2] < w[3]]
+    return total
+
+
 def without_repeated_tail(rows: DataFrame, text: str, least_chars: int = 20, run: int = 3, similarity: float = 0.8, least_paragraphs: int = 6) -> DataFrame:
-    """Cuts the end of texts at a run of `run` or more long paragraphs that are each like an earlier one. Adds n_cut."""
+    """Cuts the end of texts at a run of `run` or more long paragraphs that are each like an earlier one. Adds n_cut.
+
+    Likeness is SequenceMatcher's ratio. The longest common subsequence bounds it, which is found for all earlier
+    paragraphs in one pass over the last one; only pairs whose bound passes are matched.
+    """
 
     def cut(value: str | None) -> tuple[str | None, int]:
         parts = [p for p in (value or "").split("\n") if p.strip()]
         if len(parts) < least_paragraphs:
             return value, 0
-        sets = [set(p) for p in parts]
+
+        def like(a: str, b: str) -> bool:
+            x, y = set(a), set(b)
+            return len(x & y) >= 0.3 * len(x | y) and 2.0 * _matching(a, b) / (len(a) + len(b)) > similarity
 
         def repeats(i: int) -> bool:
-            if len(parts[i].strip()) < least_chars:
+            p, n = parts[i], len(parts[i])
+            if len(p.strip()) < least_chars:
                 return False
-            return any(len(sets[i] & sets[j]) >= 0.3 * len(sets[i] | sets[j]) and SequenceMatcher(None, parts[i], parts[j], autojunk=False).ratio() > similarity for j in range(i - 1, -1, -1) if abs(len(parts[i]) - len(parts[j])) <= 0.4 * max(len(parts[i]), len(parts[j])))
+            near = [q for q in dict.fromkeys(parts[:i]) if abs(n - len(q)) <= 0.4 * max(n, len(q)) and 2.0 * min(n, len(q)) / (n + len(q)) > similarity]
+            if p in near:
+                return True
+            bound = _common_lengths(p, near) if near else ()
+            return any(like(p, q) for m, q in sorted(zip(bound, near, strict=True), key=lambda x: -x[0]) if 2.0 * m / (n + len(q)) > similarity)
 
         at = len(parts)
         while at > 1 and repeats(at - 1):
