@@ -134,3 +134,22 @@ def test_numbered_and_dispatched(spark):
     done = windows.dispatch(t, "k", "p", "id", F.coalesce(F.col("k") != "b", F.lit(True))).collect()
     best = {k: min((-(i % 7), i) for i in ids if [None, "a", "b"][i % 3] == k)[1] for k in (None, "a", "b")}
     assert all(r.active == (r.k == "b" or r.id == best[r.k]) and r.winner == (None if r.active else best[r.k]) for r in done) and len(done) == 120
+
+
+def test_assigned_folds_keys_by_the_batch(spark):
+    """Thousands of small keys take no Python call each; ties, NaN and nulls have their places."""
+    rng = random.Random(4)
+    data = [(k, rng.choice("abc"), rng.choice([1, 2, 3, None]), rng.choice([0.0, 1.0, 2.0, float("nan"), None])) for k in range(20_000) for _ in range(3)]
+    t = spark.createDataFrame(data, "k int, s string, c int, v double")
+    found = retrieval.assigned(t, "k", "s", "c", "v")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan
+    want = {}
+    for k, s, c, v in sorted((d for d in data if d[3] is not None), key=lambda d: (d[0], d[3] != d[3], -d[3] if d[3] == d[3] else 0, d[1], d[2] is None, d[2] or 0)):
+        own = want.setdefault(k, [])
+        if all(s != x and c != y for x, y, _ in own):
+            own.append((s, c, repr(v)))
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.k, []).append((r.s, r.c, repr(r.v)))
+    assert {k: sorted(x, key=str) for k, x in got.items()} == {k: sorted(x, key=str) for k, x in want.items()}

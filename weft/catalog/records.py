@@ -195,11 +195,12 @@ def calibrated_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("slot_assignment")
 def slot_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("candidate"), "l_quantity")
-    slots = lines.select("l_orderkey", F.col("l_linenumber").alias("slot"), F.col("l_quantity").alias("wanted"))
-    pairs = slots.join(lines.select("l_orderkey", "candidate", "l_quantity"), "l_orderkey").withColumn("score", -F.abs(F.col("wanted") - F.col("l_quantity") - F.col("candidate") % 7))
-    best = pairs.groupBy("l_orderkey", "slot", "candidate").agg(F.max("score").alias("score"))
-    return retrieval.assigned(best, "l_orderkey", "slot", "candidate", "score")
+    # an order's pairs are made of its lines in one row: no join, and only lines are shuffled
+    line = F.struct(F.col("l_linenumber").alias("slot"), F.col("l_suppkey").alias("candidate"), F.col("l_quantity").alias("n"))
+    orders = read(spark, sf_dir, "lineitem").where("l_orderkey is not null").groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"))
+    pair = lambda a, b: F.struct((-F.abs(a["n"] - b["n"] - b["candidate"] % 7)).alias("score"), a["slot"].alias("slot"), b["candidate"].alias("candidate"))
+    pairs = F.flatten(F.transform("lines", lambda a: F.transform("lines", lambda b: pair(a, b))))
+    return retrieval.picked(orders.select("l_orderkey", pairs.alias("__pairs")), "l_orderkey", "slot", "candidate", "score")
 
 
 _ROWS = "(SELECT vec_id, label, embedding, text, source, regexp_extract(trim(text), '^[^ ]+', 0) AS word FROM embeddings JOIN documents ON doc_id = vec_id)"
