@@ -88,3 +88,31 @@ def test_registered_templates_hold_every_day(spark):
 def test_phases(spark):
     for n, want in ((1, [0]), (2, [0, 2]), (3, [0, 1, 2]), (4, [0, 1, 2, 3]), (6, [0, 1, 2, 3, 3, 3]), (9, [0, 0, 1, 1, 2, 2, 3, 3, 3])):
         assert [r.p for r in spark.range(n).orderBy("id").select(templates.phase(F.col("id"), F.lit(n)).alias("p")).collect()] == want
+
+
+def test_keys_are_folded_by_the_batch(spark):
+    """No Python call for each key, and tags and nulls come through as they are."""
+    rows = [(k, d, ["a", "a", "b"] if d else None, [["x"], ["y"], [None]] if d else None, ["a"] if d else []) for k in range(300) for d in range(2)]
+    found = templates.members(spark.createDataFrame(rows, SCHEMA), "k", "day", "a", "tags", "cores")
+    assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = found.where("k = 7").orderBy("day").collect()
+    assert found.count() == 600 and [(r.cluster, r.attached, r.skeleton, r.repeats) for r in got] == [(0, False, [], []), (1, False, ["a", "b"], [2, 1])]
+    assert [tuple(b) for b in got[1].beats] == [(0, "a", 2, ["x"]), (1, "b", 1, [None])]
+
+
+def test_common_and_merged_of_any_length():
+    rng = random.Random(8)
+    for n in [0, 1, 3, 8, 19, 30, 70] * 6:
+        a, b = ([rng.choice("abcde") for _ in range(rng.randrange(n + 1))] for _ in "ab")
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
+        assert sequences.common_length(a, b) == table[0][0]
+        whole, times = sequences.merged(a, b, [2] * len(a))
+        assert len(whole) == len(a) + len(b) - table[0][0] and is_part(a, whole) and is_part(b, whole) and len(times) == len(whole)
+        i = j = 0
+        for s in whole:  # a's symbol goes first wherever that is as short
+            both, own = i < len(a) and j < len(b) and a[i] == b[j], i < len(a) and table[i + 1][j] == table[i][j]
+            i, j = i + (both or own), j + (both or not own)
+            assert s == (a[i - 1] if both or own else b[j - 1])
